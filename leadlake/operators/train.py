@@ -119,9 +119,11 @@ class Preprocessor:
         stages: list[Any] = [SQLTransformer(
             statement="SELECT *, " + ", ".join(scaled + filled) + " FROM __THIS__")]
         if encoded:
-            stages.append(StringIndexerModel.from_arrays_of_labels(
-                [levels[c] for c in encoded], inputCols=[f"{c}_filled" for c in encoded],
-                outputCols=[f"{c}_i" for c in encoded], handleInvalid="keep"))
+            stages += [
+                StringIndexerModel.from_labels(levels[c], inputCol=f"{c}_filled", outputCol=f"{c}_i",
+                                               handleInvalid="keep")
+                for c in encoded
+            ]
             # Infrequent and unseen levels share the extra slot that "keep" adds.
             stages.append(OneHotEncoder(inputCols=[f"{c}_i" for c in encoded],
                                         outputCols=[f"{c}_hot" for c in encoded], dropLast=False))
