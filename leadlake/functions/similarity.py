@@ -60,4 +60,6 @@ def field_similarities(normalized: Column) -> Column:
             ]
         )
 
-    return score(normalized)
+    # Marked so that no filter on its result moves below an aggregate, where it would run
+    # once per lead row and not once per column name.
+    return score.asNondeterministic()(normalized)

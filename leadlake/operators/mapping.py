@@ -80,8 +80,11 @@ def alias_match(profile: DataFrame) -> DataFrame:
 def fuzzy_match(profile: DataFrame) -> DataFrame:
     """(column, field) pairs whose best alias similarity is at least 0.72."""
     named = profile.withColumn("normalized", normalize_key(F.col("column")))
-    return named.withColumn("_s", field_similarities(F.col("normalized"))).select(
-        *named.columns, F.inline("_s")).where(F.col("name_score") >= S.NAME_FLOOR)
+    # Sources share many names, so each distinct name is compared once.
+    names = named.select("normalized").distinct()
+    scores = names.withColumn("_s", field_similarities(F.col("normalized"))).select(
+        "normalized", F.inline("_s")).where(F.col("name_score") >= S.NAME_FLOOR)
+    return named.join(scores, "normalized")
 
 
 def mapping_candidates(profile: DataFrame, by: Sequence[str] = ("source_id",)) -> DataFrame:

@@ -212,7 +212,7 @@ def model_comparison(spark, sf):
     return M.model_comparison(store(_model_scores(spark, sf)), "p", "y")
 
 
-@query("auc_weights", with_scored(f"SELECT model, {round_sql('greatest(roc_auc - 0.5e0, 0e0) / SUM(greatest(roc_auc - 0.5e0, 0e0)) OVER ()', 6)} AS weight FROM mm", _MODEL_SQL))
+@query("auc_weights", with_scored(f"SELECT model, {round_sql('CASE WHEN SUM(greatest(roc_auc - 0.5e0, 0e0)) OVER () > 0 THEN greatest(roc_auc - 0.5e0, 0e0) / SUM(greatest(roc_auc - 0.5e0, 0e0)) OVER () ELSE 1e0 / COUNT(*) OVER () END', 6)} AS weight FROM mm", _MODEL_SQL))
 def auc_weights(spark, sf):
     # The tiny metrics table has one row per model.
     m = store(M.model_metrics(store(_model_scores(spark, sf)), "p", "y", ["model"]))
