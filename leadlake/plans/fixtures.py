@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.functions.numbers import round_to
 from leadlake.operators.score import heuristic_scores
 from leadlake.session import store
 
@@ -31,7 +32,7 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(
         (F.sum(cents("l_quantity")) / 100.0).alias("time_on_site_seconds"),
         F.count("l_linenumber").cast("double").alias("total_visits"),
-        (F.sum(cents("l_discount")) / 100.0 / F.count(F.lit(1)) * 100.0).alias("page_views_per_visit"),
+        round_to(F.sum(cents("l_discount")) / 100.0 / F.count(F.lit(1)) * 100.0, 6).alias("page_views_per_visit"),
     )
 
 
@@ -73,7 +74,7 @@ line_features AS (
   SELECT l_orderkey,
          CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS time_on_site_seconds,
          CAST(COUNT(l_linenumber) AS DOUBLE) AS total_visits,
-         CAST(SUM(CAST(l_discount AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) * 100e0 AS page_views_per_visit
+         floor(CAST(SUM(CAST(l_discount AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) * 100e0 * 1e6 + 0.500001e0) / 1e6 AS page_views_per_visit
   FROM lineitem GROUP BY l_orderkey),
 leads AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS external_id, o_orderkey AS lead_key,

@@ -160,10 +160,15 @@ def lift_by_decile(spark, sf):
     return D.lift_by_decile(store(FX.scored(spark, sf).select("tenant_id", "lead_key", "probability", "converted")))
 
 
-_THRESHOLD_SQL = f"""cuts AS (SELECT i / 20e0 AS cut FROM range(2, 19) t(i)),
-counted AS (SELECT tenant_id, channel, cut, COUNT(*) AS support, COUNT(*) FILTER (converted = 1) AS pos,
-  COUNT(*) FILTER (probability >= cut AND converted = 1) AS tp, COUNT(*) FILTER (probability >= cut AND converted = 0) AS fp
-  FROM scored, cuts WHERE converted IS NOT NULL GROUP BY 1, 2, 3),
+_CUTS = [i / 20 for i in range(2, 19)]
+_CUT_COUNTS = ", ".join(
+    f"COUNT(*) FILTER (probability >= {c!r}::DOUBLE AND converted = 1) AS tp{i}, COUNT(*) FILTER (probability >= {c!r}::DOUBLE AND converted = 0) AS fp{i}"
+    for i, c in enumerate(_CUTS))
+_CUT_ROWS = " UNION ALL ".join(
+    f"SELECT tenant_id, channel, support, pos, {c!r}::DOUBLE AS cut, tp{i} AS tp, fp{i} AS fp FROM wide_counts" for i, c in enumerate(_CUTS))
+_THRESHOLD_SQL = f"""wide_counts AS (SELECT tenant_id, channel, COUNT(*) AS support, COUNT(*) FILTER (converted = 1) AS pos, {_CUT_COUNTS}
+  FROM scored WHERE converted IS NOT NULL GROUP BY 1, 2),
+counted AS ({_CUT_ROWS}),
 judged AS (SELECT *, CASE WHEN tp > 0 THEN CAST(tp * 2 AS DOUBLE) / (tp + fp + pos) END AS f1 FROM counted WHERE support >= 50),
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id, channel ORDER BY f1 DESC NULLS LAST, cut) AS i FROM judged)"""
 
