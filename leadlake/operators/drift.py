@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from leadlake import schema, settings as S
 from leadlake.functions.numbers import ratio, round_to
 from leadlake.operators.clean import category_counts
-from leadlake.operators.ranks import BUCKETS, exact_quantiles
+from leadlake.operators.ranks import BUCKETS, count_values, quantiles_of_counts
 from leadlake.session import store
 
 OTHER = "(other)"
@@ -38,14 +38,13 @@ def numeric_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str]
                        buckets: int = BUCKETS) -> DataFrame:
     """Shares per value for features of at most 20 values, else a decile histogram."""
     keys = [*by, "feature"]
-    values = _long_numbers(df, features, by)
-    counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = count_values(_long_numbers(df, features, by), "value", keys)
     basics = counts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_distinct"), F.sum("n").alias("_total"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
     )
     points = [i / S.QUANTILE_BINS for i in range(S.QUANTILE_BINS + 1)]
-    edges = exact_quantiles(values, "value", points, keys, buckets).groupBy(*keys).agg(
+    edges = quantiles_of_counts(counts, "value", points, keys, buckets).groupBy(*keys).agg(
         F.array_sort(F.collect_set("quantile")).alias("_edges"))  # eleven values at most
     # Stored: one row a feature, and Catalyst sees that it is small.
     profile = store(basics.join(edges, keys))

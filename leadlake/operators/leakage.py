@@ -20,6 +20,7 @@ from leadlake.functions.text import suspicious_name, to_number
 from leadlake.operators.clean import long_features
 from leadlake.operators.metrics import auc_from_gain, cumulate
 from leadlake.operators.ranks import BUCKETS
+from leadlake.session import store
 
 
 def value_counts(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -102,9 +103,12 @@ def severity_rank(severity: Column) -> Column:
 def detect_leakage(df: DataFrame, features: Sequence[str], label: str = "converted",
                    by: Sequence[str] = (), quarantine_at: str = "high",
                    buckets: int = BUCKETS) -> DataFrame:
-    """One row per finding: feature, severity, reason, statistic, detail, quarantined."""
+    """One row per finding: feature, severity, reason, statistic, detail, quarantined.
+
+    The source is scanned once; the stored value counts feed every check.
+    """
     keys = [*by, "feature"]
-    counts = value_counts(df.where(F.col(label).isNotNull()), features, label, by)
+    counts = store(value_counts(df.where(F.col(label).isNotNull()), features, label, by))
     kinds = feature_kinds(counts, by).where(F.col("distinct_values") >= 2)
     pure = category_purity(counts, by).select(
         *keys, "severity", "statistic", F.lit("category_purity").alias("reason"),

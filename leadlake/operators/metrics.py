@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from leadlake import settings as S
 from leadlake.functions.numbers import bin_by_edges, even_edges, ratio, round_to
 from leadlake.operators.ranks import BUCKETS, running_totals
+from leadlake.session import store
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -27,8 +28,12 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
 
 def cumulative_gain(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
                     buckets: int = BUCKETS) -> DataFrame:
-    """Per distinct score, best first: counts, ``tp`` and ``fp`` at that cut-off, totals."""
-    return cumulate(score_counts(df, score, label, by), by, buckets)
+    """Per distinct score, best first: counts, ``tp`` and ``fp`` at that cut-off, totals.
+
+    The distinct scores are stored once: finding the cuts, the bucket totals and the
+    running counts all read them.
+    """
+    return cumulate(store(score_counts(df, score, label, by)), by, buckets)
 
 
 def cumulate(counts: DataFrame, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:

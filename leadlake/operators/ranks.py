@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
+from leadlake.session import store
+
 BUCKETS = 256
 
 
@@ -116,20 +118,21 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     )
 
 
-def exact_quantiles(values: DataFrame, value: str, probabilities: Sequence[float],
-                    by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group and probability.
-
-    Only distinct values with their counts are ordered, so neither heavy ties nor a heavy
-    group ends up in one buffer. Columns: by, ``probability``, ``quantile``.
-    """
-    by = list(by)
-    counts = (
+def count_values(values: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct non-null value, stored: what an order over values is built from."""
+    return store(
         values.where(F.col(value).isNotNull())
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def quantiles_of_counts(counts: DataFrame, value: str, probabilities: Sequence[float],
+                        by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """Quantiles with linear interpolation from (by, value, n) rows."""
+    by = list(by)
     placed = running_totals(counts, [value], ["n"], by, buckets)
-    wanted = placed.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    wanted = placed.withColumn(
+        "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     position = F.col("probability") * (F.col("n_total") - 1)
     low, first, last = F.floor(position), F.col("n_before"), F.col("n_before") + F.col("n") - 1
     high = F.ceil(position)
@@ -142,3 +145,13 @@ def exact_quantiles(values: DataFrame, value: str, probabilities: Sequence[float
         *by, "probability",
         (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"),
     )
+
+
+def exact_quantiles(values: DataFrame, value: str, probabilities: Sequence[float],
+                    by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """Exact quantiles: one row per group and probability (by, probability, quantile).
+
+    Only distinct values with their counts are ordered, so neither heavy ties nor a heavy
+    group ends up in one buffer.
+    """
+    return quantiles_of_counts(count_values(values, value, by), value, probabilities, by, buckets)
