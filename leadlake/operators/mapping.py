@@ -112,8 +112,9 @@ def mapping_candidates(profile: DataFrame, by: Sequence[str] = ("source_id",)) -
 
 
 def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Strongest pair first, each column and each field once; confirmed pairs are 1.0."""
-    ordered = pairs.sort_values(["confidence", "column", "field"], ascending=[False, True, True])
+    """Confirmed pairs, then the strongest first; each column and each field once."""
+    ordered = pairs.assign(held=pairs["method"] == "confirmed").sort_values(
+        ["held", "confidence", "column", "field"], ascending=[False, False, True, True]).drop(columns="held")
     columns, fields, chosen = set(), set(), []
     for column, field, confidence in zip(ordered["column"], ordered["field"], ordered["confidence"]):
         free = confidence >= S.REVIEW_FLOOR and column not in columns and field not in fields

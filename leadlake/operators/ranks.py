@@ -130,7 +130,7 @@ def quantiles_of_counts(counts: DataFrame, value: str, probabilities: Sequence[f
                         by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """Quantiles with linear interpolation from (by, value, n) rows."""
     by = list(by)
-    placed = running_totals(counts, [value], ["n"], by, buckets)
+    placed = running_totals(counts.withColumnRenamed(value, "_value"), ["_value"], ["n"], by, buckets)
     wanted = placed.withColumn(
         "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     position = F.col("probability") * (F.col("n_total") - 1)
@@ -138,7 +138,7 @@ def quantiles_of_counts(counts: DataFrame, value: str, probabilities: Sequence[f
     high = F.ceil(position)
     hit = wanted.where(((low >= first) & (low <= last)) | ((high >= first) & (high <= last)))
     ends = hit.groupBy(*by, "probability").agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"),
+        F.min("_value").alias("_low"), F.max("_value").alias("_high"),
         F.first(position - low).alias("_part"),
     )
     return ends.select(
