@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from leadlake import schema, settings as S
 from leadlake.functions import text as X
-from leadlake.operators.ranks import BUCKETS, exact_quantiles
+from leadlake.operators.ranks import BUCKETS, exact_quantiles, top_rows
 
 
 def apply_mapping(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -199,13 +199,8 @@ def as_strings(df: DataFrame) -> DataFrame:
 
 def category_options(df: DataFrame, features: Sequence[str], k: int = 12, by: Sequence[str] = ()) -> DataFrame:
     """The k most frequent values per feature; ties by value."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy(*by, "feature").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        category_counts(df, features, by).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
-    )
+    counts = category_counts(df, features, by)
+    return top_rows(counts, [F.desc("n"), F.asc("value")], k, [*by, "feature"], "value")
 
 
 def contact_suppression(df: DataFrame) -> DataFrame:

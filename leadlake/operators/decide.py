@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from leadlake import settings as S
 from leadlake.functions import scoring as X
 from leadlake.functions.numbers import ratio, round_to
-from leadlake.operators.ranks import BUCKETS, global_rank
+from leadlake.operators.ranks import BUCKETS, global_rank, top_rows
 
 MAX_CAPACITY = 1000
 
@@ -60,22 +60,17 @@ def rank_leads(leads: DataFrame, as_of: Column, strategy: str = "expected_value"
     """Rank 1..n per group by (rounded priority desc, probability desc, id).
 
     ``capacity`` is a number, the name of a column holding it (up to ``max_capacity``), or
-    None to rank everything. With a capacity each map task keeps at most that many rows of a
-    group before the shuffle, so a heavy group costs no more than a light one; without one
-    the order is spread over buckets.
+    None to rank everything. With a capacity only that many rows of a group leave each task;
+    without one the order is spread over buckets. A heavy group is split either way.
     """
     placed = with_priority(leads, as_of, strategy, base_rate, default_value)
     if capacity is None:
         return global_rank(placed, ["-priority", "-probability", id_column], by, buckets).drop("rows")
-    order = Window.partitionBy(*by).orderBy(
-        F.desc("priority"), F.desc("probability"), F.asc(id_column)
-    )
-    ranked = placed.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("priority"), F.desc("probability"), F.asc(id_column)]
     if isinstance(capacity, str):
-        ranked = ranked.where(F.col("rank") <= max_capacity).where(F.col("rank") <= F.col(capacity))
-    else:
-        ranked = ranked.where(F.col("rank") <= capacity)
-    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
+        ranked = top_rows(placed, order, max_capacity, by, id_column)
+        return ranked.where(F.col("rank") <= F.col(capacity))
+    return top_rows(placed, order, capacity, by, id_column)
 
 
 def queue_summary(ranked: DataFrame, by: Sequence[str] = ("tenant_id",)) -> DataFrame:
@@ -115,8 +110,8 @@ def priority_queue(leads: DataFrame, tenants: DataFrame, models: DataFrame | Non
 
     pool = queue_filter(leads, source_id, band, include_converted)
     if candidate_limit is not None:
-        best = Window.partitionBy("tenant_id").orderBy(F.desc("probability"), F.asc(id_column))
-        pool = pool.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= candidate_limit).drop("_n")
+        best = [F.desc("probability"), F.asc(id_column)]
+        pool = top_rows(pool, best, candidate_limit, ["tenant_id"], id_column, "_n").drop("_n")
     pool = with_tenant_defaults(pool, tenants)
     base: Column | float = S.DEFAULT_BASE_RATE
     if models is not None:
@@ -269,20 +264,16 @@ def matched_predictions(predictions: DataFrame, outcomes: DataFrame,
 def recent_per_group(df: DataFrame, moment: str, n: int, by: Sequence[str],
                      id_column: str = "lead_key") -> DataFrame:
     """The n newest rows of each group, newest first; ties by id. Adds ``row``."""
-    order = Window.partitionBy(*by).orderBy(F.desc(moment), F.asc(id_column))
-    kept = df.where(F.col(moment).isNotNull()).withColumn("row", F.row_number().over(order))
-    return kept.where(F.col("row") <= n).withColumn("row", F.col("row").cast("bigint"))
+    return top_rows(df.where(F.col(moment).isNotNull()), [F.desc(moment), F.asc(id_column)], n, by,
+                    id_column, "row")
 
 
 def writeback_export(scored: DataFrame, sources: DataFrame, limit: int = 100,
                      id_column: str = "external_id") -> DataFrame:
     """Best scored leads of each source that accepts scores: (source, id, score, band)."""
     able = sources.where(F.col("supports_writeback")).select("source_id")
-    order = Window.partitionBy("source_id").orderBy(F.desc("probability"), F.asc(id_column))
-    top = (
-        scored.where(F.col("probability").isNotNull()).join(able, "source_id", "left_semi")
-        .withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= limit)
-    )
+    pool = scored.where(F.col("probability").isNotNull()).join(able, "source_id", "left_semi")
+    top = top_rows(pool, [F.desc("probability"), F.asc(id_column)], limit, ["source_id"], id_column)
     return top.select("source_id", "external_id", round_to(F.col("probability"), 4).alias("probability"),
                       X.band(F.col("probability")).alias("band"))
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from leadlake import schema, settings as S
 from leadlake.functions.numbers import ratio, round_to
 from leadlake.operators.clean import category_counts
-from leadlake.operators.ranks import BUCKETS, count_values, quantiles_of_counts
+from leadlake.operators.ranks import BUCKETS, count_values, quantiles_of_counts, top_rows
 from leadlake.session import store
 
 OTHER = "(other)"
@@ -68,10 +68,9 @@ def numeric_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str]
 def categorical_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Shares of the 25 most frequent values among all non-null rows."""
     keys = [*by, "feature"]
-    counts = category_counts(df, features, by)
+    counts = store(category_counts(df, features, by))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("value"))
-    top = counts.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= S.CATEGORY_LIMIT)
+    top = top_rows(counts, [F.desc("n"), F.asc("value")], S.CATEGORY_LIMIT, keys, "value", "_i")
     none = F.lit(None).cast("double")
     return top.join(totals, keys).select(
         *keys, F.lit("categorical").alias("kind"), F.col("value").alias("bin_key"),

@@ -12,14 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadlake import settings as S
 from leadlake.functions.numbers import ratio, round_to
 from leadlake.functions.text import suspicious_name, to_number
 from leadlake.operators.clean import long_features
 from leadlake.operators.metrics import auc_from_gain, cumulate
-from leadlake.operators.ranks import BUCKETS
+from leadlake.operators.ranks import BUCKETS, top_rows
 from leadlake.session import store
 
 
@@ -48,11 +47,10 @@ def category_purity(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(is_extreme).alias("extreme_values"),
         F.max(F.when(is_extreme, F.greatest(F.col("rate"), 1.0 - F.col("rate")))).alias("_worst"),
     ).where(F.col("extreme_values") > 0)
-    first = Window.partitionBy(*keys).orderBy("value")
     shown = F.concat(F.lit("'"), F.col("value"), F.lit("'="),
                      F.format_string("%.1f%%", round_to(F.col("rate") * 100.0, 1)))
     examples = (
-        present.where(is_extreme).withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= 3)
+        top_rows(present.where(is_extreme), [F.col("value")], 3, keys, "value", "_i")
         .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", shown.alias("t")))).alias("_e"))
         .select(*keys, F.array_join(F.transform("_e", lambda e: e["t"]), ", ").alias("examples"))
     )

@@ -6,10 +6,10 @@ column or per (column, field) pair of a source, which is a catalog.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake import schema, settings as S
@@ -184,10 +184,6 @@ def unmapped_columns(columns: DataFrame, mapping: DataFrame, source: str = "sour
     return columns.select(source, "column").join(mapping.where("field IS NOT NULL"), [source, "column"], "left_anti")
 
 
-def feature_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in schema.FEATURES], "field string")
-
-
 def mapped_features(mapping: DataFrame, source: str = "source_id") -> DataFrame:
     """(source, field) pairs of the mapping that are features."""
     return mapping.select(source, "field").where(F.col("field").isin(*schema.FEATURES)).distinct()
@@ -214,7 +210,11 @@ def mapping_coverage(mapping: DataFrame, source: str = "source_id") -> DataFrame
 
 
 def mapping_summary(proposals: DataFrame, source: str = "source_id") -> DataFrame:
-    """Counts of confident, uncertain, unmapped and missing, with the summary line."""
+    """Counts of confident, uncertain, unmapped and missing, with a text per source.
+
+    The text lists every mapped column, then up to twelve unmapped ones; a source has one
+    proposal per column, so the list is as short as its header.
+    """
     features = list(schema.FEATURES)
     counted = proposals.groupBy(source).agg(
         F.count_if(F.col("canonical_field").isNotNull() & ~F.col("needs_review")).alias("confident"),
@@ -222,9 +222,18 @@ def mapping_summary(proposals: DataFrame, source: str = "source_id") -> DataFram
         F.count_if(F.col("canonical_field").isNull()).alias("unmapped"),
         (F.lit(len(features)) - F.count_if(F.col("canonical_field").isin(*features))).alias("missing"),
     )
-    return counted.withColumn("summary", F.concat(
-        F.col("confident").cast("string"), F.lit(" column(s) mapped confidently, "),
-        F.col("review").cast("string"), F.lit(" need confirmation.")))
+    mark = F.when(F.col("needs_review"), "?").otherwise("=")
+    line = F.concat(F.lit("  "), F.col("column"), F.lit(" "), mark, F.lit("> "), F.col("canonical_field"), F.lit(" ("),
+                    F.format_string("%.0f%%", round_to(F.col("confidence") * 100.0, 0)), F.lit(", "), F.col("method"), F.lit(")"))
+    listed = proposals.groupBy(source).agg(
+        F.array_sort(F.collect_list(F.when(F.col("canonical_field").isNotNull(), line))).alias("_lines"),
+        F.array_sort(F.collect_list(F.when(F.col("canonical_field").isNull(), F.col("column")))).alias("_rest"))
+    head = F.concat(F.col("confident").cast("string"), F.lit(" column(s) mapped confidently, "),
+                    F.col("review").cast("string"), F.lit(" need confirmation."))
+    rest = F.when(F.size("_rest") > 0, F.concat(F.lit("  unmapped: "), F.array_join(F.slice("_rest", 1, 12), ", ")))
+    none = F.when(F.col("missing") > 0, F.concat(F.lit("  canonical fields with no source: "), F.col("missing").cast("string")))
+    text = F.array_join(F.array_compact(F.concat(F.array(head), F.col("_lines"), F.array(rest), F.array(none))), "\n")
+    return counted.join(listed, source).withColumn("summary", text).drop("_lines", "_rest")
 
 
 def merge_confirmations(mapping: DataFrame, corrections: DataFrame, source: str = "source_id") -> DataFrame:
@@ -245,7 +254,3 @@ def merge_confirmations(mapping: DataFrame, corrections: DataFrame, source: str
     return per_column.groupBy(source, "field").agg(
         F.max_by("column", F.struct("priority", "column")).alias("column")).select(source, "column", "field")
 
-
-def as_mapping(rows: Sequence[tuple[str, str]]) -> Mapping[str, str]:
-    """Confirmed (column, field) rows of one source as the dictionary apply_mapping takes."""
-    return dict(rows)

@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from leadlake.session import store
 
 BUCKETS = 256
+SALTS = 64
 
 
 def _cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
@@ -118,6 +119,22 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     )
 
 
+def top_rows(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str], salt_on: str,
+             name: str = "rank", salts: int = SALTS) -> DataFrame:
+    """The first n rows of each group, numbered 1..n in ``name``; ``order`` must be total.
+
+    Every map task keeps n rows of a group, but a heavy group has very many map tasks, and
+    all of their rows would meet in one reducer. So the survivors are first cut to n per
+    (group, salt) in parallel; the last step then sees at most salts * n rows of a group.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+    first = Window.partitionBy(*by, "_salt").orderBy(*order)
+    kept = salted.withColumn(name, F.row_number().over(first)).where(F.col(name) <= n).drop(name, "_salt")
+    last = Window.partitionBy(*by).orderBy(*order)
+    out = kept.withColumn(name, F.row_number().over(last)).where(F.col(name) <= n)
+    return out.withColumn(name, F.col(name).cast("bigint"))
+
+
 def count_values(values: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per distinct non-null value, stored: what an order over values is built from."""
     return store(

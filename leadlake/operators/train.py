@@ -86,11 +86,14 @@ def _literal(value: float) -> str:
 
 @dataclass
 class Preprocessor:
-    """Imputes, standardises and one-hot encodes clean frames into ``features``."""
+    """Imputes, standardises and one-hot encodes clean frames into ``features``.
+
+    ``passthrough`` names numeric columns that enter as they are (already encoded data).
+    """
 
     numeric: list[str]
     categorical: list[str]
-    scale_only: bool = False
+    passthrough: list[str] = field(default_factory=list)
     model: PipelineModel | None = None
 
     def fit(self, clean: DataFrame) -> "Preprocessor":
@@ -128,7 +131,7 @@ class Preprocessor:
             stages.append(OneHotEncoder(inputCols=[f"{c}_i" for c in encoded],
                                         outputCols=[f"{c}_hot" for c in encoded], dropLast=False))
         stages.append(VectorAssembler(
-            inputCols=[f"{c}_z" for c in self.numeric] + [f"{c}_hot" for c in encoded],
+            inputCols=[f"{c}_z" for c in self.numeric] + [f"{c}_hot" for c in encoded] + self.passthrough,
             outputCol="features"))
         self.model = Pipeline(stages=stages).fit(clean)
         return self
@@ -296,8 +299,7 @@ class Ensemble:
 
 def train_model(rows: DataFrame, version: str, tier: str = "tenant", id_column: str = "external_id",
                 label: str = "converted", overrides: Sequence[str] = (), check_leakage: bool = True,
-                learners: Mapping[str, Any] | None = None, folds: int | None = None,
-                extra_features: Sequence[str] = ()) -> Ensemble:
+                learners: Mapping[str, Any] | None = None, folds: int | None = None) -> Ensemble:
     """Label coercion, leakage gate, split, calibrated fits, weights and metadata.
 
     Quarantined features are left out of the model, not only reported. The tables

@@ -8,10 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from leadlake import schema, settings as S
 from leadlake.functions.text import coerce_bool, to_number
+from leadlake.operators.ranks import top_rows
 
 KEY = ("source_id", "external_id")
 # Replaced as a whole by a newer record / kept unless the newer record has a value.
@@ -189,6 +189,4 @@ def append_rows(rows: DataFrame, path: str, partition: str | None = None) -> Non
 
 def sync_history(runs: DataFrame, n: int = 20) -> DataFrame:
     """The last n runs of each source, newest first."""
-    order = Window.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("run_id"))
-    out = runs.withColumn("row", F.row_number().over(order)).where(F.col("row") <= n)
-    return out.withColumn("row", F.col("row").cast("bigint"))
+    return top_rows(runs, [F.desc("started_at"), F.desc("run_id")], n, ["source_id"], "run_id", "row")

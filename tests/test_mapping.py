@@ -76,3 +76,11 @@ def test_merge_moves_a_field_and_rejects_a_column(spark):
     wrong = spark.createDataFrame([("s", "C", "no_such_field", 0)], shape + ", position int")
     with pytest.raises(Exception, match="Unknown canonical field"):
         MP.merge_confirmations(mapping, wrong).collect()
+
+
+def test_summary_text(spark):
+    df = spark.createDataFrame(HUB)
+    proposals = MP.propose_mapping(MP.column_profile(df, [c for c in HUB.columns if c != "source_id"]))
+    row = MP.mapping_summary(proposals).first()
+    assert row["unmapped"] == 1 and "  unmapped: internal_widget_ref" in row["summary"]
+    assert f"{row['confident']} column(s) mapped confidently" in row["summary"]

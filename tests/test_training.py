@@ -108,3 +108,16 @@ def test_promotion_cases(spark):
     cases = [(None, True, 0.8), (0.7, False, None), (0.7, True, None), (0.806, True, 0.8), (0.804, True, 0.8)]
     got = [r["promote"] for r in TR.should_promote(spark.createDataFrame(cases, shape)).collect()]
     assert got == [False, True, True, True, False]
+
+
+def test_calibrators_per_tenant(spark):
+    scored = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "tenant_id string, probability double")
+    arrays = spark.createDataFrame([("a", [0.0, 1.0], [0.2, 0.4])], "tenant_id string, boundaries array<double>, predictions array<double>")
+    got = {r["tenant_id"]: r["probability"] for r in TR.recalibrated_scores(scored, arrays).collect()}
+    assert got["a"] == pytest.approx(0.3) and got["b"] == 0.5
+
+
+def test_passthrough_columns_are_not_scaled(spark):
+    df = spark.createDataFrame([(1.0, 7.0), (3.0, 9.0)], "total_visits double, encoded double")
+    made = TR.Preprocessor(["total_visits"], [], ["encoded"]).fit(df).apply(df).orderBy("encoded").collect()
+    assert [list(r["features"]) for r in made] == [[-1.0, 7.0], [1.0, 9.0]]
