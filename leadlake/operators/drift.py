@@ -106,12 +106,16 @@ def live_bins(live: DataFrame, statistics: DataFrame, by: Sequence[str] = (),
     """
     packed = pack_statistics(statistics, by)
     known = [c for c in live.columns if c in schema.FEATURES]
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("text")) for c in known]
+    # The number is made here once, not from text for every edge it is compared with.
+    number = lambda c: F.col(c) if c in schema.NUMERIC_FEATURES else F.lit(None)
+    pairs = [
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("text"),
+                 number(c).cast("double").alias("number")) for c in known
+    ]
     rows = live.select(*extra, *by, F.inline(F.array(*pairs))).where(F.col("text").isNotNull())
     placed = rows.join(packed, [*by, "feature"])
-    number = F.col("text").try_cast("double")
     key = (
-        F.when(F.col("kind") == "numeric", _bin(F.col("edges"), number).cast("string"))
+        F.when(F.col("kind") == "numeric", _bin(F.col("edges"), F.col("number")).cast("string"))
         .when(F.array_contains("keys", F.col("text")), F.col("text"))
     )
     return placed.select(*extra, *by, "feature", "kind", key.alias("bin_key"))
