@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
-    return F.expr("1") if text is None else F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def inline_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

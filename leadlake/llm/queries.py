@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import packing, sharding
+from leadlake.llm import classifier, mixing, packing, quality, sharding
 from leadlake.llm.common import read
 
 SHARDS = 40
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.0, 4, 42
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    weights = quality.corpus_weights(docs, quality.trusted_ids(read(spark, sf_dir, "labels")))
+    return docs.select("doc_id", quality.verdict(F.col("text"), weights).alias("v")).select("doc_id", "v.*")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -28,8 +35,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_domain(read(spark, sf_dir, "documents"))
+    return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op4_sharding": op4_sharding,
+    "op9_mixing": op9_mixing,
+    "op10_classifier": op10_classifier,
+}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.oracle(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
 }
-ORACLES: dict[str, str] = {}
