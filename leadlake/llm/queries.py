@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import classifier, mixing, packing, quality, sharding
+from leadlake.llm import classifier, frames, html, mixing, packing, quality, sharding
 from leadlake.llm.common import read
 
 SHARDS = 40
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.verdict(F.col("text"), weights).alias("v")).select("doc_id", "v.*")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -35,6 +39,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_domain(read(spark, sf_dir, "documents"))
     return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
@@ -48,7 +56,9 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_files": op3_token_files,
     "op4_sharding": op4_sharding,
+    "op6_html_extraction": op6_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
 }
