@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import classifier, frames, html, minhash, mixing, packing, quality, sharding
+from leadlake.llm import classifier, frames, html, minhash, mixing, packing, quality, sharding, suffix
 from leadlake.llm.common import read
 
 SHARDS = 40
@@ -47,6 +47,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_domain(read(spark, sf_dir, "documents"))
     return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_minhash": op7_minhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
 }
