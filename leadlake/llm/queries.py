@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import classifier, frames, html, minhash, mixing, packing, quality, sharding, suffix
+from leadlake.llm import classifier, frames, html, minhash, mixing, packing, quality, sharding, suffix, vectors
 from leadlake.llm.common import read
 
 SHARDS = 40
@@ -39,6 +39,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
     "op4_sharding": op4_sharding,
+    "op5_product_quantisation": op5_product_quantisation,
     "op6_html_extraction": op6_html_extraction,
     "op7_minhash": op7_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
