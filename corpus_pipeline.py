@@ -16,7 +16,11 @@ from leadlake.session import store
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-    ("packing", stages.packing),
+    ("quality_rules", stages.quality_rules),
+    ("minhash_near_dedup", stages.near_dedup),
+    ("suffix_array_dedup", stages.suffix_dedup),
+    ("mixing_sources", stages.mixing_sources),
+    ("packing", stages.packing_sequences),
 ]
 
 #: Hashing, tokenizers and signatures have no SQL; tests hold every stage against brute force.

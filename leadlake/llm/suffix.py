@@ -416,3 +416,24 @@ def digests(docs: DataFrame) -> DataFrame:
         F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents without their repeated passages, in the same columns.
+
+    What remains of a text keeps its whole characters; a character cut inside is dropped.
+    n_chars, if there, is counted anew. Texts without repeats, null ones included, stay as they are.
+    """
+    rows, spans, texts = repeats(docs)
+    cut = cut_texts(spans, texts).select("key", "kept_text")
+    gone = rows.where("copied").select("key", F.lit("").alias("kept_text")).distinct()
+    new = store(cut.unionByName(gone))
+    joined = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).join(
+        new.select(F.col("key").alias("_cut"), F.col("kept_text").alias("_kept")).hint("merge"), F.col("_key") == F.col("_cut"), "left")
+    changed = F.col("_cut").isNotNull()
+    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
+    out = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out["n_chars"] = F.when(changed, F.length("_kept").cast(kind)).otherwise(F.col("n_chars"))
+    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
