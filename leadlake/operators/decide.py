@@ -13,8 +13,6 @@ from leadlake.functions import scoring as X
 from leadlake.functions.numbers import ratio, round_to
 from leadlake.operators.ranks import BUCKETS, global_rank, top_rows
 
-MAX_CAPACITY = 1000
-
 
 def queue_filter(leads: DataFrame, source_id: str | None = None, band: str | None = None,
                  include_converted: bool = False) -> DataFrame:
@@ -56,10 +54,10 @@ def rank_leads(leads: DataFrame, as_of: Column, strategy: str = "expected_value"
                base_rate: Column | float = S.DEFAULT_BASE_RATE,
                default_value: Column | float = S.DEFAULT_DEAL_VALUE,
                by: Sequence[str] = ("tenant_id",), id_column: str = "lead_key",
-               max_capacity: int = MAX_CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+               buckets: int = BUCKETS) -> DataFrame:
     """Rank 1..n per group by (rounded priority desc, probability desc, id).
 
-    ``capacity`` is a number, the name of a column holding it (up to ``max_capacity``), or
+    ``capacity`` is a number, the name of a column holding that of the row's group, or
     None to rank everything. With a capacity only that many rows of a group leave each task;
     without one the order is spread over buckets. A heavy group is split either way.
     """
@@ -67,9 +65,6 @@ def rank_leads(leads: DataFrame, as_of: Column, strategy: str = "expected_value"
     if capacity is None:
         return global_rank(placed, ["-priority", "-probability", id_column], by, buckets).drop("rows")
     order = [F.desc("priority"), F.desc("probability"), F.asc(id_column)]
-    if isinstance(capacity, str):
-        ranked = top_rows(placed, order, max_capacity, by, id_column)
-        return ranked.where(F.col("rank") <= F.col(capacity))
     return top_rows(placed, order, capacity, by, id_column)
 
 
@@ -233,19 +228,21 @@ def record_outcomes(leads: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def matched_outcomes(leads: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Outcomes with ``lead_id`` and ``external_id`` of the lead they name, null if none."""
-    ids = leads.select("tenant_id", F.col("lead_id").alias("_id"), F.col("external_id").alias("_ext"))
-    by_id = ids.select("tenant_id", F.col("_id").alias("lead_ref"), F.col("_ext").alias("_ext1"),
-                       F.col("_id").alias("_id1"))
-    # Several sources of a tenant may share an external id: the smallest lead id is taken.
-    by_ext = ids.groupBy("tenant_id", F.col("_ext").alias("lead_ref")).agg(F.min("_id").alias("_id2"))
+    """Outcomes with ``lead_id`` and ``external_id`` of the lead they name, null if none.
+
+    The leads meet the distinct references, which are few, in one inner join: with a small
+    outcome table it is broadcast, and the lead table is not shuffled.
+    """
+    # A lead id counts before an external id. Several sources of a tenant may share an
+    # external id: the smallest lead id is taken.
+    names = [F.struct(F.col(c).cast("string").alias("lead_ref"), F.lit(i).alias("_by"), F.col("lead_id"), F.col("external_id"))
+             for i, c in enumerate(("lead_id", "external_id"))]
     keys = ["tenant_id", "lead_ref"]
-    joined = outcomes.join(by_id, keys, "left").join(by_ext, keys, "left")
-    by_external = F.col("_id2").isNotNull()
-    return joined.select(
-        *outcomes.columns, F.coalesce("_id1", "_id2").alias("lead_id"),
-        F.coalesce(F.col("_ext1"), F.when(by_external, F.col("lead_ref"))).alias("external_id"),
-    )
+    refs = outcomes.select(*keys).dropna().distinct()
+    hits = leads.select("tenant_id", F.inline(F.array(*names))).join(refs, keys)
+    found = hits.groupBy(*keys).agg(F.min(F.struct("_by", "lead_id", "external_id")).alias("_found"))
+    return outcomes.join(found, keys, "left").select(
+        *outcomes.columns, F.col("_found.lead_id").alias("lead_id"), F.col("_found.external_id").alias("external_id"))
 
 
 def unmatched_outcomes(leads: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -119,19 +119,22 @@ def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     )
 
 
-def top_rows(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str], salt_on: str,
+def top_rows(df: DataFrame, order: Sequence[Column], n: int | str, by: Sequence[str], salt_on: str,
              name: str = "rank", salts: int = SALTS) -> DataFrame:
     """The first n rows of each group, numbered 1..n in ``name``; ``order`` must be total.
 
+    ``n`` is a number, or the name of a column that holds the number of the row's group.
+
     Every map task keeps n rows of a group, but a heavy group has very many map tasks, and
     all of their rows would meet in one reducer. So the survivors are first cut to n per
     (group, salt) in parallel; the last step then sees at most salts * n rows of a group.
     """
+    limit = F.col(n) if isinstance(n, str) else F.lit(n)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
     first = Window.partitionBy(*by, "_salt").orderBy(*order)
-    kept = salted.withColumn(name, F.row_number().over(first)).where(F.col(name) <= n).drop(name, "_salt")
+    kept = salted.withColumn(name, F.row_number().over(first)).where(F.col(name) <= limit).drop(name, "_salt")
     last = Window.partitionBy(*by).orderBy(*order)
-    out = kept.withColumn(name, F.row_number().over(last)).where(F.col(name) <= n)
+    out = kept.withColumn(name, F.row_number().over(last)).where(F.col(name) <= limit)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -130,11 +130,11 @@ def with_scored(body: str, extra: str = "") -> str:
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     return r.select(
-        F.col("r_name").alias("tenant_id"), (F.lit(20) + F.col("r_regionkey") * 10).alias("daily_capacity"),
+        F.col("r_name").alias("tenant_id"), F.when(F.col("r_name") == "ASIA", 1200).otherwise(F.lit(20) + F.col("r_regionkey") * 10).alias("daily_capacity"),
         (F.lit(500.0) + F.col("r_regionkey") * 500.0).alias("default_deal_value"))
 
 
-TENANTS_SQL = """tenants AS (SELECT r_name AS tenant_id, 20 + r_regionkey * 10 AS daily_capacity,
+TENANTS_SQL = """tenants AS (SELECT r_name AS tenant_id, CASE WHEN r_name = 'ASIA' THEN 1200 ELSE 20 + r_regionkey * 10 END AS daily_capacity,
   500e0 + r_regionkey * 500e0 AS default_deal_value FROM region)"""
 
 

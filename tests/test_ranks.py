@@ -32,6 +32,17 @@ def test_global_rank(spark, skewed, buckets):
     assert len(both) == len(skewed) and (both["rank"] == both["rank_want"]).all()
 
 
+def test_large_capacity_of_a_column_is_not_cut(spark):
+    n = 3000
+    rows = pd.DataFrame({
+        "tenant_id": ["a"] * n + ["b"] * 40, "lead_key": np.arange(n + 40), "probability": np.linspace(0.01, 0.99, n + 40),
+        "deal_value": 100.0, "scored_at": pd.Timestamp("2024-01-01"), "daily_capacity": [2500] * n + [7] * 40,
+    })
+    got = D.rank_leads(spark.createDataFrame(rows), F.lit("2024-01-01").cast("timestamp"), capacity="daily_capacity").toPandas()
+    assert got.groupby("tenant_id")["rank"].agg(["size", "max"]).to_dict("index") == {
+        "a": {"size": 2500, "max": 2500}, "b": {"size": 7, "max": 7}}
+
+
 def test_rank_by_three_levels_of_ties(spark, skewed):
     tied = skewed.assign(priority=1.0, probability=0.5)
     got = R.global_rank(spark.createDataFrame(tied), ["-priority", "-probability", "lead_key"], buckets=16).toPandas()
