@@ -49,20 +49,20 @@ def numeric_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str]
     # Stored: one row a feature, and Catalyst sees that it is small.
     profile = store(basics.join(edges, keys))
     discrete = F.col("_distinct") <= S.DISCRETE_VALUE_LIMIT
-    placed = counts.join(profile, keys).withColumns({
-        "kind": F.when(discrete, "numeric_discrete").otherwise("numeric"),
-        "bin": F.when(~discrete, _bin(F.col("_edges"), F.col("value"))),
-    }).where(discrete | (F.size("_edges") >= 3))
-    out = placed.groupBy(*keys, "kind", "bin", F.when(discrete, F.col("value")).alias("_value"), "_edges",
-                         "_total", "mean").agg(F.sum("n").alias("n"))
-    is_bin = F.col("kind") == "numeric"
-    return out.select(
-        *keys, "kind",
-        F.when(is_bin, F.col("bin").cast("string")).otherwise(F.col("_value").cast("string")).alias("bin_key"),
-        F.when(is_bin, F.get("_edges", F.col("bin") - 1)).otherwise(F.col("_value")).alias("low"),
-        F.when(is_bin, F.get("_edges", F.col("bin"))).otherwise(F.col("_value")).alias("high"),
-        ratio(F.col("n"), F.col("_total")).alias("share"), "mean",
+    listed = counts.join(profile.where(discrete), keys).select(
+        *keys, F.lit("numeric_discrete").alias("kind"), F.col("value").cast("string").alias("bin_key"),
+        F.col("value").alias("low"), F.col("value").alias("high"), ratio(F.col("n"), F.col("_total")).alias("share"), "mean",
     )
+    # Every pair of edges is a bin, also one that no value falls into.
+    histograms = profile.where(~discrete & (F.size("_edges") >= 3))
+    bins = histograms.withColumn("bin", F.explode(F.sequence(F.lit(1), F.size("_edges") - 1)))
+    filled = counts.join(histograms.select(*keys, "_edges"), keys).groupBy(
+        *keys, _bin(F.col("_edges"), F.col("value")).alias("bin")).agg(F.sum("n").alias("n"))
+    return listed.unionByName(bins.join(filled, [*keys, "bin"], "left").select(
+        *keys, F.lit("numeric").alias("kind"), F.col("bin").cast("string").alias("bin_key"),
+        F.get("_edges", F.col("bin") - 1).alias("low"), F.get("_edges", F.col("bin")).alias("high"),
+        ratio(F.coalesce("n", F.lit(0)), F.col("_total")).alias("share"), "mean",
+    ))
 
 
 def categorical_statistics(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -98,13 +98,7 @@ def pack_statistics(statistics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.first("kind").alias("kind"), edges.alias("edges"), F.collect_set("bin_key").alias("keys"))
 
 
-def live_bins(live: DataFrame, statistics: DataFrame, by: Sequence[str] = (),
-              extra: Sequence[str] = ()) -> DataFrame:
-    """(extra, by, feature, kind, bin_key) of every live value; null key = outside.
-
-    Works on batch and on streaming frames. ``extra`` passes columns such as an event time.
-    """
-    packed = pack_statistics(statistics, by)
+def _live_values(live: DataFrame, by: Sequence[str], extra: Sequence[str]) -> DataFrame:
     known = [c for c in live.columns if c in schema.FEATURES]
     # The number is made here once, not from text for every edge it is compared with.
     number = lambda c: F.col(c) if c in schema.NUMERIC_FEATURES else F.lit(None)
@@ -112,18 +106,34 @@ def live_bins(live: DataFrame, statistics: DataFrame, by: Sequence[str] = (),
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("text"),
                  number(c).cast("double").alias("number")) for c in known
     ]
-    rows = live.select(*extra, *by, F.inline(F.array(*pairs))).where(F.col("text").isNotNull())
-    placed = rows.join(packed, [*by, "feature"])
-    key = (
+    return live.select(*extra, *by, F.inline(F.array(*pairs))).where(F.col("text").isNotNull())
+
+
+def _bin_key() -> Column:
+    return (
         F.when(F.col("kind") == "numeric", _bin(F.col("edges"), F.col("number")).cast("string"))
         .when(F.array_contains("keys", F.col("text")), F.col("text"))
     )
-    return placed.select(*extra, *by, "feature", "kind", key.alias("bin_key"))
+
+
+def live_bins(live: DataFrame, statistics: DataFrame, by: Sequence[str] = (),
+              extra: Sequence[str] = ()) -> DataFrame:
+    """(extra, by, feature, kind, bin_key) of every live value; null key = outside.
+
+    Works on batch and on streaming frames. ``extra`` passes columns such as an event time.
+    """
+    placed = _live_values(live, by, extra).join(pack_statistics(statistics, by), [*by, "feature"])
+    return placed.select(*extra, *by, "feature", "kind", _bin_key().alias("bin_key"))
 
 
 def live_counts(live: DataFrame, statistics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return live_bins(live, statistics, by).groupBy(*by, "feature", "bin_key").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Live rows per bin, stored: what several steps read next.
+
+    Equal values are counted before the join, so it sees distinct values, not rows.
+    """
+    values = _live_values(live, by, ()).groupBy(*by, "feature", "text", "number").agg(F.count(F.lit(1)).alias("n"))
+    placed = values.join(pack_statistics(statistics, by), [*by, "feature"])
+    return store(placed.groupBy(*by, "feature", _bin_key().alias("bin_key")).agg(F.sum("n").alias("n")))
 
 
 def reference_vs_live(statistics: DataFrame, counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -51,11 +51,15 @@ live AS (SELECT tenant_id, created_at, {visits}, {other}, {moved} FROM leads {li
 STAT_SQL = f"""ref_num AS ({_long('ref', NUM)}), ref_cat AS ({_long('ref', CAT)}),
 stat_basics AS (SELECT tenant_id, feature, COUNT(DISTINCT value) AS d, COUNT(*) AS total, AVG(value) AS mean,
   list_sort(list_distinct(quantile_cont(value, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS edges FROM ref_num GROUP BY 1, 2),
-binned AS (SELECT r.tenant_id, r.feature, CASE WHEN d <= 20 THEN 'numeric_discrete' ELSE 'numeric' END AS kind, value, edges, total, mean,
-  least(len(list_filter(edges, lambda e: e <= value)), len(edges) - 1) AS bin FROM ref_num r JOIN stat_basics USING (tenant_id, feature) WHERE d <= 20 OR len(edges) >= 3),
-num_stats AS (SELECT tenant_id, feature, kind, CASE WHEN kind = 'numeric' THEN CAST(bin AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS bin_key,
-  CASE WHEN kind = 'numeric' THEN edges[bin] ELSE value END AS low, CASE WHEN kind = 'numeric' THEN edges[bin + 1] ELSE value END AS high, COUNT(*)::DOUBLE / MAX(total) AS share, MAX(mean) AS mean
-  FROM binned GROUP BY 1, 2, 3, 4, 5, 6),
+listed AS (SELECT tenant_id, feature, value, COUNT(*) AS n FROM ref_num GROUP BY 1, 2, 3),
+bins AS (SELECT tenant_id, feature, edges, total, mean, unnest(range(1, len(edges))) AS bin FROM stat_basics WHERE d > 20 AND len(edges) >= 3),
+num_stats AS (
+  SELECT tenant_id, feature, 'numeric_discrete' AS kind, CAST(value AS VARCHAR) AS bin_key, value AS low, value AS high, n::DOUBLE / total AS share, mean
+  FROM listed JOIN stat_basics USING (tenant_id, feature) WHERE d <= 20
+  UNION ALL
+  SELECT b.tenant_id, b.feature, 'numeric', CAST(b.bin AS VARCHAR), any_value(b.edges[b.bin]), any_value(b.edges[b.bin + 1]), coalesce(SUM(l.n), 0)::DOUBLE / any_value(b.total), any_value(b.mean)
+  FROM bins b LEFT JOIN listed l ON l.tenant_id = b.tenant_id AND l.feature = b.feature AND l.value >= b.edges[b.bin]
+    AND (l.value < b.edges[b.bin + 1] OR (b.bin = len(b.edges) - 1 AND l.value <= b.edges[b.bin + 1])) GROUP BY b.tenant_id, b.feature, b.bin),
 cat_counts AS (SELECT tenant_id, feature, value, COUNT(*) AS n FROM ref_cat GROUP BY 1, 2, 3),
 cat_stats AS (SELECT tenant_id, feature, 'categorical' AS kind, value AS bin_key, NULL::DOUBLE AS low, NULL::DOUBLE AS high, share, NULL::DOUBLE AS mean FROM (
   SELECT *, n::DOUBLE / SUM(n) OVER (PARTITION BY tenant_id, feature) AS share, ROW_NUMBER() OVER (PARTITION BY tenant_id, feature ORDER BY n DESC, value) AS i FROM cat_counts) WHERE i <= 25),

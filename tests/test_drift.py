@@ -47,6 +47,17 @@ def test_histogram_matches_numpy(spark):
     assert psi(spark, ref, live) == pytest.approx(float(np.sum((o - e) * np.log(o / e))), rel=1e-6)
 
 
+def test_empty_reference_bin_still_counts(spark):
+    # Interpolated deciles over ties: no reference value lies between two of the edges.
+    ref = np.array([0.0] * 64 + [10.0] * 66 + list(np.linspace(11, 40, 30)))
+    edges = np.unique(np.quantile(ref, np.linspace(0, 1, 11)))
+    live = np.concatenate([(edges[:-1] + edges[1:]) / 2, [0.0] * 20, [10.0] * 5])
+    e, o = (np.histogram(v, edges)[0] / len(v) for v in (ref, live))
+    assert (e == 0).any()
+    e, o = np.clip(e, 1e-6, None), np.clip(o, 1e-6, None)
+    assert psi(spark, ref, live) == pytest.approx(float(np.sum((o - e) * np.log(o / e))), rel=1e-6)
+
+
 def test_all_live_values_outside_the_histogram(spark):
     ref = np.linspace(0, 1, 500)
     e = np.full(10, 0.1)
