@@ -112,53 +112,59 @@ class LeadStore:
     """Leads as a change log on plain parquet: ``changes/batch_id=N`` and ``base/upto=N``.
 
     A batch overwrites its own folder, so a retried micro-batch changes nothing and writes
-    cost what the batch costs. ``compact`` folds the log into a new base; nothing that is
-    being read is ever overwritten.
+    cost what the batch costs. ``compact`` folds the log into a new base when there are newer
+    batches than the last one; nothing that is being read is ever overwritten. The last
+    record of a lead wins: by batch, then by ``position`` inside the batch.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/changes/batch_id={batch_id}")
+    def append(self, rows: DataFrame, batch_id: int, position: Column | None = None) -> None:
+        """``position`` orders the records of the batch (a source's time or line number); by
+        default it is the order in which the rows were read."""
+        place = F.monotonically_increasing_id() if position is None else position.cast("bigint")
+        rows.withColumn("position", place).select(*[f.name for f in LEAD_STRUCT], "position").write.mode(
+            "overwrite").parquet(f"{self.root}/changes/batch_id={batch_id}")
 
     def _read(self, part: str, key: str) -> DataFrame | None:
-        schema_ = T.StructType([*LEAD_STRUCT, T.StructField(key, T.LongType())])
+        more = [T.StructField("position", T.LongType()), T.StructField(key, T.LongType())]
         try:
-            return self.spark.read.schema(schema_).parquet(f"{self.root}/{part}")
+            return self.spark.read.schema(T.StructType([*LEAD_STRUCT, *more])).parquet(f"{self.root}/{part}")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in (error.getCondition() or ""):
                 return None
             raise
 
-    def _log(self) -> DataFrame | None:
-        """Base and the batches after it, with ``ord`` = batch number."""
+    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The newest base, and the batches after it, each with its order ``ord``; None if absent."""
         base, changes = self._read("base", "upto"), self._read("changes", "batch_id")
-        last = None
         if base is not None:
             last = base.agg(F.max("upto")).first()[0]
-            base = base.where(F.col("upto") == last).withColumnRenamed("upto", "ord")
+            base = base.where(F.col("upto") == last).withColumn("ord", F.struct(F.col("upto").alias("batch"), "position"))
+            if changes is not None:
+                changes = changes.where(F.col("batch_id") > last)
         if changes is not None:
-            changes = changes.withColumnRenamed("batch_id", "ord")
-            if last is not None:
-                changes = changes.where(F.col("ord") > last)
-        if base is None or changes is None:
-            return base if changes is None else changes
-        return base.unionByName(changes)
+            changes = changes.withColumn("ord", F.struct(F.col("batch_id").alias("batch"), "position"))
+        names = [*[f.name for f in LEAD_STRUCT], "ord"]
+        return tuple(t if t is None else t.select(*names) for t in (base, changes))
 
     def current(self) -> DataFrame:
-        log = self._log()
-        if log is None:
-            return self.spark.createDataFrame([], LEAD_STRUCT)
-        return newest_per_key(log).select(*[f.name for f in LEAD_STRUCT])
+        base, changes = self._parts()
+        names = [f.name for f in LEAD_STRUCT]
+        if changes is None or (base is not None and changes.isEmpty()):
+            # a base has one row per lead: nothing to fold
+            return self.spark.createDataFrame([], LEAD_STRUCT) if base is None else base.select(*names)
+        return newest_per_key(changes if base is None else base.unionByName(changes)).select(*names)
 
     def compact(self) -> None:
-        log = self._log()
-        if log is None:
+        base, changes = self._parts()
+        last = None if changes is None else changes.agg(F.max("ord.batch")).first()[0]
+        if last is None:
             return
-        last = log.agg(F.max("ord")).first()[0]
-        newest_per_key(log).select(*[f.name for f in LEAD_STRUCT]).write.mode("overwrite").parquet(
-            f"{self.root}/base/upto={last}")
+        folded = newest_per_key(changes if base is None else base.unionByName(changes))
+        folded.select(*[f.name for f in LEAD_STRUCT], F.lit(0).cast("bigint").alias("position")).write.mode(
+            "overwrite").parquet(f"{self.root}/base/upto={last}")
 
 
 # ------------------------------------------------------------------ append-only logs
