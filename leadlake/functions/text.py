@@ -46,10 +46,9 @@ def coerce_bool(c: Column) -> Column:
 
 
 def coerce_label(c: Column, dtype: str = "string") -> Column:
-    """0/1 from a number if it is one, else from the yes/no words, else null."""
+    """0 or 1 from such a number, or from the yes/no words; anything else is null."""
     number = to_number(c, dtype)
-    word = coerce_bool(c).cast("int")
-    return F.coalesce(number.cast("int"), word)
+    return F.when(number == 0, 0).when(number == 1, 1).otherwise(coerce_bool(c).cast("int"))
 
 
 def field_label(c: Column) -> Column:

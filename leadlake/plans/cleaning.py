@@ -78,11 +78,12 @@ def coerce_bool(spark, sf):
 
 
 _LABEL = ("CASE WHEN event_type = 'purchase' THEN '1' WHEN event_type = 'signup' THEN 'Converted' "
-          "WHEN event_type = 'error' THEN '0.0' WHEN event_type = 'click' THEN 'false' ELSE '?' END")
+          "WHEN event_type = 'error' THEN '0.0' WHEN event_type = 'click' THEN 'false' WHEN event_id % 3 = 0 THEN '99999999999' "
+          "WHEN event_id % 3 = 1 THEN '2' ELSE '?' END")
 
 
 @query("coerce_label", f"""
-SELECT * FROM (SELECT event_id, CAST(coalesce({number_sql('a')}, CAST({_BOOL_SQL} AS INTEGER)) AS INTEGER) AS label
+SELECT * FROM (SELECT event_id, CASE WHEN {number_sql('a')} = 0 THEN 0 WHEN {number_sql('a')} = 1 THEN 1 ELSE CAST({_BOOL_SQL} AS INTEGER) END AS label
 FROM (SELECT event_id, {_LABEL} AS a FROM events)) WHERE label IS NOT NULL""")
 def coerce_label(spark, sf):
     e = FX.table(spark, sf, "events").select("event_id", F.expr(_LABEL).alias("label"))

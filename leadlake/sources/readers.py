@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,18 +61,22 @@ def sheet_export_scan(spark: SparkSession, path: str, multiline: bool = True) ->
         .groupBy("file").agg(F.sum(before).alias("chars")).where(F.col("chars") <= 200)
         .select("file", F.lit("the sheet returned HTML, not CSV").alias("error"))
     )
-    # The header of one good file names the columns; a page must not.
-    header = lines.join(rejected.select("file"), "file", "left_anti").agg(
-        F.min_by("value", "at")).first()[0]
-    names = next(csv.reader([header or ""]))
-    fields = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
-    good = (
-        spark.read.schema(fields).option("header", True).option("multiLine", multiline)
-        .option("escape", '"').csv(path)
+    # Files may differ in their columns: each group of files with one header is read by it.
+    # Paths come to the driver, which lists the files for any read; lines do not.
+    headers = (
+        lines.join(rejected.select("file"), "file", "left_anti").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+        .groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
     )
-    tagged = good.withColumn("_file", F.col("_metadata.file_path"))
-    records = tagged.join(rejected, F.col("_file") == F.col("file"), "left_anti").drop("_file")
-    return _named(records), rejected
+    groups = []
+    for found in headers:
+        names = next(csv.reader([found["header"] or ""]))
+        fields = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+        groups.append(_named(
+            spark.read.schema(fields).option("header", True).option("multiLine", multiline)
+            .option("escape", '"').csv(found["files"])))
+    if not groups:
+        return spark.createDataFrame([], T.StructType([])), rejected
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), groups), rejected
 
 
 def read_leads_inline(spark: SparkSession, records: Sequence[dict] | str, columns: Sequence[str]) -> DataFrame:
