@@ -45,8 +45,22 @@ def interpolate(score: Column, boundaries: Sequence[float], predictions: Sequenc
     return interpolate_arrays(score, xs, ys)
 
 
+def _at_most(xs: Column, score: Column) -> Column:
+    """How many of the ascending ``xs`` are at most ``score``, by binary search."""
+    def step(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"]) / 2).cast("int")
+        go, right = s["low"] < s["high"], F.get(xs, middle) <= score
+        return F.struct(
+            F.when(go & right, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(go & ~right, middle).otherwise(s["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(xs).alias("high")), step)["low"]
+
+
 def interpolate_arrays(score: Column, xs: Column, ys: Column) -> Column:
-    place = F.size(F.filter(xs, lambda b: b <= score))
+    place = _at_most(xs, score)
     x0, x1 = F.get(xs, place - 1), F.get(xs, place)
     y0, y1 = F.get(ys, place - 1), F.get(ys, place)
     inside = y0 + (y1 - y0) * (score - x0) / F.nullif(x1 - x0, F.lit(0.0))

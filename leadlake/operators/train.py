@@ -1,12 +1,13 @@
 """Training, calibration and promotion on Spark ML.
 
 Features are assembled once by a persisted preprocessing pipeline; learners, calibrators and
-folds then run on the assembled table. Only model metadata (levels, medians, weights,
-calibrator arrays) reaches the driver.
+folds then run on the assembled table. Model metadata (levels, medians, weights, calibrators)
+passes through the driver; calibrators score by Spark ML's own binary search.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -25,9 +26,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,7 +37,8 @@ from leadlake.functions import scoring as X
 from leadlake.functions.numbers import round_to
 from leadlake.functions.text import field_label
 from leadlake.operators import score as scoring
-from leadlake.operators.clean import baseline_row, category_counts, clean_frame, labelled_rows
+from leadlake.operators.clean import baseline_row, category_counts, category_options, clean_frame, labelled_rows
+from leadlake.operators.drift import feature_statistics
 from leadlake.operators.leakage import detect_leakage
 from leadlake.operators.metrics import model_metrics
 from leadlake.operators.ranks import global_rank
@@ -188,43 +190,53 @@ def _raw_score(df: DataFrame) -> Column:
     return vector_to_array("rawPrediction")[1]
 
 
-def fit_isotonic(scored: DataFrame, score: str = "raw", label: str = "label") -> tuple[list[float], list[float]]:
-    """Calibrator arrays from (score, label) rows, collapsed to distinct scores first."""
+def fit_isotonic(scored: DataFrame, score: str = "raw", label: str = "label") -> IsotonicRegressionModel:
+    """A calibrator from (score, label) rows, collapsed to distinct scores first."""
     points = scored.groupBy(F.col(score).alias("x")).agg(
         F.avg(label).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="iso").fit(points)
-    return [float(v) for v in model.boundaries], [float(v) for v in model.predictions]
+    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="iso").fit(points)
+
+
+def calibrated(df: DataFrame, calibrator: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
+    """Adds ``out``: the calibrated ``score``; the fitted model looks each score up by binary search."""
+    return calibrator.copy().setFeaturesCol(score).setPredictionCol(out).transform(df)
 
 
 @dataclass
 class Calibrated:
-    """One learner: a fitted classifier and a calibrator per fold; the score is their mean."""
+    """One learner: a fitted classifier and a calibrator per fold; the score is their mean.
+
+    A fold has an isotonic calibrator, or None and an entry of ``sigmoid``.
+    """
 
     name: str
-    members: list[tuple[Any, tuple[list[float], list[float]]]] = field(default_factory=list)
+    members: list[tuple[Any, IsotonicRegressionModel | None]] = field(default_factory=list)
     sigmoid: list[tuple[float, float]] | None = None
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         """Adds ``out`` to a frame that has ``features``."""
-        total = F.lit(0.0)
         kept = list(df.columns)
         parts = []
         for i, (model, calibrator) in enumerate(self.members):
             made = model.transform(df)
-            raw = f"_{out}_{i}"
+            raw, part = f"_{out}_raw", f"_{out}_{i}"
             df = made.withColumn(raw, _raw_score(made)).select(*kept, *parts, raw)
-            parts.append(raw)
-            if self.sigmoid is not None:
+            if calibrator is None:
                 slope, intercept = self.sigmoid[i]
-                piece = 1.0 / (1.0 + F.exp(-(F.col(raw) * slope + intercept)))
+                df = df.withColumn(part, 1.0 / (1.0 + F.exp(-(F.col(raw) * slope + intercept))))
             else:
-                piece = scoring.interpolate(F.col(raw), *calibrator)
-            total = total + piece
+                df = calibrated(df, calibrator, raw, part)
+            df = df.drop(raw)
+            parts.append(part)
+        total = sum((F.col(p) for p in parts), F.lit(0.0))
         return df.withColumn(out, total / float(len(self.members))).drop(*parts)
 
 
 def _folded(train: DataFrame, id_column: str, folds: int, seed: int) -> DataFrame:
-    return train.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(folds)))
+    """Adds ``_fold``: each class is dealt over the folds in hash order, so every fold has its share."""
+    hashed = train.withColumn("_h", F.xxhash64(F.col(id_column), F.lit(seed)))
+    ranked = global_rank(hashed, ["_h", id_column], ["label"])
+    return store(ranked.withColumn("_fold", F.pmod(F.col("rank"), F.lit(folds))).drop("_h", "rank", "rows"))
 
 
 def isotonic_cv(name: str, learner: Any, train: DataFrame, id_column: str, folds: int, seed: int = 7) -> Calibrated:
@@ -249,7 +261,7 @@ def platt_cv(name: str, learner: Any, train: DataFrame, id_column: str, folds: i
         held = model.transform(parts.where(F.col("_fold") == k))
         scored = one.transform(held.select(_raw_score(held).alias("raw"), "label"))
         curve = LogisticRegression(featuresCol="raw_vector", labelCol="label").fit(scored)
-        out.members.append((model, ([], [])))
+        out.members.append((model, None))
         out.sigmoid.append((float(curve.coefficients[0]), float(curve.intercept)))
     return out
 
@@ -266,7 +278,7 @@ class Ensemble:
     features_used: list[str]
     training_rows: int = 0
     conversion_rate: float = 0.0
-    calibrator: tuple[list[float], list[float]] | None = None
+    calibrator: IsotonicRegressionModel | None = None
     metrics: dict[str, dict[str, float]] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -284,17 +296,49 @@ class Ensemble:
         p = scoring.blend(parts, self.weights)
         made = made.withColumn("_p", p)
         if self.calibrator is not None:
-            made = made.withColumn("_p", scoring.interpolate(F.col("_p"), *self.calibrator))
+            made = calibrated(made, self.calibrator, "_p", "_tuned").drop("_p").withColumnRenamed("_tuned", "_p")
         shown = [F.col(f"_p_{n}").alias(f"score_{n}") for n in self.learners] if components else []
         kept = [F.col(f"_lead.{c}").alias(c) for c in leads.columns if c != "probability"]
         return made.select(*kept, *shown, F.col("_p").alias("probability"))
 
     def save(self, path: str) -> None:
-        """Pipelines and learners as Spark ML folders under ``path``."""
+        """Everything ``load`` needs, under ``path``: Spark ML folders, tables, and one row of metadata."""
+        spark = SparkSession.active()
         self.preprocessor.model.write().overwrite().save(f"{path}/preprocess")
         for name, learner in self.learners.items():
-            for i, (model, _) in enumerate(learner.members):
-                model.write().overwrite().save(f"{path}/{name}-{i}")
+            for i, (model, calibrator) in enumerate(learner.members):
+                PipelineModel([model]).write().overwrite().save(f"{path}/{name}-{i}")
+                if calibrator is not None:
+                    calibrator.write().overwrite().save(f"{path}/{name}-{i}-calibrator")
+        if self.calibrator is not None:
+            self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        for name, table in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        facts = {
+            "version": self.version, "tier": self.tier, "weights": self.weights, "features_used": self.features_used,
+            "training_rows": self.training_rows, "conversion_rate": self.conversion_rate, "metrics": self.metrics,
+            "numeric": self.preprocessor.numeric, "categorical": self.preprocessor.categorical,
+            "passthrough": self.preprocessor.passthrough, "tables": sorted(self.tables), "calibrated": self.calibrator is not None,
+            "learners": {n: {"members": len(x.members), "sigmoid": x.sigmoid} for n, x in self.learners.items()},
+        }
+        spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Ensemble:
+        """The model that ``save`` wrote; it scores alike."""
+        facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+        prep = Preprocessor(facts["numeric"], facts["categorical"], facts["passthrough"], PipelineModel.load(f"{path}/preprocess"))
+        learners = {}
+        for name, made in facts["learners"].items():
+            sigmoid = made["sigmoid"] and [tuple(x) for x in made["sigmoid"]]
+            members = [(PipelineModel.load(f"{path}/{name}-{i}").stages[0],
+                        None if sigmoid else IsotonicRegressionModel.load(f"{path}/{name}-{i}-calibrator"))
+                       for i in range(made["members"])]
+            learners[name] = Calibrated(name, members, sigmoid)
+        return Ensemble(
+            facts["version"], facts["tier"], prep, learners, facts["weights"], facts["features_used"], facts["training_rows"],
+            facts["conversion_rate"], IsotonicRegressionModel.load(f"{path}/calibrator") if facts["calibrated"] else None,
+            facts["metrics"], {n: spark.read.parquet(f"{path}/tables/{n}") for n in facts["tables"]})
 
 
 def train_model(rows: DataFrame, version: str, tier: str = "tenant", id_column: str = "external_id",
@@ -302,8 +346,9 @@ def train_model(rows: DataFrame, version: str, tier: str = "tenant", id_column:
                 learners: Mapping[str, Any] | None = None, folds: int | None = None) -> Ensemble:
     """Label coercion, leakage gate, split, calibrated fits, weights and metadata.
 
-    Quarantined features are left out of the model, not only reported. The tables
-    ``findings``, ``metrics`` and ``weights`` come with the result.
+    Quarantined features are left out of the model, not only reported. The tables ``metrics``,
+    ``weights``, ``split``, ``baseline``, ``category_options``, ``statistics`` (the reference of
+    drift checks) and, with a leakage check, ``findings`` come with the result.
     """
     known = store(labelled_rows(rows, label))
     enough = label_sufficiency(known, label).first()
@@ -319,8 +364,8 @@ def train_model(rows: DataFrame, version: str, tier: str = "tenant", id_column:
         blocked = {r["feature"] for r in flagged} - set(overrides)
     used = [c for c in candidates if c not in blocked]
     if not used:
-        raise NotTrainable("Every candidate feature was flagged as target leakage. "
-                           "Review the report and approve any feature you know is legitimate.")
+        raise NotTrainable("No feature is left to train on: all of them look like leaks of the label. "
+                           "Pass the ones you trust as overrides.")
 
     split = store(stratified_split(clean.withColumn("label", F.col(label).cast("double")), label, id_column))
     train, test = split.where(~F.col("is_test")), split.where("is_test")
@@ -341,13 +386,21 @@ def train_model(rows: DataFrame, version: str, tier: str = "tenant", id_column:
     pairs = held.select("label", F.inline(F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(n).alias("p")) for n in fitted])))
     single = store(model_metrics(pairs, "p", "label", ["model"]))
-    weights = {r["model"]: r["weight"] for r in scoring.auc_weights(single).collect()}
+    weighed = store(scoring.auc_weights(single))
+    weights = {r["model"]: r["weight"] for r in weighed.collect()}
     blended = held.select("label", F.lit(S.ENSEMBLE_NAME).alias("model"),
                           scoring.blend({n: F.col(n) for n in fitted}, weights).alias("p"))
     metrics = store(single.unionByName(model_metrics(blended, "p", "label", ["model"])))
     per_model = {r["model"]: {k: r[k] for k in r.asDict() if k != "model"} for r in metrics.collect()}
     total = known.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate")).first()
-    tables = {"metrics": metrics, "split": split}
+    numeric, categorical = prep.numeric, prep.categorical
+    tables = {
+        "metrics": metrics, "split": split, "weights": weighed,
+        "baseline": store(baseline_row(clean, numeric=numeric, categorical=categorical)),
+        "statistics": store(feature_statistics(clean, (), numeric, categorical)),
+    }
+    if categorical:
+        tables["category_options"] = store(category_options(clean, categorical))
     if findings is not None:
         tables["findings"] = findings
     return Ensemble(version, tier, prep, fitted, weights, used, total["n"], total["rate"], None, per_model, tables)
@@ -362,15 +415,15 @@ def recalibrate(base: Ensemble, labelled: DataFrame, version: str, label: str =
         raise NotTrainable("Need at least 1 labelled lead(s) to recalibrate.")
     if classes["classes"] < 2:
         raise NotTrainable("Recalibration needs both converted and non-converted examples.")
-    arrays = fit_isotonic(scored, "probability", label)
-    after = scored.select(label, F.inline(F.array(
+    calibrator = fit_isotonic(scored, "probability", label)
+    after = calibrated(scored, calibrator, "probability", "_tuned").select(label, F.inline(F.array(
         F.struct(F.lit("base_model").alias("model"), F.col("probability").alias("p")),
-        F.struct(F.lit(S.ENSEMBLE_NAME).alias("model"),
-                 scoring.interpolate(F.col("probability"), *arrays).alias("p")))))
+        F.struct(F.lit(S.ENSEMBLE_NAME).alias("model"), F.col("_tuned").alias("p")))))
     metrics = store(model_metrics(after, "p", label, ["model"]))
     per_model = {r["model"]: {k: r[k] for k in r.asDict() if k != "model"} for r in metrics.collect()}
     return Ensemble(version, "recalibrated", base.preprocessor, base.learners, base.weights,
-                    base.features_used, classes["n"], classes["rate"], arrays, per_model, {"metrics": metrics})
+                    base.features_used, classes["n"], classes["rate"], calibrator, per_model,
+                    {**base.tables, "metrics": metrics})
 
 
 def recalibrated_scores(scored: DataFrame, calibrators: DataFrame, by: Sequence[str] = ("tenant_id",)) -> DataFrame:

@@ -10,6 +10,7 @@ from leadlake.operators import clean as C
 from leadlake.operators import score as SC
 from leadlake.operators import train as TR
 from leadlake.plans import fixtures as FX
+from leadlake.plans.fixtures import with_leads
 from leadlake.plans.registry import query
 from leadlake.session import store
 
@@ -27,7 +28,8 @@ def training_rows(spark, sf):
 
 
 def small_learners():
-    return {"random_forest": TR.train_forest(TREES, 6), "boosted_a": TR.train_boosted_a(ROUNDS)}
+    """The three learners of the ensemble."""
+    return {"random_forest": TR.train_forest(TREES, 6), "boosted_a": TR.train_boosted_a(ROUNDS), "boosted_b": TR.train_boosted_b(ROUNDS)}
 
 
 def small_model(spark, sf, learners=None):
@@ -87,27 +89,44 @@ def train_model(spark, sf):
     return small_model(spark, sf).tables["metrics"]
 
 
-@query("score_table")
+def _newest(versions, tenant):
+    mine = versions.where(F.col("is_active") & F.col("tenant_id").eqNullSafe(F.lit(tenant)))
+    return mine.agg(F.max_by("version", "created_at")).first()[0]
+
+
+@query("score_table", with_leads(f"""
+SELECT l.tenant_id, version AS model_version, COUNT(*) AS leads, TRUE AS in_range, TRUE AS varied
+FROM leads l JOIN (SELECT coalesce(o.tenant_id, t.tenant_id) AS tenant_id, coalesce(o.version, b.version) AS version FROM tenants t
+  LEFT JOIN (SELECT tenant_id, arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NOT NULL GROUP BY 1) o USING (tenant_id)
+  CROSS JOIN (SELECT arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NULL) b) v USING (tenant_id)
+GROUP BY 1, 2""", f"{FX.TENANTS_SQL}, {FX.MODELS_SQL}"))
 def score_table(spark, sf):
-    model = small_model(spark, sf, {"random_forest": TR.train_forest(TREES, 6)})
-    versions = FX.model_versions(spark, sf)
-    newest = versions.where("is_active AND tenant_id = 'ASIA'").agg(F.max("version")).first()[0]
-    scored = SC.score_table(FX.leads(spark, sf), {newest: model}, versions)
-    return scored.select("lead_key", "tenant_id", "model_version", "probability", "band", "prediction")
+    """The shared base model and two tenants' own models score the whole lead table."""
+    rows, versions = training_rows(spark, sf), FX.model_versions(spark, sf)
+    base = small_model(spark, sf)
+    own = {t: TR.recalibrate(base, rows.where(F.col("tenant_id") == t), f"own-{t}") for t in ("ASIA", "AFRICA")}
+    # Versions are month stamps, so tenants may share one: the key is tenant and version.
+    named = versions.withColumn("version", F.when(F.col("tenant_id").isNull(), F.concat(F.lit("base-"), "version"))
+                                .otherwise(F.concat("tenant_id", F.lit("-"), "version")))
+    scorers = {_newest(named, None): base} | {_newest(named, t): m for t, m in own.items()}
+    scored = SC.score_table(FX.leads(spark, sf), scorers, named)
+    plain = F.regexp_replace("model_version", "^[^-]*-", "")
+    return scored.groupBy("tenant_id", plain.alias("model_version")).agg(
+        F.count(F.lit(1)).alias("leads"), F.min(F.col("probability").between(0, 1)).alias("in_range"),
+        (F.count_distinct("probability") > 1).alias("varied"))
 
 
 @query("recalibrate")
 def recalibrate(spark, sf):
     rows = training_rows(spark, sf)
-    base = small_model(spark, sf, {"random_forest": TR.train_forest(TREES, 6)})
-    tuned = TR.recalibrate(base, rows.where(F.col("tenant_id") == "ASIA"), "v2")
+    tuned = TR.recalibrate(small_model(spark, sf), rows.where(F.col("tenant_id") == "ASIA"), "v2")
     return tuned.score(rows).select("lead_key", "tenant_id", "probability")
 
 
 @query("explain_model")
 def explain_model(spark, sf):
     rows = training_rows(spark, sf)
-    model = small_model(spark, sf, {"random_forest": TR.train_forest(TREES, 6)})
+    model = small_model(spark, sf)
     base = store(C.baseline_row(C.clean_frame(rows)))
     impacts = TR.explain_ablation(rows, model, base, ["lead_key"])
     return TR.top_contributions(impacts, ["lead_key"], 6)

@@ -69,6 +69,24 @@ def test_recalibration_fits_the_tenant(rows, model):
         TR.recalibrate(model, part.where("converted = 'no'"), "v3")
 
 
+def test_saved_models_score_alike(spark, rows, model, tmp_path):
+    tuned = TR.recalibrate(model, rows.where("tenant_id = 'a'"), "v2")
+    for i, one in enumerate((model, tuned)):
+        one.save(f"{tmp_path}/{i}")
+        back = TR.Ensemble.load(spark, f"{tmp_path}/{i}")
+        a, b = ({r["external_id"]: r["probability"] for r in m.score(rows).collect()} for m in (one, back))
+        assert a == b
+        assert (back.version, back.tier, back.weights, back.features_used) == (one.version, one.tier, one.weights, one.features_used)
+        assert {"metrics", "weights", "baseline", "category_options", "statistics"} <= set(back.tables)
+        assert back.tables["statistics"].count() == one.tables["statistics"].count() > 0
+
+
+def test_folds_share_a_rare_class(spark):
+    rows = spark.createDataFrame([(i, float(i < 12)) for i in range(600)], "id long, label double")
+    counts = TR._folded(rows, "id", 4, 7).groupBy("_fold").agg(F.sum("label").alias("n")).collect()
+    assert sorted(r["n"] for r in counts) == [3.0] * 4
+
+
 def test_too_few_rows(rows):
     with pytest.raises(TR.NotTrainable, match="at least 200"):
         TR.train_model(rows.limit(50), "v")
