@@ -78,11 +78,12 @@ def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: fl
     size = 1 << BITS
     if not len(grades):
         return OrdinalModel(np.zeros(size), np.zeros(top))
-    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    seen = np.zeros(size, np.int32)
+    for p in places:
+        seen[np.unique(p)] += 1
+    places = [p[seen[p] >= LEAST_DOCUMENTS] for p in places]
+    rows = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])
     flat = np.concatenate(places)
-    seen = np.bincount(np.unique(rows.astype(np.int64) * size + flat) % size, minlength=size)
-    used = seen[flat] >= LEAST_DOCUMENTS
-    rows, flat = rows[used], flat[used]
     own, flat = np.unique(flat, return_inverse=True)
     many = np.bincount(grades, minlength=top + 1)
     each = (len(grades) / np.maximum(many, 1) / (many > 0).sum())[grades]
