@@ -288,16 +288,22 @@ def simplex_weights(parts: int = 10) -> list[tuple[float, float, float]]:
     ]
 
 
-def weight_grid(df: DataFrame, scores: Sequence[str], label: str, parts: int = 10) -> DataFrame:
+def _blend_at(scores: Sequence[str], weights: tuple[float, float, float]) -> Column:
+    a, b, c = (F.col(s) * w for s, w in zip(scores, weights, strict=True))
+    return a + b + c
+
+
+def weight_grid(df: DataFrame, scores: Sequence[str], label: str, parts: int = 10,
+                only: Sequence[int] | None = None) -> DataFrame:
     """accuracy, f1 and AUC of every weighting of three scores on a simplex grid.
 
-    The grid is a fixed list of literals exploded per row, not a join.
+    The grid is a fixed list of literals exploded per row, not a join; ``only`` names the
+    grid points to look at.
     """
     grid = simplex_weights(parts)
-    a, b, c = (F.col(s) for s in scores)
     blends = F.array(*[
-        F.struct(F.lit(i).alias("weight_id"), (a * wa + b * wb + c * wc).alias("p"))
-        for i, (wa, wb, wc) in enumerate(grid)
+        F.struct(F.lit(i).alias("weight_id"), _blend_at(scores, grid[i]).alias("p"))
+        for i in (range(len(grid)) if only is None else only)
     ])
     rows = df.select(F.col(label).cast("int").alias("y"), F.inline(blends))
     metrics = model_metrics(rows, "p", "y", ["weight_id"])
@@ -309,8 +315,25 @@ def weight_grid(df: DataFrame, scores: Sequence[str], label: str, parts: int = 1
 
 
 def weight_grid_search(df: DataFrame, scores: Sequence[str], label: str, parts: int = 10) -> DataFrame:
-    """The best weighting by (accuracy, f1, AUC); the earlier grid point wins a tie."""
-    grid = weight_grid(df, scores, label, parts)
-    best = F.max_by(F.struct(*grid.columns),
-                    F.struct("accuracy", "f1", "roc_auc", -F.col("weight_id")))
+    """The best weighting by (accuracy, f1, AUC); the earlier grid point wins a tie.
+
+    One aggregate counts the hits of every grid point; only those that tie on accuracy and
+    F1 need the order of their rows for an AUC.
+    """
+    y = F.col(label).cast("int")
+    counts = []
+    for i, weights in enumerate(simplex_weights(parts)):
+        p = _blend_at(scores, weights)
+        yhat = F.when(p >= S.DECISION_THRESHOLD, 1).when(p.isNotNull(), 0)
+        counts += [hit.alias(f"{name}_{i}") for name, hit in zip(("tp", "fp", "fn", "tn"), _counts(y, yhat), strict=True)]
+    row = df.agg(*counts).first()
+
+    def merit(i: int) -> tuple[float, float]:
+        tp, fp, fn, tn = (row[f"{n}_{i}"] or 0 for n in ("tp", "fp", "fn", "tn"))
+        return (tp + tn) / max(1, tp + fp + fn + tn), 2 * tp / max(1, 2 * tp + fp + fn)
+
+    found = [merit(i) for i in range(len(simplex_weights(parts)))]
+    tied = [i for i, m in enumerate(found) if m == max(found)]
+    grid = weight_grid(df, scores, label, parts, tied)
+    best = F.max_by(F.struct(*grid.columns), F.struct(F.coalesce("roc_auc", F.lit(-1.0)), -F.col("weight_id")))
     return grid.agg(best.alias("best")).select("best.*")

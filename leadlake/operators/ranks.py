@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import takewhile
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -25,12 +26,16 @@ BUCKETS = 256
 SALTS = 64
 
 
-def _cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
+def _cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
+    """Cut values per column, from one pass over the rows; columns after the first get a quarter of them."""
+    if not columns:
+        return []
     probabilities = [i / buckets for i in range(1, buckets)]
-    values = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
-        "v", probabilities, 1.0 / (4 * buckets)
-    )
-    return sorted({v for v in values if math.isfinite(v)})
+    numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    found = numbers.approxQuantile([f"v{i}" for i in range(len(columns))], probabilities, 1.0 / (4 * buckets))
+    few = max(buckets // 4, 2)
+    steps = [1] + [max(1, buckets // few)] * (len(columns) - 1)
+    return [sorted({v for v in values[step - 1::step] if math.isfinite(v)}) for values, step in zip(found, steps, strict=True)]
 
 
 def _bucketed(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
@@ -66,13 +71,13 @@ def running_totals(
     columns must not be null.
     """
     by = list(by)
+    if buckets == BUCKETS:  # the default grows with the cluster; the number does not change answers
+        buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parsed = [(name.lstrip("-"), name.startswith("-")) for name in order]
     coded, codes = df, []
-    for level, (name, descending) in enumerate(parsed):
-        if not _is_number(df, name):
-            break
+    leading = [name for name, _ in takewhile(lambda x: _is_number(df, x[0]), parsed)]
+    for level, (name, cuts) in enumerate(zip(leading, _cuts(df, leading, buckets), strict=True)):
         code = f"_code{level}"
-        cuts = _cuts(df, name, buckets if level == 0 else max(buckets // 4, 2))
         coded = _bucketed(coded, name, cuts, code)
         if codes:
             # Only where all rows share one value of the columns before may the next

@@ -17,6 +17,7 @@ from leadlake.plans.fixtures import round_sql, with_leads, with_scored
 from leadlake.plans.registry import query
 from leadlake.session import new_folder, store
 from leadlake.sources import readers as R
+from leadlake.sources import sync as SY
 from leadlake.sources import upsert as U
 from leadlake.streaming import jobs as J
 
@@ -182,6 +183,30 @@ def sync_run_status(spark, sf):
     return runs.select("source_id", "status", "fetched", "created", "updated", "error")
 
 
+@query("sync_sources", with_leads(f"""
+SELECT source_id, CASE WHEN mapping_confirmed THEN 'success' ELSE 'blocked' END AS status, CASE WHEN mapping_confirmed THEN coalesce(f, 0) ELSE 0 END AS fetched,
+  CASE WHEN mapping_confirmed THEN coalesce(c, 0) ELSE 0 END AS created, CASE WHEN mapping_confirmed THEN coalesce(f - c, 0) ELSE 0 END AS updated,
+  CASE WHEN mapping_confirmed THEN coalesce(n, 0) ELSE 0 END AS stored, CASE WHEN mapping_confirmed THEN coalesce(f, 0) ELSE 0 END AS logged, TRUE AS in_range
+FROM sources LEFT JOIN (SELECT source_id, COUNT(*) AS n, COUNT(*) FILTER (created_at >= {_OVERLAP}) AS f, COUNT(*) FILTER (created_at >= {_SPLIT}) AS c FROM leads GROUP BY 1) USING (source_id)""", FX.SOURCES_SQL))
+def sync_sources(spark, sf):
+    """Two runs over all sources; the second brings old leads again and new ones."""
+    root = new_folder(spark, "sync")
+    leads, sources = U.LeadStore(spark, f"{root}/leads"), FX.sources(spark, sf)
+    raw = FX.raw_crm(spark, sf)
+    closed = F.to_date("Close Date")
+    parts = [raw.where(closed < F.to_date(F.lit(FX.PERIOD_SPLIT))), raw.where(closed >= F.to_date(F.lit("1998-01-01")))]
+    for i, part in enumerate(parts):
+        runs = SY.sync_sources(part, sources, FX.RAW_MAPPING, leads, i, root, FX.as_of())
+    stored = leads.current().groupBy("source_id").agg(F.count(F.lit(1)).alias("stored"))
+    log = spark.read.parquet(f"{root}/predictions/batch_id=1")
+    logged = log.groupBy(F.substring_index("lead_id", "/", 1).alias("source_id")).agg(
+        F.count(F.lit(1)).alias("logged"), F.min(F.col("probability").between(0, 1)).alias("in_range"))
+    out = runs.join(stored, "source_id", "left").join(logged, "source_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.select("source_id", "status", "fetched", "created", "updated", n("stored"), n("logged"),
+                      F.coalesce("in_range", F.lit(True)).alias("in_range"))
+
+
 @query("sync_history", with_leads("""
 SELECT source_id, started_at, fetched, CAST(i AS BIGINT) AS row FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY started_at DESC) AS i FROM (
   SELECT source_id, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS started_at, COUNT(*) AS fetched FROM leads GROUP BY 1, 2)) WHERE i <= 20"""))

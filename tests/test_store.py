@@ -112,3 +112,42 @@ def test_stream_resumes_from_its_cursor(spark, tmp_path):
     (landing / "2.json").write_text(line("2", "8") + line("3", "9"))
     run()
     assert {r["external_id"]: r["deal_value"] for r in store.current().collect()} == {"1": 5.0, "2": 8.0, "3": 9.0}
+
+
+def test_local_warehouse_is_refused_on_a_cluster(spark):
+    from leadlake import session
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session._warehouse_folder(spark)
+
+
+def test_last_record_of_a_batch_wins(spark, tmp_path):
+    store = U.LeadStore(spark, str(tmp_path / "leads"))
+    rows = spark.createDataFrame(
+        [("t", "s", "e1", f"n{i}", f"{i}" if i < 3 else None) for i in range(5)],
+        "tenant_id string, source_id string, external_id string, display_name string, deal_value string")
+    store.append(U.lead_rows(rows, F.lit("2024-01-01").cast("timestamp")).repartition(4), 0,
+                 position=F.substring("display_name", 2, 1).cast("int"))
+    [lead] = store.current().collect()
+    assert (lead["display_name"], lead["deal_value"]) == ("n4", 2.0)
+    store.compact()
+    before = sorted((tmp_path / "leads" / "base").rglob("*.parquet"))
+    store.compact()  # nothing newer than the base
+    assert sorted((tmp_path / "leads" / "base").rglob("*.parquet")) == before
+    assert store.current().collect() == [lead]
+
+
+def test_sheets_with_columns_in_another_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,amount\nann,1\n")
+    (tmp_path / "b.csv").write_text("amount,name,more\n2,bob,x\n")
+    (tmp_path / "c.csv").write_text("<!doctype html><html><body>name,amount</body></html>\n")
+    records, rejected = R.sheet_export_scan(spark, str(tmp_path))
+    assert {(r["name"], r["amount"], r["more"]) for r in records.collect()} == {("ann", "1", None), ("bob", "2", "x")}
+    assert rejected.count() == 1
+
+
+def test_a_label_is_zero_one_or_nothing(spark):
+    from leadlake.functions.text import coerce_label
+
+    rows = spark.createDataFrame([("99999999999",), ("2",), ("1.0",), ("0",), ("yes",), ("lost?",), (None,)], "v string")
+    assert [r[0] for r in rows.select(coerce_label(F.col("v"))).collect()] == [None, None, 1, 0, 1, None, None]
