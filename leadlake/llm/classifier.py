@@ -67,8 +67,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
-def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: float = 0.05, ridge: float = 2e-4) -> OrdinalModel:
-    """Full-batch Adam on the penalised likelihood, grades weighted to count alike.
+def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> OrdinalModel:
+    """Full-batch Adam with a falling rate on the penalised likelihood.
 
     Thresholds stay ordered: the first is free, the gaps are exponentials. Features of fewer
     than LEAST_DOCUMENTS documents keep weight 0. Grades absent from the rows leave their
@@ -85,8 +85,6 @@ def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: fl
     rows = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])
     flat = np.concatenate(places)
     own, flat = np.unique(flat, return_inverse=True)
-    many = np.bincount(grades, minlength=top + 1)
-    each = (len(grades) / np.maximum(many, 1) / (many > 0).sum())[grades]
     free = np.concatenate([np.zeros(len(own)), [-1.0, 0.5]])
     m, v = np.zeros_like(free), np.zeros_like(free)
 
@@ -100,7 +98,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: fl
         high, low = cut[grades + 1] - score, cut[grades] - score
         a, b = logistic(high), logistic(low)
         p = np.maximum(a - b, 1e-12)
-        da, db = a * (1 - a) / p * each, b * (1 - b) / p * each
+        da, db = a * (1 - a) / p, b * (1 - b) / p
         by_score = da - db  # derivative of -log p
         gradient = np.empty_like(free)
         gradient[:-2] = np.bincount(flat, by_score[rows], minlength=len(own)) / len(places) + ridge * w
@@ -110,7 +108,7 @@ def fit(places: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: fl
         gradient[-1] = by_second * gap / len(places)
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient ** 2
-        free = free - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        free = free - rate * (1 - (step - 1) / steps) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     weights = np.zeros(size)
     weights[own] = free[:-2]
     return OrdinalModel(weights, np.array([free[-2], free[-2] + np.exp(free[-1])]))

