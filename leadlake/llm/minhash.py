@@ -14,9 +14,11 @@ probability (1 - 0.8^4)^24, 3 in a million. Every reported link has passed the e
 
 At scale. Texts are sketched where they lie; equal texts are one node from then on. A bucket of
 a band is compared as a star around its first member, so candidates grow with members, not
-with their pairs. Where a bucket still holds several classes after that, stars around other
-members follow, and at last the pairs across classes whose signatures agree enough, so no
-link is lost to the star. Texts are shuffled once, for those that have a candidate.
+with their pairs. Buckets that still hold several classes after that can hide a link between
+two members that are both unlike the leader. Documents that such buckets connect form a
+family; its documents are compared across classes in blocks, exactly and inside the tasks,
+which give back only the links that join classes. So no link is lost to the star, and no
+table of pairs is made. Texts are shuffled once, for those that have a candidate.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm.common import WORD
@@ -38,9 +41,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
-STARS = 3  # rounds of stars before the pairs across classes
-#: Of the share of equal coordinates; a pair at 0.8 falls below with a probability of 1e-5.
-LEAST_ESTIMATE = 0.62
+BLOCK = 2_000  # documents of a family that a task compares with as many others
 
 _WORD = re.compile(WORD)
 #: Separators to str.split but not of words here.
@@ -163,27 +164,23 @@ def _parts(texts: Iterable[str], most: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), bands, signature (32 bits of each dart) for each row.
+    """doc_id, key (of the text) and bands for each row.
 
     A text without words has no bands.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, marks = [], []
+            bands = []
             for part in _parts(x or "" for x in batch.column(2).to_pylist()):
                 sets = [shingles(t) for t in part]
-                signed = signatures(sets)
-                hashed = band_hashes(signed).view(np.int64)
-                for i, s in enumerate(sets):
-                    bands.append(hashed[i] if len(s[0]) else [])
-                    marks.append((signed[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if len(s[0]) else [])
+                hashed = band_hashes(signatures(sets)).view(np.int64)
+                bands += [hashed[i] if len(s[0]) else [] for i, s in enumerate(sets)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))],
-                names=["doc_id", "key", "bands", "signature"])
+                [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("key"), "text")
-    return chosen.mapInArrow(run, "doc_id bigint, key string, bands array<bigint>, signature array<int>")
+    return chosen.mapInArrow(run, "doc_id bigint, key string, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,47 +209,114 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a bigint, b bigint")
 
 
-def _agreement(x: Column, y: Column) -> Column:
-    """The share of equal coordinates."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / K
+def _items(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) of all weighted sets as plain ones: the k-th copy of a shingle is an item
+    of its own, so common items count the lesser weights."""
+    doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    h = np.concatenate([s[0] for s in sets])
+    times = np.concatenate([s[1] for s in sets])
+    place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(doc, times), mix(np.repeat(h, times) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Postings:
+    """The documents of each item, for those documents that ``chosen`` marks."""
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray, chosen: np.ndarray, n_items: int) -> None:
+        own = chosen[doc]
+        doc, item = doc[own], item[own]
+        self.docs = doc[np.argsort(item, kind="stable")]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=n_items))])
+
+    def common(self, items: np.ndarray, n: int) -> np.ndarray:
+        """How many of ``items`` each document has."""
+        start = self.ends[items]
+        size = self.ends[items + 1] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.bincount(self.docs[at], minlength=n)
+
+
+def family_links(ids: np.ndarray, classes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links at LEAST or more between documents of ``left`` and ``right`` (marks over all) that
+    join two classes; one for each joining, whatever the number of links.
+
+    Documents of the most common class meet only the others.
+    """
+    doc, item = _items(sets)
+    _, item = np.unique(item, return_inverse=True)
+    n_items, n = int(item.max(initial=-1)) + 1, len(ids)
+    size = np.bincount(doc, minlength=n)
+    names, label, many = np.unique(classes, return_inverse=True, return_counts=True)
+    usual = int(many.argmax())
+    every = _Postings(doc, item, right, n_items)
+    others = _Postings(doc, item, right & (label != usual), n_items)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for i in np.flatnonzero(left).tolist():
+        both = (others if label[i] == usual else every).common(item[ends[i]:ends[i + 1]], n)
+        near = (both > 0) & (both / np.maximum(size + size[i] - both, 1) >= LEAST) & (label != label[i])
+        for j in np.flatnonzero(near).tolist():
+            x, y = root(label[i]), root(label[j])
+            if x != y:
+                parent[x] = y
+                out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
 class _Buckets:
-    """Members of the band buckets, and the stars that compare them."""
+    """Members of the band buckets, and the comparisons inside them."""
 
     def __init__(self, nodes: DataFrame) -> None:
         every = nodes.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-        many = store(every.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"))
-        self.members = store(every.join(many, ["band", "bucket"]).select("band", "bucket", "n", "doc_id"))
+        many = store(every.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1"))
+        self.members = store(every.join(many, ["band", "bucket"]).select("band", "bucket", "n", "doc_id", "leader"))
+
+    def star(self) -> DataFrame:
+        """Pairs of each member and its bucket's leader."""
+        return self.members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    def mixed(self, classes: DataFrame | None) -> DataFrame:
-        """Members (band, bucket, doc_id, class) of buckets with several classes that are not settled."""
+    def families(self, classes: DataFrame | None) -> DataFrame:
+        """(doc_id, class, family) of the documents in buckets that hold several classes.
+
+        A bucket of two is settled: its star was its only pair.
+        """
+        large = self.members.where("n > 2")
         if classes is None:
-            return self.members.select("band", "bucket", "doc_id", F.col("doc_id").alias("class"))
-        large = self.members.where("n > 2")  # the star of two members was all of their pairs
-        labelled = store(large.join(classes, large["doc_id"] == classes["node"], "left").select(
-            "band", "bucket", "doc_id", F.coalesce("component", "doc_id").alias("class")))
+            labelled = large.withColumn("class", F.col("doc_id"))
+        else:
+            labelled = store(large.join(classes, large["doc_id"] == classes["node"], "left").withColumn("class", F.coalesce("component", "doc_id")))
         several = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
         several = store(several.where("low < high").select("band", "bucket"))
-        return store(labelled.join(several, ["band", "bucket"]))
+        mixed = store(labelled.join(several, ["band", "bucket"]).select("doc_id", "leader", "class"))
+        families = store(components(mixed, "doc_id", "leader"))
+        documents = store(mixed.select("doc_id", "class").distinct())
+        return documents.join(families, documents["doc_id"] == families["node"]).select("doc_id", "class", F.col("component").alias("family"))
 
     @staticmethod
-    def star(members: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each member and its bucket's leader, where their classes differ."""
-        by = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        lead = members.groupBy("band", "bucket").agg(F.min_by(F.struct("doc_id", "class"), F.struct(by, "doc_id")).alias("lead"))
-        lead = store(lead.select("band", "bucket", F.col("lead.doc_id").alias("leader"), F.col("lead.class").alias("leader_class")))
-        pairs = members.join(lead, ["band", "bucket"]).where(F.col("class") != F.col("leader_class"))
-        return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    def across(families: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links (a, b) that join classes inside the families, which are compared block by block."""
+        families = store(families)
+        sizes = store(families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
+            F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+        rows = placed.join(texts, placed["doc_id"] == texts["id"]).select("family", F.inline(pair), "block", "doc_id", "class", "text")
 
-    @staticmethod
-    def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs across classes in one bucket whose signatures agree enough."""
-        own = store(members.join(nodes.select("doc_id", "signature"), "doc_id"))
-        x = own.select("band", "bucket", F.col("doc_id").alias("a"), F.col("class").alias("ca"), F.col("signature").alias("sa"))
-        y = own.select("band", "bucket", F.col("doc_id").alias("b"), F.col("class").alias("cb"), F.col("signature").alias("sb"))
-        apart = (x["band"] == y["band"]) & (x["bucket"] == y["bucket"]) & (x["a"] < y["b"]) & (x["ca"] != y["cb"])
-        return x.join(y, apart & (_agreement(x["sa"], y["sb"]) >= LEAST_ESTIMATE)).select("a", "b").distinct()
+        def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            ids, block = group["doc_id"].to_numpy(np.int64), group["block"].to_numpy()
+            sets = [shingles(t) for t in group["text"]]
+            found = family_links(ids, group["class"].to_numpy(np.int64), sets, block == key[1], block == key[2])
+            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+        return rows.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -266,24 +330,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = store(sketch(docs))
     groups = store(rows.where("size(bands) > 0").groupBy("key").agg(F.min("doc_id").alias("node")).where("node is not null"))
     nodes = rows.join(groups.select(F.col("node").alias("doc_id"), F.col("key").alias("own")), "doc_id")
-    nodes = store(nodes.where("key = own").select("doc_id", "bands", "signature").dropDuplicates(["doc_id"]))
+    nodes = store(nodes.where("key = own").select("doc_id", "bands").dropDuplicates(["doc_id"]))
     buckets = _Buckets(nodes)
     ids = buckets.members.select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text")).where("text is not null")
     texts = store(texts.join(store(ids), "id").dropDuplicates(["id"]))
-    links, tried, classes = None, None, None
-    for turn in range(STARS + 1):
-        members = buckets.mixed(classes)
-        pairs = buckets.star(members, turn) if turn < STARS else buckets.across(members, nodes)
-        pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn == STARS:
-                break
-            continue
-        found = store(verified(pairs, texts))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        classes = store(components(links, "a", "b"))
+    classes = None
+    for links in (lambda: verified(buckets.star(), texts), lambda: buckets.across(buckets.families(classes), texts)):
+        found = store(links())
+        if not found.isEmpty():
+            # the classes so far stand for their links
+            known = found if classes is None else found.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            classes = store(components(known, "a", "b"))
     nodes_of = rows.join(groups, "key", "left").select("doc_id", "node")
     if classes is None:
         found = nodes_of.select("doc_id", F.coalesce("node", "doc_id").alias("class_id"))
