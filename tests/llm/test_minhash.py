@@ -80,9 +80,17 @@ def test_classes_against_brute_force(spark, documents):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
-def test_pairs_across_classes_find_what_stars_miss(spark, documents, monkeypatch):
-    monkeypatch.setattr(M, "STARS", 1)
+def test_families_find_what_stars_miss(spark, documents, monkeypatch):
+    # The leader of a bucket is unlike the others, which are near each other; small blocks.
+    monkeypatch.setattr(M, "BLOCK", 7)
     docs = corpus(2, 40)
+    rng = random.Random(8)
+    base = docs[-1][1].split()
+    for i in range(12):
+        text = base[:]
+        for _ in range(6):
+            text[rng.randrange(len(text))] = f"edit{rng.randrange(3)}"
+        docs.append((100 + i, " ".join(text)))
     assert {r.doc_id: r.class_id for r in M.near_classes(documents(*docs)).collect()} == classes(docs)
 
 
@@ -112,3 +120,24 @@ def test_components_of_chains_stars_and_repeats(spark):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {x: root(x) for x in parent}
+
+
+def test_family_links_join_each_class_once():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(50):
+        t = words[:]
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(120)] = f"x{rng.randrange(6)}"
+        texts.append(" ".join(t + ["again"] * rng.randint(0, 9)))
+    sets = [M.shingles(t) for t in texts]
+    ids = np.arange(50)
+    every = np.ones(50, bool)
+    links = M.family_links(ids, ids, sets, every, every)
+    expected = classes(list(enumerate(texts)))
+    assert len(links) == 50 - len(set(expected.values()))
+    assert all(similarity(texts[a], texts[b]) >= M.LEAST for a, b in links)
+    halves = ids % 2 == 0
+    crossing = M.family_links(ids, ids, sets, halves, ~halves)
+    assert all(halves[a] and not halves[b] for a, b in crossing)
