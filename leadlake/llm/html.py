@@ -7,8 +7,8 @@ marks as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms
 never becomes a line. The ratio characters / tags of the lines, smoothed by a Gaussian, is
 split by two-means clustering of its logarithm; lines above the split are content. A page
 with an article or main element is decided by region: every line of the one whose lines
-hold most content characters belongs to the text. Other pages keep their content lines, and
-the lines between two of them.
+hold most content characters belongs to the text. Other pages keep the lines from the first to
+the last that is content by its own ratio too, and the headings right before them.
 
 A page is one row and one small computation, so pages go through Arrow batches where they
 lie, without a shuffle.
@@ -35,6 +35,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGIONS = frozenset({"article", "main"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 #: Words of a class, id, role or label that mark boilerplate.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|"
@@ -54,6 +55,7 @@ class Line:
     text: str
     tags: int
     region: int  # 0: outside of any article or main
+    heading: bool
 
 
 class Lines(HTMLParser):
@@ -67,13 +69,14 @@ class Lines(HTMLParser):
         self.region, self.regions = 0, 0
         self.parts: list[str] = []
         self.tags = 0
+        self.heading = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.region))
+            self.lines.append(Line(text, self.tags, self.region, self.heading))
             self.tags = 0
-        self.parts = []
+        self.parts, self.heading = [], False
 
     def _pop(self, at: int) -> None:
         while len(self.open) > at:
@@ -86,6 +89,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
             self._imply_ends(tag)
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -130,8 +134,11 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def content_lines(lines: list[Line], sigma: float = 1.0) -> np.ndarray:
-    """Which lines hold content: smoothed log ratios on the upper side of two clusters."""
+def content_lines(lines: list[Line], sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines hold content by their neighbourhood, and which also by themselves.
+
+    Log ratios above the split between two clusters of the smoothed ones are content.
+    """
     ratios = np.array([len(x.text) / max(1, x.tags) for x in lines], float)
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -139,15 +146,15 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> np.ndarray:
     smooth = np.log1p(np.convolve(padded, kernel / kernel.sum(), "valid"))
     low, high = smooth.min(), smooth.max()
     if high - low < 0.5:  # one cluster
-        return np.ones(len(lines), bool)
+        return np.ones(len(lines), bool), np.ones(len(lines), bool)
     for _ in range(50):
-        split = (low + high) / 2
-        upper = smooth > split
+        upper = smooth > (low + high) / 2
         new = smooth[~upper].mean(), smooth[upper].mean()
         if new == (low, high):
             break
         low, high = new
-    return smooth > (low + high) / 2
+    split = (low + high) / 2
+    return smooth > split, (smooth > split) & (np.log1p(ratios) > split)
 
 
 def main_text(html: str) -> str:
@@ -159,7 +166,7 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    content = content_lines(lines)
+    content, alone = content_lines(lines)
     regions = {x.region for x in lines} - {0}
     if regions:
         def weight(region: int) -> tuple[int, int]:
@@ -168,8 +175,11 @@ def main_text(html: str) -> str:
         best = max(sorted(regions), key=weight)
         kept = [x.text for x in lines if x.region == best]
     else:
-        found = np.flatnonzero(content)
-        kept = [x.text for x in lines[found[0]:found[-1] + 1]]
+        found = np.flatnonzero(alone if alone.any() else content)
+        first = found[0]
+        while first and lines[first - 1].heading and content[first - 1]:
+            first -= 1
+        kept = [x.text for x in lines[first:found[-1] + 1]]
     return "\n\n".join(kept)
 
 

@@ -36,8 +36,8 @@ def test_blocks_space_and_references():
 
 def test_page_without_article():
     items = "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(12))
-    text = f"<html><body><ul>{items}</ul><div><p>{PROSE}</p><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p></div><ul>{items}</ul></body></html>"
-    assert main_text(text) == f"{PROSE}\n\n{PROSE}\n\nYes.\n\n{PROSE}"
+    text = f"<html><body><ul>{items}</ul><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p></div><ul>{items}</ul></body></html>"
+    assert main_text(text) == f"Title\n\n{PROSE}\n\n{PROSE}\n\nYes.\n\n{PROSE}"
 
 
 def test_layout_names_do_not_hide_the_page():
