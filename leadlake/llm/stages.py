@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = minhash.near_classes(docs)
     staying = store(classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("staying")).distinct())
     # The ids that stay grow with the documents, so both sides are shuffled by id at every size.
-    held = docs.join(staying.hint("merge"), F.col("doc_id") == F.col("staying")).drop("staying").dropDuplicates(["doc_id"])
+    held = docs.join(staying.hint("merge"), docs["doc_id"] == staying["staying"], "left_semi").dropDuplicates(["doc_id"])
     return held.unionByName(docs.where("doc_id is null"))
 
 
@@ -44,7 +44,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     mixed = mixing.mix(mixing.with_domain(docs), mixing.LEVELS, mixing.WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
     copies = store(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("taken")))
-    return docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("taken"))).drop("taken")
+    return docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["taken"]), "left_semi")
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

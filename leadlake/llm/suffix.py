@@ -428,12 +428,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cut = cut_texts(spans, texts).select("key", "kept_text")
     gone = rows.where("copied").select("key", F.lit("").alias("kept_text")).distinct()
     new = store(cut.unionByName(gone))
-    joined = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).join(
-        new.select(F.col("key").alias("_cut"), F.col("kept_text").alias("_kept")).hint("merge"), F.col("_key") == F.col("_cut"), "left")
-    changed = F.col("_cut").isNotNull()
-    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
-    out = {"text": text}
+    # Columns are named by their table, so extra columns of any name pass.
+    joined = docs.join(new.hint("merge"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == new["key"], "left")
+    changed = new["key"].isNotNull()
+    out = {"text": F.when(changed, new["kept_text"]).otherwise(docs["text"])}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out["n_chars"] = F.when(changed, F.length("_kept").cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out["n_chars"] = F.when(changed, F.length(new["kept_text"]).cast(kind)).otherwise(docs["n_chars"])
+    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
