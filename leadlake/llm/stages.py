@@ -24,16 +24,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates stays, once."""
+    """The document with the least id of each class of near-duplicates stays, once, without its
+    repeated runs of over 50 words.
+
+    Of those runs, what the suffix stage's law of 400 bytes covers stays for that stage.
+    """
     classes = minhash.near_classes(docs)
     staying = store(classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("staying")).distinct())
     # The ids that stay grow with the documents, so both sides are shuffled by id at every size.
     held = docs.join(staying.hint("merge"), docs["doc_id"] == staying["staying"], "left_semi").dropDuplicates(["doc_id"])
-    return held.unionByName(docs.where("doc_id is null"))
+    held = store(held.unionByName(docs.where("doc_id is null")))
+    return suffix.without_repeats(held, suffix.PASSAGES, spared=suffix.BYTES)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; n_chars follows. Every row stays."""
+    """Repeated passages of 400 bytes are cut out of the texts; n_chars follows. Every row stays.
+
+    Shorter ones of over 50 words are gone by now (``near_dedup``), so of the two laws' repeats nothing stays.
+    """
     return suffix.without_repeats(docs)
 
 

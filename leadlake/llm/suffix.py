@@ -15,12 +15,18 @@ third of all rows share is one row there. Equal documents are settled by their m
 
 An anchor with more than MOST_CONTEXTS different contexts would gather too much in one task; its
 strings are compared by a grouping on two 64-bit hashes of each string instead.
+
+All of this counts in units, which a law names: bytes (``BYTES``, the default), or words
+(``PASSAGES``: every word covered by a run of 51 words that occurs anywhere else too, whatever
+space is between the words). Words are handled as their 64-bit hashes; the verification compares their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,51 @@ MOST_CONTEXTS = 8_000
 AT_ONCE = 2_000_000  # bytes hashed together
 SUFFIXES_AT_ONCE = 400_000
 
+
+@dataclass(frozen=True)
+class Law:
+    """What a repeated string is: ``length`` units or more; an anchor is a run of ``gram`` units."""
+
+    length: int
+    gram: int
+    words: bool = False  # units are words, not bytes
+
+
+BYTES = Law(LENGTH, GRAM)
+PASSAGES = Law(51, 20, words=True)
+
+#: Words as in common.WORD, on the bytes of a text; bytes.split() cuts at the same places.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _WordHashes()
+
+
+def units(text: bytes, law: Law) -> np.ndarray:
+    """A text as an array of numbers: its bytes, or the hashes of its words."""
+    if not law.words:
+        return np.frombuffer(text, np.uint8)
+    if len(_hashes) > 700_000:
+        _hashes.clear()
+    words = text.split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _bounds(text: bytes, n: int, law: Law) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings of ``law.length`` units that start at each of n units begin and end, in bytes."""
+    if not law.words:
+        return np.arange(n), np.arange(n) + law.length
+    size = np.array([len(w) for w in text.split()], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    return begin[:n], (begin + size)[law.length - 1:law.length - 1 + n]
+
+
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -96,64 +147,71 @@ def _least_run(hashes: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: the hash of each anchor, the last start it serves, and a 64-bit key of its context.
+def anchors(texts: Sequence[bytes | np.ndarray], law: Law = BYTES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text (its bytes or units): the hash of each anchor, the last start it serves, and a 64-bit key of its context.
 
     An anchor serves the starts after those of the anchor before it; its context reaches from
-    its first start to LENGTH bytes from its last one.
+    its first start to the law's length from its last one.
     """
     none = np.empty(0, np.int64)
     out = [(none, none, none)] * len(texts)
     group, size = [], 0
     for i, text in enumerate(texts):
-        if len(text) >= LENGTH:
+        if len(text) >= law.length:
             group.append(i)
             size += len(text)
         if group and (size >= AT_ONCE or i == len(texts) - 1 or size + len(texts[i + 1]) > 1 << 23):
-            data = b"".join(texts[j] for j in group)
+            data = np.concatenate([_array(texts[j]) for j in group])
             if len(data) >= 1 << 24:  # one huge text: in overlapping parts
-                out[group[0]] = _huge(data)
+                out[group[0]] = _huge(data, law)
             else:
-                for j, found in zip(group, _anchors(data, [len(texts[j]) for j in group]), strict=True):
+                for j, found in zip(group, _anchors(data, [len(texts[j]) for j in group], law), strict=True):
                     out[j] = found
             group, size = [], 0
     return out
 
 
-def _anchors(data: bytes, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    hashes = PrefixHashes(np.frombuffer(data, np.uint8)).runs(GRAM)
-    least = _least_run(hashes, LENGTH - GRAM + 1)
+def _array(text: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
+
+
+def _anchors(data: np.ndarray, sizes: list[int], law: Law = BYTES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    hashes = PrefixHashes(data).runs(law.gram)
+    least = _least_run(hashes, law.length - law.gram + 1)
     view, out, base = memoryview(data), [], 0
     for size in sizes:
-        places = least[base:base + size - LENGTH + 1]
+        places = least[base:base + size - law.length + 1]
         ends = np.flatnonzero(np.append(places[1:] != places[:-1], True))
         first = base + np.concatenate([[0], ends[:-1] + 1])
-        keys = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (base + ends + LENGTH).tolist(), strict=True)]
+        keys = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (base + ends + law.length).tolist(), strict=True)]
         out.append((hashes[places[ends]].view(np.int64), ends, np.array(keys, np.uint64).view(np.int64)))
         base += size
     return out
 
 
-def _huge(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _huge(data: bytes | np.ndarray, law: Law = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step = 1 << 22
     parts = []
-    for base in range(0, len(data) - LENGTH + 1, step):
-        piece = data[base:base + step + LENGTH - 1]
-        hashes, last, keys = _anchors(piece, [len(piece)])[0]
+    for base in range(0, len(data) - law.length + 1, step):
+        piece = _array(data[base:base + step + law.length - 1])
+        hashes, last, keys = _anchors(piece, [len(piece)], law)[0]
         parts.append((hashes, last + base, keys))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def suffix_order(prefix: PrefixHashes, data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """The order of the suffixes at ``starts``, cut at ``limit`` bytes, inside each group.
+    """The order of the suffixes at ``starts``, cut at ``limit`` units, inside each group.
 
     A bottom-up mergesort of all groups at once. Suffixes are first told apart by their group and first
-    eight bytes; runs of those that tie are merged: each suffix finds its rank in the other
+    eight bytes, or first word; runs of those that tie are merged: each suffix finds its rank in the other
     run by binary search, and each comparison is the search for the common extension.
     """
-    head = np.zeros(len(starts), np.uint64)
-    for i in range(8):
-        head = (head << np.uint64(8)) | data[starts + i].astype(np.uint64)
+    if data.dtype == np.uint64:
+        head = data[starts]
+    else:
+        head = np.zeros(len(starts), np.uint64)
+        for i in range(8):
+            head = (head << np.uint64(8)) | data[starts + i].astype(np.uint64)
     order = np.lexsort((head, group))
     g, h = group[order], head[order]
     fresh = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])) if len(order) else np.empty(0, bool)
@@ -196,11 +254,21 @@ def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) ->
     return out
 
 
-def repeated_starts(contexts: list[bytes], group: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+def _equal_words(contexts: list[bytes], x: np.ndarray, y: np.ndarray, law: Law) -> np.ndarray:
+    """The same for strings that start at words x and y of the joined contexts."""
+    text = b" ".join(contexts)
+    begin, end = _bounds(text, int(max(x.max(), y.max())) + 1 if len(x) else 0, law)
+    places = zip(*(v.tolist() for v in (begin[x], end[x], begin[y], end[y])), strict=True)
+    return np.array([text[a:b] == text[c:d] for a, b, c, d in places], bool)
+
+
+def repeated_starts(contexts: list[bytes], group: np.ndarray, length: int = LENGTH, words: bool = False) -> list[np.ndarray]:
     """Per context a mark for each of its starts: whether the string there starts in another
     place of the same group's contexts too."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    law = Law(length, 0, words)
+    parts = [units(c, law) for c in contexts]
+    data = np.concatenate([np.empty(0, np.uint64 if words else np.uint8), *parts])
+    sizes = np.array([len(p) for p in parts], np.int64)
     many = np.maximum(sizes - length + 1, 0)
     base = np.cumsum(sizes) - sizes
     starts = np.repeat(base - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
@@ -214,7 +282,8 @@ def repeated_starts(contexts: list[bytes], group: np.ndarray, length: int = LENG
         order = some[suffix_order(prefix, data, starts[some], own[some], length)]
         x, y = order[:-1], order[1:]
         near = np.flatnonzero((own[x] == own[y]) & (prefix.common(starts[x], starts[y], length) >= length))
-        near = near[_equal_bytes(data, starts[x[near]], starts[y[near]], length)]
+        a, b = starts[x[near]], starts[y[near]]
+        near = near[_equal_words(contexts, a, b, law) if words else _equal_bytes(data, a, b, length)]
         marks[x[near]] = marks[y[near]] = True
     return np.split(marks, np.cumsum(many)[:-1]) if len(contexts) else []
 
@@ -240,27 +309,29 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, key (md5 of the text), n_bytes, sha256, and its anchors as arrays."""
+def scan(docs: DataFrame, law: Law = BYTES) -> DataFrame:
+    """Per row: doc_id, key (md5 of the text), n_bytes, sha256, whether it is as long as the law's strings, and its anchors as arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = _bytes_of(batch.column(1))
             ids = batch.column(0)
             for part in _parts(every):
                 texts = every[part]
-                found = anchors(texts)
+                counted = [units(t, law) for t in texts]
+                found = anchors(counted, law)
                 yield pa.RecordBatch.from_arrays([
                     ids[part.start:part.stop], pa.array([hashlib.md5(t).hexdigest() for t in texts]),
                     pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                    pa.array([len(u) >= law.length for u in counted], pa.bool_()),
                     pa.array([a for a, _, _ in found], pa.list_(pa.int64())), pa.array([e.astype(np.int32) for _, e, _ in found], pa.list_(pa.int32())),
                     pa.array([k for _, _, k in found], pa.list_(pa.int64())),
-                ], names=["doc_id", "key", "n_bytes", "sha256", "anchors", "lasts", "contexts"])
+                ], names=["doc_id", "key", "n_bytes", "sha256", "long", "anchors", "lasts", "contexts"])
 
-    schema = "doc_id bigint, key string, n_bytes bigint, sha256 string, anchors array<bigint>, lasts array<int>, contexts array<bigint>"
+    schema = "doc_id bigint, key string, n_bytes bigint, sha256 string, long boolean, anchors array<bigint>, lasts array<int>, contexts array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _slices(texts: DataFrame, wanted: DataFrame, law: Law) -> DataFrame:
     """The bytes of the wanted contexts: key, anchor, first, last, bytes."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("cuts"))
 
@@ -268,25 +339,27 @@ def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1))
             for key, text, cuts in zip(keys, texts, batch.column(2).to_pylist(), strict=True):
+                cut = text.split() if law.words else text
+                parts = [cut[c["first"]:c["last"] + law.length] for c in cuts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([key] * len(cuts)), pa.array([c["anchor"] for c in cuts], pa.int64()),
                     pa.array([c["first"] for c in cuts], pa.int32()),
-                    pa.array([text[c["first"]:c["last"] + LENGTH] for c in cuts], pa.binary()),
+                    pa.array([b" ".join(p) if law.words else p for p in parts], pa.binary()),
                 ], names=["key", "anchor", "first", "bytes"])
 
     return texts.join(per_text, "key").select("key", "text", "cuts").mapInArrow(run, "key string, anchor bigint, first int, bytes binary")
 
 
-def _sorted_repeats(slices: DataFrame) -> DataFrame:
+def _sorted_repeats(slices: DataFrame, law: Law) -> DataFrame:
     """Spans (key, from, until) of the repeats among the contexts of each anchor hash."""
     schema = pa.schema([("key", pa.string()), ("from", pa.int64()), ("until", pa.int64())])
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
         _, group = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
         out: list[tuple] = []
-        for (key, _, first, _), marks in zip(rows, repeated_starts([r[3] for r in rows], group), strict=True):
+        for (key, _, first, _), marks in zip(rows, repeated_starts([r[3] for r in rows], group, law.length, law.words), strict=True):
             a, b = _runs(marks)
-            out += [(key, first + x, first + y + LENGTH) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            out += [(key, first + x, first + y + law.length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(schema.names)}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +373,7 @@ def _sorted_repeats(slices: DataFrame) -> DataFrame:
                         waiting, size = [], 0
                     anchor = row[1]
                 waiting.append(row)
-                size += len(row[3]) - LENGTH + 1
+                size += (row[3].count(b" ") + 1 if law.words else len(row[3])) - law.length + 1
         if waiting:
             yield spans(waiting)
 
@@ -309,13 +382,14 @@ def _sorted_repeats(slices: DataFrame) -> DataFrame:
     return sorted_slices.select("key", "anchor", "first", "bytes").mapInArrow(run, "key string, from bigint, until bigint")
 
 
-def _hashed_repeats(slices: DataFrame) -> DataFrame:
+def _hashed_repeats(slices: DataFrame, law: Law) -> DataFrame:
     """The same spans by grouping the strings of very large anchors on 128 bits of hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "first", "bytes")), strict=True):
-                h = PrefixHashes(np.frombuffer(text, np.uint8)).runs(LENGTH).view(np.int64)
-                other = [xxhash.xxh3_64_intdigest(text[i:i + LENGTH]) for i in range(len(h))]
+                h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
+                begin, end = _bounds(text, len(h), law)
+                other = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([key] * len(h)), pa.array(np.arange(len(h)) + first, pa.int64()), pa.array(h),
                     pa.array(np.array(other, np.uint64).view(np.int64)),
@@ -323,17 +397,17 @@ def _hashed_repeats(slices: DataFrame) -> DataFrame:
 
     strings = slices.mapInArrow(run, "key string, from bigint, h1 bigint, h2 bigint")
     twice = store(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
-    return strings.join(twice, ["h1", "h2"]).select("key", "from", (F.col("from") + LENGTH).alias("until"))
+    return strings.join(twice, ["h1", "h2"]).select("key", "from", (F.col("from") + law.length).alias("until"))
 
 
-def repeats(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, spans, texts): the scanned rows; the spans (key, from, until) to remove from each
-    different text; and the texts that have any, a row for each key.
+def repeats(docs: DataFrame, most_contexts: int = MOST_CONTEXTS, *, law: Law = BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, spans, texts): the scanned rows; the spans (key, from, until, words, spare) to remove from each
+    different text, in units; and the texts that have any, a row for each key.
 
-    A row whose whole text occurs twice loses all of it if it has LENGTH bytes; ``rows`` says so in
+    A row whose whole text occurs twice loses all of it if it has the law's length; ``rows`` says so in
     ``copied`` and has no spans for it.
     """
-    rows = store(scan(docs))
+    rows = store(scan(docs, law))
     texts_of = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"))
     texts_of = store(texts_of)
     copies = store(texts_of.where("n > 1").select("key", "holder"))
@@ -352,23 +426,25 @@ def repeats(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFr
                                                        F.col("one.first").alias("first"), F.col("one.last").alias("last"))
     wanted = store(wanted)
     settled = served.where("not copied").join(store(contexts.where("n > 1").select("anchor", "context")), ["anchor", "context"])
-    settled = settled.select("key", F.col("first").cast("bigint").alias("from"), (F.col("last") + LENGTH).cast("bigint").alias("until"))
+    settled = settled.select("key", F.col("first").cast("bigint").alias("from"), (F.col("last") + law.length).cast("bigint").alias("until"))
     needed = store(settled.select("key").unionByName(wanted.select("key")).distinct())
     holders = store(needed.join(texts_of.select("key", "holder"), "key"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(holders, F.col("id").eqNullSafe(F.col("holder")))
     texts = store(texts.where("md5(cast(text as binary)) = key").select("key", "text").dropDuplicates(["key"]))
     small, large = wanted.where(F.col("m") <= most_contexts), wanted.where(F.col("m") > most_contexts)
-    spans = settled.unionByName(_sorted_repeats(_slices(texts, small)))
+    spans = settled.unionByName(_sorted_repeats(_slices(texts, small, law), law))
     if not large.isEmpty():
-        spans = spans.unionByName(_hashed_repeats(store(_slices(texts, large))))
+        spans = spans.unionByName(_hashed_repeats(store(_slices(texts, large, law)), law))
     rows = rows.join(copies.select("key", F.lit(True).alias("copied")), "key", "left")
-    rows = rows.withColumn("copied", F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= LENGTH))
-    return rows.select("doc_id", "key", "n_bytes", "sha256", "copied"), store(spans), texts
+    rows = rows.withColumn("copied", F.coalesce("copied", F.lit(False)) & F.col("long"))
+    return rows.select("doc_id", "key", "n_bytes", "sha256", "copied"), store(spans.withColumns({"words": F.lit(law.words), "spare": F.lit(False)})), texts
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
+    """The spans in bytes, overlapping and touching ones as one. A run of words ends with its last word."""
+    words = [m.span() for m in _WORD.finditer(text)] if any(s["words"] for s in spans) else []
     out: list[list[int]] = []
-    for a, b in sorted((s["from"], s["until"]) for s in spans):
+    for a, b in sorted((words[s["from"]][0], words[s["until"] - 1][1]) if s["words"] else (s["from"], s["until"]) for s in spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -376,6 +452,23 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _outside(spans: list[tuple[int, int]], spared: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of the spans no spared one covers; both are ordered and disjoint."""
+    out, at = [], 0
+    for a, b in spans:
+        while at < len(spared) and spared[at][1] <= a:
+            at += 1
+        i = at
+        while i < len(spared) and spared[i][0] < b:
+            if a < spared[i][0]:
+                out.append((a, spared[i][0]))
+            a = spared[i][1]
+            i += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def _kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -383,13 +476,13 @@ def _kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def cut_texts(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """key, kept_text (whole characters of the remaining bytes), n_removed, n_spans, kept_sha256."""
-    per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "until")).alias("spans"))  # one text's spans
+    per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "until", "words", "spare")).alias("spans"))  # one text's spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("key", "kept_text", "n_removed", "n_spans", "kept_sha256")}
             for key, text, found in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                merged = _merged(found)
+                merged = _outside(_merged([s for s in found if not s["spare"]], text), _merged([s for s in found if s["spare"]], text))
                 kept = _kept_bytes(text, merged)
                 values = (key, kept.decode("utf-8", "ignore"), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest())
                 for name, value in zip(out, values, strict=True):
@@ -418,15 +511,23 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, law: Law = BYTES, spared: Law | None = None) -> DataFrame:
     """The documents without their repeated passages, in the same columns.
 
+    What another law, ``spared``, calls repeated stays, and all of a text that is whole a repeat
+    by it, so a later removal by that law finds the same strings as without this one.
     What remains of a text keeps its whole characters; a character cut inside is dropped.
     n_chars, if there, is counted anew. Texts without repeats, null ones included, stay as they are.
     """
-    rows, spans, texts = repeats(docs)
-    cut = cut_texts(spans, texts).select("key", "kept_text")
-    gone = rows.where("copied").select("key", F.lit("").alias("kept_text")).distinct()
+    rows, spans, texts = repeats(docs, law=law)
+    gone = whole = store(rows.where("copied").select("key").distinct())
+    if spared is not None:
+        others, more, _ = repeats(docs, law=spared)
+        staying = store(others.where("copied").select("key").distinct())
+        gone, whole = gone.join(staying, "key", "left_anti"), gone.unionByName(staying)
+        spans = spans.unionByName(more.withColumn("spare", F.lit(True)))
+    cut = cut_texts(spans.join(whole.hint("merge"), "key", "left_anti"), texts).select("key", "kept_text")
+    gone = gone.withColumn("kept_text", F.lit(""))
     new = store(cut.unionByName(gone))
     # Columns are named by their table, so extra columns of any name pass.
     joined = docs.join(new.hint("merge"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == new["key"], "left")

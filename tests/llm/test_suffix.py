@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,74 @@ def test_odd_rows(spark, odd, documents):
     assert long.n_removed == long.n_bytes and long.n_spans == 1
     assert S.digests(documents()).count() == 0
     assert S.without_repeats(odd).count() == odd.count() and S.without_repeats(documents()).count() == 0
+
+
+def brute_words(texts, length):
+    """Per text the places of its words, and the words that a repeated run of ``length`` words covers."""
+    cut = [t.split() for t in texts]
+    many = Counter(tuple(w[i:i + length]) for w in cut for i in range(len(w) - length + 1))
+    return [{j for i in range(len(w) - length + 1) if many[tuple(w[i:i + length])] > 1 for j in range(i, i + length)} for w in cut]
+
+
+def worded(seed):
+    rng = random.Random(seed)
+    word = lambda n: [rng.choice(("a", "of", "the", "word", "é", "river", "b.", "x1")) + str(rng.randint(0, 99)) for _ in range(n)]
+    passages = {n: word(n) for n in (50, 51, 58, 120)}
+    docs = [word(rng.randint(0, 200)) + passages[n] + word(rng.randint(0, 200)) for n in passages for _ in range(4)]
+    docs += [word(9) + passages[120][a:b] + word(5) + passages[58][:c] for a, b, c in ((0, 51, 51), (30, 100, 50), (69, 120, 58), (5, 52, 7))]
+    docs += [docs[0], docs[0], passages[51], passages[50], word(3), [], ["z"] * 200]
+    return [("\n" if i % 2 else "  ").join(d) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("most", [S.MOST_CONTEXTS, 3])
+def test_runs_of_words_against_brute_force(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(S.repeats, "__defaults__", (most,))
+    texts = worded(most)
+    assert any(0 < len(" ".join(t.split()[i] for i in sorted(g))) < 400 for t, g in zip(texts, brute_words(texts, 51), strict=True))
+    rows = S.without_repeats(documents(*enumerate(texts)), S.PASSAGES).collect()
+    got = {r.doc_id: r.text.split() for r in rows}
+    assert len(rows) == len(texts)
+    for i, (t, gone) in enumerate(zip(texts, brute_words(texts, 51), strict=True)):
+        assert got[i] == [w for j, w in enumerate(t.split()) if j not in gone]
+
+
+def test_hashes_of_words_are_verified(monkeypatch):
+    monkeypatch.setattr(S.PrefixHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+    rng = random.Random(4)
+    texts = [b" ".join(b"%d" % rng.randint(0, 9) for _ in range(70)) for _ in range(2)]
+    assert not any(m.any() for m in S.repeated_starts(texts, np.zeros(2, int), 51, words=True))
+
+
+def test_spared_spans():
+    assert S._outside([(0, 10), (20, 30), (40, 50)], [(2, 4), (8, 22), (25, 26), (39, 60)]) == [(0, 2), (4, 8), (22, 25), (26, 30)]
+    assert S._outside([(0, 10)], []) == [(0, 10)] and S._outside([], [(0, 1)]) == []
+
+
+def test_the_pipeline_catches_short_passages(spark, documents):
+    """Runs of 51 words below 400 bytes, strings of 400 bytes with few words, and one that overlaps the other."""
+    from leadlake.llm import stages
+    from leadlake.session import store
+
+    rng = random.Random(6)
+    own = lambda k: [f"own{k}x{rng.randint(0, 10**6)}" for _ in range(40)]
+    run = [f"w{i}" for i in range(51)]
+    long = [f"{i:02}" * 12 for i in range(17)]  # 17 words, over 400 bytes
+    assert len(" ".join(run)) < S.LENGTH < len(" ".join(long))
+    texts = [own(0) + run + own(1), own(2) + run + own(3), own(4) + long + own(5), own(6) + long[:-1] + run + own(7),
+             own(8) + run[-20:] + long + own(9), own(10) + run[-20:] + long + own(11), own(12) + run[:50] + own(13)]
+    own_words = [[w for w in t if w[:3] == "own"] for t in texts]
+    docs = documents(*[(i, " ".join(t)) for i, t in enumerate(texts)])
+    out = stages.suffix_dedup(spark, store(stages.near_dedup(spark, docs, "")), "")
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    whole = [" ".join(t).encode() for t in texts]
+    for i, (t, covered) in enumerate(zip(whole, brute_words(whole, 51), strict=True)):
+        gone = np.zeros(len(t), bool)
+        places = [m.span() for m in re.finditer(rb"\S+", t)]
+        for j in covered:
+            gone[places[j][0]:places[j + 1][0] if j + 1 in covered else places[j][1]] = True
+        for j in range(len(t) - S.LENGTH + 1):
+            if sum(o.count(t[j:j + S.LENGTH]) for o in whole) > 1:
+                gone[j:j + S.LENGTH] = True
+        assert got[i].text.encode() == bytes(b for b, g in zip(t, gone, strict=True) if not g)
+    assert got[0].text.split() == own_words[0] and got[6].text.encode() == whole[6]
