@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm import classifier, frames, html, minhash, mixing, packing, quality, sharding, suffix, vectors
+from leadlake.llm import (
+    centroids,
+    classifier,
+    frames,
+    html,
+    minhash,
+    mixing,
+    packing,
+    personal,
+    quality,
+    sharding,
+    suffix,
+    vectors,
+    whitening,
+)
 from leadlake.llm.common import read
 
 SHARDS = 40
@@ -65,6 +79,18 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -76,7 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
+    "op11_personal_data": op11_personal_data,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op9_mixing": mixing.oracle(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op12_centroid_clustering": centroids.oracle(),
 }
