@@ -1,8 +1,8 @@
 """Training, calibration and promotion on Spark ML.
 
-Features are assembled once by a persisted preprocessing pipeline; learners, calibrators and
-folds then run on the assembled table. Model metadata (levels, medians, weights, calibrators)
-passes through the driver; calibrators score by Spark ML's own binary search.
+Features are assembled once by a fitted preprocessor; learners, calibrators and folds then run
+on the assembled table. Of the data, only scalars per feature and the final blocks of a
+calibrator reach the driver; calibrators score by Spark ML's own binary search.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -24,9 +24,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +37,12 @@ from leadlake.functions import scoring as X
 from leadlake.functions.numbers import round_to
 from leadlake.functions.text import field_label
 from leadlake.operators import score as scoring
-from leadlake.operators.clean import baseline_row, category_counts, category_options, clean_frame, labelled_rows
+from leadlake.operators.clean import baseline_row, category_options, clean_frame, labelled_rows
 from leadlake.operators.drift import feature_statistics
+from leadlake.operators.isotonic import fit_isotonic
 from leadlake.operators.leakage import detect_leakage
 from leadlake.operators.metrics import model_metrics
+from leadlake.operators.preprocess import Preprocessor
 from leadlake.operators.ranks import global_rank
 from leadlake.session import store
 
@@ -82,68 +84,6 @@ def stratified_split(df: DataFrame, label: str, id_column: str, by: Sequence[str
     return ranked.withColumn("is_test", F.col("rank") <= size).drop("_h", "rank", "rows")
 
 
-def _literal(value: float) -> str:
-    return f"CAST('{value!r}' AS DOUBLE)"
-
-
-@dataclass
-class Preprocessor:
-    """Imputes, standardises and one-hot encodes clean frames into ``features``.
-
-    ``passthrough`` names numeric columns that enter as they are (already encoded data).
-    """
-
-    numeric: list[str]
-    categorical: list[str]
-    passthrough: list[str] = field(default_factory=list)
-    model: PipelineModel | None = None
-
-    def fit(self, clean: DataFrame) -> "Preprocessor":
-        baseline = baseline_row(clean, numeric=self.numeric, categorical=[]).first() if self.numeric else {}
-        stats = clean.select(*[
-            x for c in self.numeric for x in (
-                F.avg(F.coalesce(F.col(c), F.lit(baseline[c]))).alias(f"{c}_mean"),
-                F.stddev_pop(F.coalesce(F.col(c), F.lit(baseline[c]))).alias(f"{c}_std"))
-        ]).first() if self.numeric else {}
-        kept = (
-            category_counts(clean.select(*[F.coalesce(F.col(c), F.lit(schema.UNKNOWN)).alias(c)
-                                           for c in self.categorical]), self.categorical)
-            .where(F.col("n") >= S.INFREQUENT_LEVEL_ROWS)
-            .groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("levels")).collect()
-        ) if self.categorical else []
-        levels = {row["feature"]: row["levels"] for row in kept}
-        encoded = [c for c in self.categorical if len(levels.get(c, [])) > 1 or (
-            levels.get(c) and levels[c] != [schema.UNKNOWN])]
-
-        scaled = []
-        for c in self.numeric:
-            spread = stats[f"{c}_std"] or 1.0
-            scaled.append(f"(coalesce(`{c}`, {_literal(baseline[c])}) - {_literal(stats[f'{c}_mean'])})"
-                          f" / {_literal(spread)} AS `{c}_z`")
-        filled = [f"coalesce(`{c}`, '{schema.UNKNOWN}') AS `{c}_filled`" for c in encoded]
-        stages: list[Any] = [SQLTransformer(
-            statement="SELECT *, " + ", ".join(scaled + filled) + " FROM __THIS__")]
-        if encoded:
-            stages += [
-                StringIndexerModel.from_labels(levels[c], inputCol=f"{c}_filled", outputCol=f"{c}_i",
-                                               handleInvalid="keep")
-                for c in encoded
-            ]
-            # Infrequent and unseen levels share the extra slot that "keep" adds.
-            stages.append(OneHotEncoder(inputCols=[f"{c}_i" for c in encoded],
-                                        outputCols=[f"{c}_hot" for c in encoded], dropLast=False))
-        stages.append(VectorAssembler(
-            inputCols=[f"{c}_z" for c in self.numeric] + [f"{c}_hot" for c in encoded] + self.passthrough,
-            outputCol="features"))
-        self.model = Pipeline(stages=stages).fit(clean)
-        return self
-
-    def apply(self, clean: DataFrame) -> DataFrame:
-        made = self.model.transform(clean)
-        extra = [c for c in made.columns if c not in clean.columns and c != "features"]
-        return made.drop(*extra)
-
-
 # ------------------------------------------------------------------ learners
 
 
@@ -190,13 +130,6 @@ def _raw_score(df: DataFrame) -> Column:
     return vector_to_array("rawPrediction")[1]
 
 
-def fit_isotonic(scored: DataFrame, score: str = "raw", label: str = "label") -> IsotonicRegressionModel:
-    """A calibrator from (score, label) rows, collapsed to distinct scores first."""
-    points = scored.groupBy(F.col(score).alias("x")).agg(
-        F.avg(label).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="iso").fit(points)
-
-
 def calibrated(df: DataFrame, calibrator: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
     """Adds ``out``: the calibrated ``score``; the fitted model looks each score up by binary search."""
     return calibrator.copy().setFeaturesCol(score).setPredictionCol(out).transform(df)
@@ -304,7 +237,7 @@ class Ensemble:
     def save(self, path: str) -> None:
         """Everything ``load`` needs, under ``path``: Spark ML folders, tables, and one row of metadata."""
         spark = SparkSession.active()
-        self.preprocessor.model.write().overwrite().save(f"{path}/preprocess")
+        preprocess = self.preprocessor.save(f"{path}/preprocess")
         for name, learner in self.learners.items():
             for i, (model, calibrator) in enumerate(learner.members):
                 PipelineModel([model]).write().overwrite().save(f"{path}/{name}-{i}")
@@ -317,8 +250,7 @@ class Ensemble:
         facts = {
             "version": self.version, "tier": self.tier, "weights": self.weights, "features_used": self.features_used,
             "training_rows": self.training_rows, "conversion_rate": self.conversion_rate, "metrics": self.metrics,
-            "numeric": self.preprocessor.numeric, "categorical": self.preprocessor.categorical,
-            "passthrough": self.preprocessor.passthrough, "tables": sorted(self.tables), "calibrated": self.calibrator is not None,
+            "preprocess": preprocess, "tables": sorted(self.tables), "calibrated": self.calibrator is not None,
             "learners": {n: {"members": len(x.members), "sigmoid": x.sigmoid} for n, x in self.learners.items()},
         }
         spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
@@ -327,7 +259,7 @@ class Ensemble:
     def load(spark: SparkSession, path: str) -> Ensemble:
         """The model that ``save`` wrote; it scores alike."""
         facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
-        prep = Preprocessor(facts["numeric"], facts["categorical"], facts["passthrough"], PipelineModel.load(f"{path}/preprocess"))
+        prep = Preprocessor.load(spark, f"{path}/preprocess", facts["preprocess"])
         learners = {}
         for name, made in facts["learners"].items():
             sigmoid = made["sigmoid"] and [tuple(x) for x in made["sigmoid"]]

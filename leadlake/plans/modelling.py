@@ -1,16 +1,19 @@
-"""Queries that fit models. They train on all labelled leads with few rounds and folds;
-no SQL twin exists, so tests check their properties."""
+"""Queries that fit models. They train on all labelled leads with few rounds and folds.
+Where no SQL twin exists, tests check their properties."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from leadlake.functions.numbers import round_to
 from leadlake.operators import clean as C
+from leadlake.operators import isotonic as IS
+from leadlake.operators import preprocess as PP
 from leadlake.operators import score as SC
 from leadlake.operators import train as TR
 from leadlake.plans import fixtures as FX
-from leadlake.plans.fixtures import with_leads
+from leadlake.plans.fixtures import round_sql, with_leads, with_scored
 from leadlake.plans.registry import query
 from leadlake.session import store
 
@@ -22,11 +25,18 @@ CAT = ["channel", "industry", "country", "occupation", "last_activity"]
 def training_rows(spark, sf):
     """Labelled leads with a label that follows engagement, so that there is something to learn."""
     s = FX.scored(spark, sf).where(F.col("converted").isNotNull())
-    noise = F.pmod(F.xxhash64("lead_key"), F.lit(1000)) / 1000.0
+    noise = F.pmod(F.col("lead_key") * 7919, F.lit(1000)) / 1000.0
     return s.select("tenant_id", "lead_key", "external_id", *NUM, *CAT,
                     (F.col("probability") + noise * 0.6 > 0.8).cast("int").alias("converted"))
 
 
+TRAINING_SQL = f"""training AS (
+  SELECT tenant_id, lead_key, external_id, {', '.join(NUM)},
+         {', '.join(f"CASE WHEN {c} IN ('Select', 'Unknown') THEN 'Unknown' ELSE {c} END AS {c}" for c in CAT)}, probability,
+         CAST(probability + ((lead_key * 7919) % 1000) / 1000e0 * 0.6e0 > 0.8e0 AS INTEGER) AS converted
+  FROM scored WHERE converted IS NOT NULL)"""
+
+
 def small_learners():
     """The three learners of the ensemble."""
     return {"random_forest": TR.train_forest(TREES, 6), "boosted_a": TR.train_boosted_a(ROUNDS), "boosted_b": TR.train_boosted_b(ROUNDS)}
@@ -44,9 +54,51 @@ def ready(spark, sf):
     return store(TR.with_balance(made))
 
 
-@query("preprocess")
+def _level_sql(c):
+    return (f"SELECT '{c}' AS feature, {c} AS value, row_number() OVER (ORDER BY md5({c}), {c}) - 1 AS slot "
+            f"FROM training GROUP BY {c} HAVING COUNT(*) >= 25")
+
+
+def _z_sql(c):
+    filled = f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM training))"
+    return (f"{round_sql(f'({filled} - (SELECT avg({filled}) FROM training)) / (SELECT stddev_pop({filled}) FROM training)', 6)} AS {c}")
+
+
+@query("preprocess", with_scored(f"""
+SELECT lead_key, converted AS label, {', '.join(map(_z_sql, NUM))},
+       {', '.join(f"coalesce((SELECT CAST(slot AS INTEGER) FROM levels l WHERE l.feature = '{c}' AND l.value = t.{c}), "
+                  f"(SELECT CAST(COUNT(*) AS INTEGER) FROM levels WHERE feature = '{c}')) AS {c}" for c in CAT)}
+FROM training t""", f"{TRAINING_SQL}, levels AS ({' UNION ALL '.join(map(_level_sql, CAT))})"))
 def preprocess(spark, sf):
-    return ready(spark, sf).select("lead_key", F.expr("label"), F.col("features").cast("string").alias("features"))
+    """The scaled numbers and the slots that are set in the feature vectors of all labelled leads."""
+    clean = C.clean_frame(training_rows(spark, sf), keep=["lead_key", "converted"])
+    prep = PP.Preprocessor(NUM, CAT).fit(clean)
+    made = prep.apply(clean).select("lead_key", F.col("converted").alias("label"), vector_to_array("features").alias("v"))
+    out, at = [round_to(F.get("v", F.lit(i)), 6).alias(c) for i, c in enumerate(NUM)], len(NUM)
+    for c, n in prep.sizes.items():
+        out.append((F.array_position(F.slice("v", at + 1, n), 1.0) - 1).cast("int").alias(c))
+        at += n
+    return made.select("lead_key", "label", *out)
+
+
+@query("isotonic_blocks", with_scored(f"""
+SELECT tenant_id, {round_sql('min(x)', 6)} AS lo, {round_sql('max(x)', 6)} AS hi, {round_sql('value', 9)} AS value, CAST(sum(w) AS DOUBLE) AS weight
+FROM fitted JOIN points USING (tenant_id, i) GROUP BY tenant_id, value""", f"""{TRAINING_SQL},
+points AS (
+  SELECT *, row_number() OVER o AS i, sum(t) OVER o AS tt, sum(w) OVER o AS ww
+  FROM (SELECT tenant_id, probability AS x, sum(converted) AS t, count(*) AS w FROM training GROUP BY 1, 2)
+  WINDOW o AS (PARTITION BY tenant_id ORDER BY x)),
+runs AS (
+  SELECT tenant_id, a.i AS a, b.i AS i, CAST(b.tt - a.tt + a.t AS DOUBLE) / (b.ww - a.ww + a.w) AS mean
+  FROM points a JOIN points b USING (tenant_id) WHERE b.i >= a.i),
+lower AS (SELECT tenant_id, a, i, min(mean) OVER (PARTITION BY tenant_id, a ORDER BY i DESC) AS low FROM runs),
+fitted AS (SELECT tenant_id, i, max(low) AS value FROM lower GROUP BY 1, 2)"""))
+def isotonic_blocks(spark, sf):
+    """The calibration of every tenant's scores, as blocks; the oracle is the minimax formula."""
+    rows = FX.scored(spark, sf).select("lead_key", "probability").join(training_rows(spark, sf), "lead_key")
+    blocks = IS.isotonic_blocks(rows, "probability", "converted", ["tenant_id"])
+    return blocks.select("tenant_id", round_to(F.col("lo"), 6).alias("lo"), round_to(F.col("hi"), 6).alias("hi"),
+                         round_to(F.col("value"), 9).alias("value"), "weight")
 
 
 def _fitted(spark, sf, learner, name, fit):
@@ -134,8 +186,9 @@ def explain_model(spark, sf):
 
 @query("cross_validate_models")
 def cross_validate_models(spark, sf):
+    clean = C.clean_frame(training_rows(spark, sf), keep=["lead_key", "converted"])
+    width = TR.Preprocessor(NUM, CAT).fit(clean).width
     data = ready(spark, sf)
-    width = len(data.first()["features"])
     return TR.cross_validate_models(data, TR.comparison_learners(width, 5), FOLDS)
 
 
