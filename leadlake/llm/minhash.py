@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm.common import WORD
@@ -169,17 +169,19 @@ def sketch(docs: DataFrame) -> DataFrame:
     A text without words has no bands.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = []
-            for part in _parts(x or "" for x in batch.column(2).to_pylist()):
-                sets = [shingles(t) for t in part]
-                hashed = band_hashes(signatures(sets)).view(np.int64)
-                bands += [hashed[i] if len(s[0]) else [] for i, s in enumerate(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("key"), "text")
+        try:
+            for batch in batches:
+                bands = []
+                for part in _parts(x or "" for x in batch.column(2).to_pylist()):
+                    sets = [shingles(t) for t in part]
+                    hashed = band_hashes(signatures(sets)).view(np.int64)
+                    bands += [hashed[i] if len(s[0]) else [] for i, s in enumerate(sets)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+        finally:
+            _hashes.clear()  # the worker goes on to other tasks
+
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of(F.col("text")).alias("key"), "text")
     return chosen.mapInArrow(run, "doc_id bigint, key string, bands array<bigint>")
 
 
@@ -203,6 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if similarity(last[x], last[y]) >= LEAST:
                     good.append(i)
             yield pa.RecordBatch.from_pydict({"a": [a[i] for i in good], "b": [b[i] for i in good]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        _hashes.clear()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -314,27 +317,30 @@ class _Buckets:
             ids, block = group["doc_id"].to_numpy(np.int64), group["block"].to_numpy()
             sets = [shingles(t) for t in group["text"]]
             found = family_links(ids, group["class"].to_numpy(np.int64), sets, block == key[1], block == key[2])
+            _hashes.clear()
             return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
         return rows.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, kept.
+def key_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    A class is what links of similarity LEAST or more connect, equal texts included; its id is
-    its least doc_id, and the row with that id is kept. A text without words, empty or null,
-    is alone. Rows that repeat an id and a text are one document. Rows without an id have
-    the class of their text, if any, and are kept. Extra columns are left out; an empty table stays empty.
-    """
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, key (of the text), class_id, kept; see ``near_classes``."""
     rows = store(sketch(docs))
-    groups = store(rows.where("size(bands) > 0").groupBy("key").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    nodes = rows.join(groups.select(F.col("node").alias("doc_id"), F.col("key").alias("own")), "doc_id")
-    nodes = store(nodes.where("key = own").select("doc_id", "bands").dropDuplicates(["doc_id"]))
-    buckets = _Buckets(nodes)
+    groups = rows.where("size(bands) > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).where("least is not null")
+    # A text's number is its least id; texts that share that with another get a negative number from their key.
+    first = groups.groupBy("least").agg(F.min("key").alias("own"))
+    number = F.when(F.col("key") == F.col("own"), F.col("least")).otherwise(F.shiftrightunsigned(F.xxhash64("key"), 2) - F.lit(1 << 62))
+    groups = store(groups.join(first, "least").select("key", "least", number.alias("node"), "bands"))
+    buckets = _Buckets(groups.select(F.col("node").alias("doc_id"), "bands"))
     ids = buckets.members.select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text")).where("text is not null")
-    texts = store(texts.join(store(ids), "id").dropDuplicates(["id"]))
+    wanted = store(ids.join(groups.select("node", F.col("key").alias("wanted"), F.col("least").alias("holder")), F.col("id") == F.col("node")).select("id", "wanted", "holder"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("of"), "text", key_of(F.col("text")).alias("key")).where("text is not null")
+    texts = texts.join(wanted, (F.col("of") == F.col("holder")) & (F.col("key") == F.col("wanted")))
+    texts = store(texts.select("id", "text").dropDuplicates(["id"]))
     classes = None
     for links in (lambda: verified(buckets.star(), texts), lambda: buckets.across(buckets.families(classes), texts)):
         found = store(links())
@@ -342,9 +348,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
             # the classes so far stand for their links
             known = found if classes is None else found.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
             classes = store(components(known, "a", "b"))
-    nodes_of = rows.join(groups, "key", "left").select("doc_id", "node")
-    if classes is None:
-        found = nodes_of.select("doc_id", F.coalesce("node", "doc_id").alias("class_id"))
-    else:
-        found = nodes_of.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    of = groups.select("key", "least", "node")
+    of = of.withColumn("component", F.col("node")) if classes is None else of.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = of.groupBy("component").agg(F.min(F.struct("least", "key")).alias("best"))
+    of = store(of.join(best, "component").select("key", F.col("best.least").alias("class_id"), F.col("best.key").alias("class_key")))
+    found = rows.select("doc_id", "key").join(of, "key", "left")
+    chosen = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    return found.select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(chosen, F.lit(True)).alias("kept"))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, kept.
+
+    A class is what links of similarity LEAST or more connect, equal texts included; its id is
+    its least doc_id, and the row with that id is kept. A text without words, empty or null,
+    is alone. Rows that repeat an id and a text are one document. Unlike texts under one id are
+    told apart and may be of different classes; of those in one class the least by md5 is kept. Rows without an id have
+    the class of their text, if any, and are kept. Extra columns are left out; an empty table stays empty.
+    """
+    return text_classes(docs).select("doc_id", "class_id", "kept")

@@ -24,24 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates stays, once, without its
-    repeated runs of over 50 words.
+    """Of each class of near-duplicates the document with the least id stays, once; rows without an id stay.
 
-    Of those runs, what the suffix stage's law of 400 bytes covers stays for that stage.
+    Unlike texts under one id are documents of their own; of those in one class the least text stays.
     """
-    classes = minhash.near_classes(docs)
-    staying = store(classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("staying")).distinct())
+    classes = minhash.text_classes(docs)
+    staying = store(classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("staying"), F.col("key").alias("of")).distinct())
     # The ids that stay grow with the documents, so both sides are shuffled by id at every size.
-    held = docs.join(staying.hint("merge"), docs["doc_id"] == staying["staying"], "left_semi").dropDuplicates(["doc_id"])
-    held = store(held.unionByName(docs.where("doc_id is null")))
-    return suffix.without_repeats(held, suffix.PASSAGES, spared=suffix.BYTES)
+    key = minhash.key_of(docs["text"])
+    held = docs.join(staying.hint("merge"), (docs["doc_id"] == staying["staying"]) & (key == staying["of"]), "left_semi")
+    return held.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 400 bytes are cut out of the texts; n_chars follows. Every row stays.
-
-    Shorter ones of over 50 words are gone by now (``near_dedup``), so of the two laws' repeats nothing stays.
-    """
+    """Passages of 400 bytes, and runs of over 50 words, that occur elsewhere too are cut out of the texts; n_chars follows. Every row stays."""
     return suffix.without_repeats(docs)
 
 
@@ -57,5 +53,5 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences of at most 2048 tokens."""
-    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1, lean=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

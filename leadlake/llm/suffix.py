@@ -9,16 +9,18 @@ The contexts of one anchor hash are sorted as suffixes: prefix polynomial hashes
 stretches comparable, binary search finds where two suffixes part, and so a comparison in the
 mergesort takes a logarithmic number of steps. Neighbours in that order whose common
 extension reaches LENGTH bytes are repeats, and each is verified byte for byte, so a
-collision of hashes removes nothing. Contexts that are equal as a whole are settled before
-that by a 128-bit key, in a grouping that sums per task first: a passage or a document that a
-third of all rows share is one row there. Equal documents are settled by their md5.
-
-An anchor with more than MOST_CONTEXTS different contexts would gather too much in one task; its
-strings are compared by a grouping on two 64-bit hashes of each string instead.
-
-All of this counts in units, which a law names: bytes (``BYTES``, the default), or words
-(``PASSAGES``: every word covered by a run of 51 words that occurs anywhere else too, whatever
-space is between the words). Words are handled as their 64-bit hashes; the verification compares their bytes.
+collision of prefix hashes removes nothing. Copies are one row there: whole texts that are
+equal by their 128-bit md5, and contexts that are equal by 128 bits of hash (64 of the anchor, 64
+of the context). A passage that a third of all rows share is one row, summed per task
+first; copies are recognised by these 128 bits alone, not by their bytes.
+
+An anchor with more than TOGETHER different contexts is split: its starts get anchors anew,
+of whole strings, so that only equal strings still meet, and take the same way once more.
+
+All of this counts in units, which a law names: bytes (``BYTES``), or words (``PASSAGES``: every
+word covered by a run of 51 words that occurs anywhere else too, whatever space is between the
+words). Words are handled as their 64-bit hashes; the verification compares their bytes.
+Several laws are served by one pass over the texts and the same shuffles.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from leadlake.llm.minhash import mix
 from leadlake.session import store
 
 LENGTH, GRAM = 400, 128
-MOST_CONTEXTS = 8_000
+TOGETHER = 1_000  # different contexts of an anchor that one task sorts
 AT_ONCE = 2_000_000  # bytes hashed together
 SUFFIXES_AT_ONCE = 400_000
 
@@ -55,6 +57,7 @@ class Law:
 
 BYTES = Law(LENGTH, GRAM)
 PASSAGES = Law(51, 20, words=True)
+BOTH = (BYTES, PASSAGES)
 
 #: Words as in common.WORD, on the bytes of a text; bytes.split() cuts at the same places.
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -274,17 +277,13 @@ def repeated_starts(contexts: list[bytes], group: np.ndarray, length: int = LENG
     starts = np.repeat(base - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     own = np.repeat(group, many)
     prefix = PrefixHashes(data)
-    whole = mix(prefix.of(starts, length)) ^ mix(own.astype(np.uint64))
-    _, place, times = np.unique(whole, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(times[place] > 1)  # a string whose hash no other has needs no place in the order
     marks = np.zeros(len(starts), bool)
-    if len(some):
-        order = some[suffix_order(prefix, data, starts[some], own[some], length)]
-        x, y = order[:-1], order[1:]
-        near = np.flatnonzero((own[x] == own[y]) & (prefix.common(starts[x], starts[y], length) >= length))
-        a, b = starts[x[near]], starts[y[near]]
-        near = near[_equal_words(contexts, a, b, law) if words else _equal_bytes(data, a, b, length)]
-        marks[x[near]] = marks[y[near]] = True
+    order = suffix_order(prefix, data, starts, own, length)
+    x, y = order[:-1], order[1:]
+    near = np.flatnonzero((own[x] == own[y]) & (prefix.common(starts[x], starts[y], length) >= length))
+    a, b = starts[x[near]], starts[y[near]]
+    near = near[_equal_words(contexts, a, b, law) if words else _equal_bytes(data, a, b, length)]
+    marks[x[near]] = marks[y[near]] = True
     return np.split(marks, np.cumsum(many)[:-1]) if len(contexts) else []
 
 
@@ -309,142 +308,193 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def scan(docs: DataFrame, law: Law = BYTES) -> DataFrame:
-    """Per row: doc_id, key (md5 of the text), n_bytes, sha256, whether it is as long as the law's strings, and its anchors as arrays."""
+ANCHORS = "law tinyint, anchor bigint, context bigint, first int, last int"
+
+
+def _served(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """anchor, context, first and last start of each anchor of a text."""
+    hashes, last, keys = found
+    return hashes, keys, np.concatenate([[-1], last[:-1]])[:len(last)] + 1, last
+
+
+def scan(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
+    """Per row: doc_id, key (md5 of the text), for each law whether the text is as long as its strings, and the anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = _bytes_of(batch.column(1))
-            ids = batch.column(0)
-            for part in _parts(every):
-                texts = every[part]
-                counted = [units(t, law) for t in texts]
-                found = anchors(counted, law)
-                yield pa.RecordBatch.from_arrays([
-                    ids[part.start:part.stop], pa.array([hashlib.md5(t).hexdigest() for t in texts]),
-                    pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                    pa.array([len(u) >= law.length for u in counted], pa.bool_()),
-                    pa.array([a for a, _, _ in found], pa.list_(pa.int64())), pa.array([e.astype(np.int32) for _, e, _ in found], pa.list_(pa.int32())),
-                    pa.array([k for _, _, k in found], pa.list_(pa.int64())),
-                ], names=["doc_id", "key", "n_bytes", "sha256", "long", "anchors", "lasts", "contexts"])
-
-    schema = "doc_id bigint, key string, n_bytes bigint, sha256 string, long boolean, anchors array<bigint>, lasts array<int>, contexts array<bigint>"
+        try:
+            for batch in batches:
+                every, ids = _bytes_of(batch.column(1)), batch.column(0)
+                for part in _parts(every):
+                    texts = every[part]
+                    long, columns = [], [[] for _ in texts]
+                    for number, law in enumerate(laws):
+                        counted = [units(t, law) for t in texts]
+                        long.append([len(u) >= law.length for u in counted])
+                        for i, found in enumerate(anchors(counted, law)):
+                            columns[i].append((np.full(len(found[0]), number, np.int8), *_served(found)))
+                    joined = [[np.concatenate(c) for c in zip(*parts, strict=True)] for parts in columns]
+                    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        ids[part.start:part.stop], pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+                        pa.array([list(x) for x in zip(*long, strict=True)], pa.list_(pa.bool_())),
+                        *[pa.array([j[k].astype(t.to_pandas_dtype()) for j in joined], pa.list_(t)) for k, t in enumerate(kinds)],
+                    ], names=["doc_id", "key", "long", "law", "anchor", "context", "first", "last"])
+        finally:
+            _hashes.clear()  # the worker goes on to other tasks
+
+    schema = ("doc_id bigint, key binary, long array<boolean>, law array<tinyint>, anchor array<bigint>, context array<bigint>, "
+              "first array<int>, last array<int>")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _slices(texts: DataFrame, wanted: DataFrame, law: Law) -> DataFrame:
-    """The bytes of the wanted contexts: key, anchor, first, last, bytes."""
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("cuts"))
+def _slices(texts: DataFrame, wanted: DataFrame, laws: Sequence[Law]) -> DataFrame:
+    """The bytes of the wanted contexts: key, law, anchor, first, bytes."""
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("law", "anchor", "first", "last")).alias("cuts"))  # one text's anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1))
             for key, text, cuts in zip(keys, texts, batch.column(2).to_pylist(), strict=True):
-                cut = text.split() if law.words else text
-                parts = [cut[c["first"]:c["last"] + law.length] for c in cuts]
+                words = text.split() if any(laws[c["law"]].words for c in cuts) else []
+                parts = []
+                for c in cuts:
+                    law = laws[c["law"]]
+                    a, b = c["first"], c["last"] + law.length
+                    parts.append(b" ".join(words[a:b]) if law.words else text[a:b])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([key] * len(cuts)), pa.array([c["anchor"] for c in cuts], pa.int64()),
-                    pa.array([c["first"] for c in cuts], pa.int32()),
-                    pa.array([b" ".join(p) if law.words else p for p in parts], pa.binary()),
-                ], names=["key", "anchor", "first", "bytes"])
+                    pa.array([key] * len(cuts), pa.binary()), pa.array([c["law"] for c in cuts], pa.int8()),
+                    pa.array([c["anchor"] for c in cuts], pa.int64()), pa.array([c["first"] for c in cuts], pa.int32()),
+                    pa.array(parts, pa.binary()),
+                ], names=["key", "law", "anchor", "first", "bytes"])
+
+    return texts.join(per_text, "key").select("key", "text", "cuts").mapInArrow(
+        run, "key binary, law tinyint, anchor bigint, first int, bytes binary")
+
 
-    return texts.join(per_text, "key").select("key", "text", "cuts").mapInArrow(run, "key string, anchor bigint, first int, bytes binary")
+SPANS = "key binary, law tinyint, from bigint, until bigint"
 
 
-def _sorted_repeats(slices: DataFrame, law: Law) -> DataFrame:
-    """Spans (key, from, until) of the repeats among the contexts of each anchor hash."""
-    schema = pa.schema([("key", pa.string()), ("from", pa.int64()), ("until", pa.int64())])
+def _sorted_repeats(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
+    """Spans of the repeats among the contexts of each anchor hash."""
+    schema = pa.schema([("key", pa.binary()), ("law", pa.int8()), ("from", pa.int64()), ("until", pa.int64())])
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        _, group = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
+        number = rows[0][1]
+        law = laws[number]
+        _, group = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
         out: list[tuple] = []
-        for (key, _, first, _), marks in zip(rows, repeated_starts([r[3] for r in rows], group, law.length, law.words), strict=True):
+        for (key, _, _, first, _), marks in zip(rows, repeated_starts([r[4] for r in rows], group, law.length, law.words), strict=True):
             a, b = _runs(marks)
-            out += [(key, first + x, first + y + law.length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            out += [(key, number, first + x, first + y + law.length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(schema.names)}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []  # whole anchors, then the one that may go on in the next row
-        size, since, anchor = 0, 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[1] != anchor:
-                    if size >= SUFFIXES_AT_ONCE:
-                        yield spans(waiting)
-                        waiting, size = [], 0
-                    anchor = row[1]
-                waiting.append(row)
-                size += (row[3].count(b" ") + 1 if law.words else len(row[3])) - law.length + 1
-        if waiting:
-            yield spans(waiting)
+        waiting: list[tuple] = []  # whole anchors of one law, then the anchor that may go on in the next row
+        size, group = 0, None
+        try:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[1:3] != group:
+                        if waiting and (size >= SUFFIXES_AT_ONCE or row[1] != group[0]):
+                            yield spans(waiting)
+                            waiting, size = [], 0
+                        group = row[1:3]
+                    waiting.append(row)
+                    size += (row[4].count(b" ") + 1 if laws[row[1]].words else len(row[4])) - laws[row[1]].length + 1
+            if waiting:
+                yield spans(waiting)
+        finally:
+            _hashes.clear()
 
     spark = slices.sparkSession
-    sorted_slices = slices.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "key", "first")
-    return sorted_slices.select("key", "anchor", "first", "bytes").mapInArrow(run, "key string, from bigint, until bigint")
+    order = ["law", "anchor", "key", "first"]
+    sorted_slices = slices.repartition(partitions(spark), "law", "anchor").sortWithinPartitions(*order)
+    return sorted_slices.select("key", "law", "anchor", "first", "bytes").mapInArrow(run, SPANS)
 
 
-def _hashed_repeats(slices: DataFrame, law: Law) -> DataFrame:
-    """The same spans by grouping the strings of very large anchors on 128 bits of hash."""
+def _split(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
+    """key and ANCHORS of the starts of large anchors, each start by an anchor of its own: its whole string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "first", "bytes")), strict=True):
-                h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
-                begin, end = _bounds(text, len(h), law)
-                other = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([key] * len(h)), pa.array(np.arange(len(h)) + first, pa.int64()), pa.array(h),
-                    pa.array(np.array(other, np.uint64).view(np.int64)),
-                ], names=["key", "from", "h1", "h2"])
-
-    strings = slices.mapInArrow(run, "key string, from bigint, h1 bigint, h2 bigint")
-    twice = store(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
-    return strings.join(twice, ["h1", "h2"]).select("key", "from", (F.col("from") + law.length).alias("until"))
+        try:
+            for batch in batches:
+                for key, number, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "law", "first", "bytes")), strict=True):
+                    law = laws[number]
+                    h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
+                    begin, end = _bounds(text, len(h), law)
+                    whole = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                    place = pa.array(np.arange(len(h)) + first, pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([key] * len(h), pa.binary()), pa.array(np.full(len(h), number), pa.int8()), pa.array(h),
+                        pa.array(np.array(whole, np.uint64).view(np.int64)), place, place,
+                    ], names=["key", "law", "anchor", "context", "first", "last"])
+        finally:
+            _hashes.clear()
+
+    return slices.mapInArrow(run, f"key binary, {ANCHORS}")
+
+
+def _meet(served: DataFrame, laws: Sequence[Law]) -> tuple[DataFrame, DataFrame]:
+    """(settled, wanted) of anchors: spans of the contexts that occur twice, and one occurrence of each
+    context of an anchor that has others, with m, their number."""
+    again = store(served.groupBy("law", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("law", "anchor"))
+    served = store(served.join(again, ["law", "anchor"]))
+    contexts = store(served.groupBy("law", "anchor", "context").agg(
+        F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")))
+    different = store(contexts.groupBy("law", "anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"))
+    wanted = contexts.join(different, ["law", "anchor"]).select("law", "anchor", "m", "one.*")
+    settled = served.join(store(contexts.where("n > 1").select("law", "anchor", "context")), ["law", "anchor", "context"])
+    length = F.get(F.lit([law.length for law in laws]), F.col("law").cast("int"))
+    return settled.select("key", "law", F.col("first").cast("bigint").alias("from"), (F.col("last") + length).cast("bigint").alias("until")), wanted
 
 
-def repeats(docs: DataFrame, most_contexts: int = MOST_CONTEXTS, *, law: Law = BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, spans, texts): the scanned rows; the spans (key, from, until, words, spare) to remove from each
-    different text, in units; and the texts that have any, a row for each key.
+@dataclass(frozen=True)
+class Repeats:
+    """Rows of a table of documents, and what is repeated in their texts.
 
-    A row whose whole text occurs twice loses all of it if it has the law's length; ``rows`` says so in
-    ``copied`` and has no spans for it.
+    rows: row (a struct of the documents' columns but text), text, key, and whether anything of it may be repeated.
+    whole: key and, per law, whether it takes all of a text that occurs twice. spans: key, law, from, until, in
+    units, for the other texts. texts: key and text of all texts with spans, and of some without, a row each.
     """
-    rows = store(scan(docs, law))
-    texts_of = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"))
-    texts_of = store(texts_of)
-    copies = store(texts_of.where("n > 1").select("key", "holder"))
-    placed = rows.join(copies, "key", "left")
-    one = placed.where("holder is null or doc_id = holder").withColumn("copied", F.col("holder").isNotNull())
-    lasts = F.arrays_zip("anchors", "lasts", "contexts", F.expr("concat(array(-1), slice(lasts, 1, greatest(size(lasts) - 1, 0)))").alias("before"))
-    served = one.where("size(anchors) > 0").select("key", "copied", F.explode(lasts).alias("s")).select(
-        "key", "copied", F.col("s.anchors").alias("anchor"), F.col("s.contexts").alias("context"),
-        (F.col("s.before") + 1).alias("first"), F.col("s.lasts").alias("last"))
-    again = store(served.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    served = store(served.join(again, "anchor"))
-    contexts = store(served.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")))
-    different = store(contexts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"))
-    wanted = contexts.join(different, "anchor").select("anchor", "m", contexts["n"], F.col("one.key").alias("key"),
-                                                       F.col("one.first").alias("first"), F.col("one.last").alias("last"))
+
+    rows: DataFrame
+    whole: DataFrame
+    spans: DataFrame
+    texts: DataFrame
+
+
+def repeats(docs: DataFrame, laws: Sequence[Law] = BOTH) -> Repeats:
+    """Finds what each law calls repeated. Null texts are empty."""
+    scanned = store(scan(docs, laws))
+    copies = store(scanned.groupBy("key").agg(F.count("*").alias("n"), F.first("long").alias("long")).where("n > 1").select("key", "long"))
+    # Of equal texts one serves.
+    anchored = scanned.where("size(anchor) > 0").groupBy("key").agg(F.first(F.struct("law", "anchor", "context", "first", "last")).alias("a"))
+    anchored = store(anchored)
+    zipped = F.arrays_zip(*[F.col(f"a.{n}") for n in ("law", "anchor", "context", "first", "last")])
+    served = anchored.select("key", F.explode(zipped).alias("s")).select("key", "s.*")
+    settled, wanted = _meet(served, laws)
     wanted = store(wanted)
-    settled = served.where("not copied").join(store(contexts.where("n > 1").select("anchor", "context")), ["anchor", "context"])
-    settled = settled.select("key", F.col("first").cast("bigint").alias("from"), (F.col("last") + law.length).cast("bigint").alias("until"))
-    needed = store(settled.select("key").unionByName(wanted.select("key")).distinct())
-    holders = store(needed.join(texts_of.select("key", "holder"), "key"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(holders, F.col("id").eqNullSafe(F.col("holder")))
-    texts = store(texts.where("md5(cast(text as binary)) = key").select("key", "text").dropDuplicates(["key"]))
-    small, large = wanted.where(F.col("m") <= most_contexts), wanted.where(F.col("m") > most_contexts)
-    spans = settled.unionByName(_sorted_repeats(_slices(texts, small, law), law))
+    whole = store(copies.where(F.exists("long", lambda x: x)))
+    settled = store(settled.join(whole.select("key").hint("merge"), "key", "left_anti"))
+    needed = store(settled.select("key").unionByName(wanted.select("key")).unionByName(whole.select("key")).distinct())
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), "text", F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    marked = needed.select(F.col("key").alias("found")).hint("merge")
+    rows = store(keyed.join(marked, keyed["key"] == F.col("found"), "left").select("row", "text", "key", F.col("found").isNotNull().alias("touched")))
+    texts = store(rows.where("touched").groupBy("key").agg(F.first("text").alias("text")))
+    columns = ["key", "law", "anchor", "first", "last"]
+    sorted_, large = wanted.where(F.col("m") <= TOGETHER).select(*columns), wanted.where(F.col("m") > TOGETHER).select(*columns)
     if not large.isEmpty():
-        spans = spans.unionByName(_hashed_repeats(store(_slices(texts, large, law)), law))
-    rows = rows.join(copies.select("key", F.lit(True).alias("copied")), "key", "left")
-    rows = rows.withColumn("copied", F.coalesce("copied", F.lit(False)) & F.col("long"))
-    return rows.select("doc_id", "key", "n_bytes", "sha256", "copied"), store(spans.withColumns({"words": F.lit(law.words), "spare": F.lit(False)})), texts
+        more, rest = _meet(store(_split(_slices(texts, large, laws), laws)), laws)
+        settled, sorted_ = settled.unionByName(more), sorted_.unionByName(rest.select(*columns))
+    return Repeats(rows, whole, store(settled.unionByName(_sorted_repeats(_slices(texts, sorted_, laws), laws))), texts)
 
 
-def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
+def _merged(spans: list[dict], text: bytes, laws: Sequence[Law]) -> list[tuple[int, int]]:
     """The spans in bytes, overlapping and touching ones as one. A run of words ends with its last word."""
-    words = [m.span() for m in _WORD.finditer(text)] if any(s["words"] for s in spans) else []
+    words = [m.span() for m in _WORD.finditer(text)] if any(laws[s["law"]].words for s in spans) else []
     out: list[list[int]] = []
-    for a, b in sorted((words[s["from"]][0], words[s["until"] - 1][1]) if s["words"] else (s["from"], s["until"]) for s in spans):
+    for a, b in sorted((words[s["from"]][0], words[s["until"] - 1][1]) if laws[s["law"]].words else (s["from"], s["until"]) for s in spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -452,88 +502,82 @@ def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _outside(spans: list[tuple[int, int]], spared: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What of the spans no spared one covers; both are ordered and disjoint."""
-    out, at = [], 0
-    for a, b in spans:
-        while at < len(spared) and spared[at][1] <= a:
-            at += 1
-        i = at
-        while i < len(spared) and spared[i][0] < b:
-            if a < spared[i][0]:
-                out.append((a, spared[i][0]))
-            a = spared[i][1]
-            i += 1
-        if a < b:
-            out.append((a, b))
-    return out
-
-
 def _kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def cut_texts(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, kept_text (whole characters of the remaining bytes), n_removed, n_spans, kept_sha256."""
-    per_text = spans.groupBy("key").agg(F.collect_list(F.struct("from", "until", "words", "spare")).alias("spans"))  # one text's spans
+def cut_texts(found: Repeats, laws: Sequence[Law]) -> DataFrame:
+    """For every text of ``found``: key, kept_text (what all laws leave, in whole characters), whether that
+    is less than the text, and n_removed, n_spans, kept_sha256 by the first law alone."""
+    per_text = found.spans.groupBy("key").agg(F.collect_list(F.struct("law", "from", "until")).alias("spans"))  # one text's spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("key", "kept_text", "n_removed", "n_spans", "kept_sha256")}
-            for key, text, found in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                merged = _outside(_merged([s for s in found if not s["spare"]], text), _merged([s for s in found if s["spare"]], text))
-                kept = _kept_bytes(text, merged)
-                values = (key, kept.decode("utf-8", "ignore"), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest())
+            out: dict[str, list] = {n: [] for n in ("key", "kept_text", "changed", "n_removed", "n_spans", "kept_sha256")}
+            for key, text, spans in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                spans = spans or []
+                first = _merged([s for s in spans if s["law"] == 0], text, laws)
+                kept = _kept_bytes(text, first)
+                every = _kept_bytes(text, _merged(spans, text, laws)) if len(laws) > 1 else kept
+                values = (key, every.decode("utf-8", "ignore"), len(every) < len(text), len(text) - len(kept), len(first),
+                          hashlib.sha256(kept).hexdigest())
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([
+                ("key", pa.binary()), ("kept_text", pa.string()), ("changed", pa.bool_()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+                ("kept_sha256", pa.string())]))
+
+    schema = "key binary, kept_text string, changed boolean, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return found.texts.join(per_text, "key", "left").select("key", "text", "spans").mapInArrow(run, schema)
 
-    schema = "key string, kept_text string, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return texts.join(per_text, "key").select("key", "text", "spans").mapInArrow(run, schema)
 
+def _results(docs: DataFrame, laws: Sequence[Law]) -> DataFrame:
+    """row, text and key of every document, with touched, whole (per law, or null) and, of touched ones, the columns of ``cut_texts``."""
+    found = repeats(docs, laws)
+    cut = store(cut_texts(found, laws).join(found.whole.select("key", F.col("long").alias("whole")), "key", "left"))
+    touched = found.rows.where("touched").select("row", "key").join(cut.hint("merge"), "key")  # no text moves for this but the kept one
+    empty = [F.lit(None).cast(t).alias(n) for n, t in cut.dtypes if n != "key"]
+    plain = found.rows.where("not touched").select("key", "row", *empty, "text")
+    return plain.unionByName(touched.withColumn("text", F.lit(None).cast("string")))
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+def digests(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 by the first law, and text, which all laws leave.
 
     A null text is empty. Repeated rows are documents of their own, so they repeat each other,
     whatever their ids, null ones included. Extra columns are left out; an empty table stays empty.
+    ``text`` keeps whole characters; it is empty where a law takes all of a text.
     """
-    rows, spans, texts = repeats(docs)
-    cut = store(cut_texts(spans, texts).select("key", "n_removed", "n_spans", "kept_sha256"))
-    found = rows.join(cut, "key", "left")
-    copied = F.col("copied")
+    sizes = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    found = _results(sizes.select("doc_id", "n_bytes", "text"), laws)
+    gone = F.coalesce(F.get("whole", F.lit(0)), F.lit(False))
+    n_bytes, text = F.col("row.n_bytes"), F.coalesce("text", F.lit(""))
     return found.select(
-        "doc_id", "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        F.col("row.doc_id").cast("bigint").alias("doc_id"), n_bytes.alias("n_bytes"),
+        F.when(gone, n_bytes).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.sha2(text, 256))).alias("kept_sha256"),
+        F.when(_any(F.col("whole")), F.lit("")).otherwise(F.coalesce("kept_text", text)).alias("text"),
     )
 
 
-def without_repeats(docs: DataFrame, law: Law = BYTES, spared: Law | None = None) -> DataFrame:
-    """The documents without their repeated passages, in the same columns.
+def _any(flags):
+    return F.coalesce(F.exists(flags, lambda x: x), F.lit(False))
+
+
+def without_repeats(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
+    """The documents without what any of the laws calls repeated, in the same columns; every row stays.
 
-    What another law, ``spared``, calls repeated stays, and all of a text that is whole a repeat
-    by it, so a later removal by that law finds the same strings as without this one.
     What remains of a text keeps its whole characters; a character cut inside is dropped.
-    n_chars, if there, is counted anew. Texts without repeats, null ones included, stay as they are.
+    n_chars, if there, is counted anew where something was cut. Texts without repeats, null ones included, stay as they are.
     """
-    rows, spans, texts = repeats(docs, law=law)
-    gone = whole = store(rows.where("copied").select("key").distinct())
-    if spared is not None:
-        others, more, _ = repeats(docs, law=spared)
-        staying = store(others.where("copied").select("key").distinct())
-        gone, whole = gone.join(staying, "key", "left_anti"), gone.unionByName(staying)
-        spans = spans.unionByName(more.withColumn("spare", F.lit(True)))
-    cut = cut_texts(spans.join(whole.hint("merge"), "key", "left_anti"), texts).select("key", "kept_text")
-    gone = gone.withColumn("kept_text", F.lit(""))
-    new = store(cut.unionByName(gone))
-    # Columns are named by their table, so extra columns of any name pass.
-    joined = docs.join(new.hint("merge"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == new["key"], "left")
-    changed = new["key"].isNotNull()
-    out = {"text": F.when(changed, new["kept_text"]).otherwise(docs["text"])}
+    found = _results(docs, laws)
+    whole = _any(F.col("whole"))
+    cut = whole | F.coalesce("changed", F.lit(False))
+    new = F.when(whole, F.lit("")).otherwise(F.col("kept_text"))
+    out = {"text": F.when(F.col("kept_text").isNotNull(), new).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out["n_chars"] = F.when(changed, F.length(new["kept_text"]).cast(kind)).otherwise(docs["n_chars"])
-    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
+        out["n_chars"] = F.when(cut, F.length(new).cast(kind)).otherwise(F.col("row.n_chars"))
+    return found.select(*[out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -149,6 +149,11 @@ def _kept(tokenizer: str, spaced: bool) -> _Encoder:
     return _encoders[tokenizer, spaced]
 
 
+def release() -> None:
+    """Forgets the chunks of this Python worker, for tasks that leave memory to what runs there next."""
+    _encoders.clear()
+
+
 def word_encoder(tokenizer: str) -> Callable[[Iterable[str]], Iterator[np.ndarray]]:
     """Texts -> int32 ids, for a vocabulary that drops white space."""
     return _kept(tokenizer, False)

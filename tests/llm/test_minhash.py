@@ -141,3 +141,20 @@ def test_family_links_join_each_class_once():
     halves = ids % 2 == 0
     crossing = M.family_links(ids, ids, sets, halves, ~halves)
     assert all(halves[a] and not halves[b] for a, b in crossing)
+
+
+def test_unlike_texts_under_one_id(spark, documents):
+    """They are told apart; of those in one class one is kept."""
+    from leadlake.llm import stages
+
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "x")
+    other = " ".join(f"y{i}" for i in range(60))
+    docs = documents((1, long), (1, other), (2, other), (3, near), (1, near), (1, long), (4, "z"))
+    rows = M.text_classes(docs).collect()
+    assert len(rows) == 7 and {r.class_id for r in rows} == {1, 4}
+    of = {(r.doc_id, r.key): r.kept for r in rows}
+    assert sum(of.values()) == 3  # one of long and near, one of other, z
+    kept = stages.near_dedup(spark, docs, "").collect()
+    assert len(kept) == 3 and {r.text for r in kept} in ({long, other, "z"}, {near, other, "z"})
+    assert {r.doc_id for r in kept} == {1, 4}

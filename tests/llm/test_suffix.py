@@ -74,11 +74,11 @@ def made(seed):
     return docs
 
 
-@pytest.mark.parametrize("most", [S.MOST_CONTEXTS, 3])
-def test_digests_against_brute_force(spark, documents, monkeypatch, most):
-    monkeypatch.setattr(S.repeats, "__defaults__", (most,))
-    texts = made(most)
-    rows = S.digests(documents(*[(i, t.decode()) for i, t in enumerate(texts)])).collect()
+@pytest.mark.parametrize("together, laws", [(S.TOGETHER, S.BOTH), (3, (S.BYTES,))])
+def test_digests_against_brute_force(spark, documents, monkeypatch, together, laws):
+    monkeypatch.setattr(S, "TOGETHER", together)
+    texts = made(together)
+    rows = S.digests(documents(*[(i, t.decode()) for i, t in enumerate(texts)]), laws).collect()
     got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(rows, key=lambda r: r.doc_id)]
     assert got == brute(texts)
 
@@ -101,8 +101,9 @@ def test_a_text_in_parts():
 def test_kept_text(spark, documents):
     texts = made(5)
     docs = documents(*[(i, t.decode()) for i, t in enumerate(texts)]).selectExpr("*", "doc_id as key", "doc_id as kept_text", "1 as spans")
-    out = {r.doc_id: r for r in S.without_repeats(docs).collect()}
-    assert S.without_repeats(docs).columns == docs.columns and len(out) == len(texts)
+    cut = S.without_repeats(docs, (S.BYTES,))
+    out = {r.doc_id: r for r in cut.collect()}
+    assert cut.columns == docs.columns and len(out) == len(texts)
     for i, (t, (n, gone, _, digest)) in enumerate(zip(texts, brute(texts), strict=True)):
         kept = out[i].text.encode()
         assert out[i].n_chars == len(out[i].text) and out[i].key == i
@@ -139,12 +140,12 @@ def worded(seed):
     return [("\n" if i % 2 else "  ").join(d) for i, d in enumerate(docs)]
 
 
-@pytest.mark.parametrize("most", [S.MOST_CONTEXTS, 3])
-def test_runs_of_words_against_brute_force(spark, documents, monkeypatch, most):
-    monkeypatch.setattr(S.repeats, "__defaults__", (most,))
-    texts = worded(most)
+@pytest.mark.parametrize("together", [S.TOGETHER, 3])
+def test_runs_of_words_against_brute_force(spark, documents, monkeypatch, together):
+    monkeypatch.setattr(S, "TOGETHER", together)
+    texts = worded(together)
     assert any(0 < len(" ".join(t.split()[i] for i in sorted(g))) < 400 for t, g in zip(texts, brute_words(texts, 51), strict=True))
-    rows = S.without_repeats(documents(*enumerate(texts)), S.PASSAGES).collect()
+    rows = S.without_repeats(documents(*enumerate(texts)), (S.PASSAGES,)).collect()
     got = {r.doc_id: r.text.split() for r in rows}
     assert len(rows) == len(texts)
     for i, (t, gone) in enumerate(zip(texts, brute_words(texts, 51), strict=True)):
@@ -158,11 +159,6 @@ def test_hashes_of_words_are_verified(monkeypatch):
     assert not any(m.any() for m in S.repeated_starts(texts, np.zeros(2, int), 51, words=True))
 
 
-def test_spared_spans():
-    assert S._outside([(0, 10), (20, 30), (40, 50)], [(2, 4), (8, 22), (25, 26), (39, 60)]) == [(0, 2), (4, 8), (22, 25), (26, 30)]
-    assert S._outside([(0, 10)], []) == [(0, 10)] and S._outside([], [(0, 1)]) == []
-
-
 def test_the_pipeline_catches_short_passages(spark, documents):
     """Runs of 51 words below 400 bytes, strings of 400 bytes with few words, and one that overlaps the other."""
     from leadlake.llm import stages
@@ -177,8 +173,9 @@ def test_the_pipeline_catches_short_passages(spark, documents):
              own(8) + run[-20:] + long + own(9), own(10) + run[-20:] + long + own(11), own(12) + run[:50] + own(13)]
     own_words = [[w for w in t if w[:3] == "own"] for t in texts]
     docs = documents(*[(i, " ".join(t)) for i, t in enumerate(texts)])
-    out = stages.suffix_dedup(spark, store(stages.near_dedup(spark, docs, "")), "")
-    got = {r.doc_id: r for r in out.collect()}
+    near = store(stages.near_dedup(spark, docs, ""))
+    assert {r.doc_id: r.text for r in near.collect()} == {i: " ".join(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: r for r in stages.suffix_dedup(spark, near, "").collect()}
     assert all(r.n_chars == len(r.text) for r in got.values())
     whole = [" ".join(t).encode() for t in texts]
     for i, (t, covered) in enumerate(zip(whole, brute_words(whole, 51), strict=True)):
@@ -190,4 +187,5 @@ def test_the_pipeline_catches_short_passages(spark, documents):
             if sum(o.count(t[j:j + S.LENGTH]) for o in whole) > 1:
                 gone[j:j + S.LENGTH] = True
         assert got[i].text.encode() == bytes(b for b, g in zip(t, gone, strict=True) if not g)
+    assert {r.doc_id: r.text for r in S.digests(docs).collect()} == {i: r.text for i, r in got.items()}
     assert got[0].text.split() == own_words[0] and got[6].text.encode() == whole[6]
