@@ -11,6 +11,7 @@ from leadlake.operators import clean as C
 from leadlake.operators import isotonic as IS
 from leadlake.operators import preprocess as PP
 from leadlake.operators import score as SC
+from leadlake.operators import tenants as TN
 from leadlake.operators import train as TR
 from leadlake.plans import fixtures as FX
 from leadlake.plans.fixtures import round_sql, with_leads, with_scored
@@ -101,6 +102,52 @@ def isotonic_blocks(spark, sf):
                          round_to(F.col("value"), 9).alias("value"), "weight")
 
 
+PARTLY_SQL = """partly AS (SELECT * FROM training WHERE tenant_id NOT IN ('EUROPE', 'MIDDLE EAST') OR (tenant_id = 'EUROPE' AND lead_key % 20 = 0))"""
+
+
+def partly_labelled(spark, sf):
+    """The training rows, of which one tenant has few labels and one has none."""
+    few = (F.col("tenant_id") == "EUROPE") & (F.pmod(F.col("lead_key"), F.lit(20)) == 0)
+    return training_rows(spark, sf).where(~F.col("tenant_id").isin("EUROPE", "MIDDLE EAST") | few)
+
+
+@query("train_tenants", with_scored(f"""
+SELECT tenant_id, model, labels, positives, tier, action, model = 'hybrid_ensemble' AND champion IS DISTINCT FROM 1e0 AS promote,
+       CASE WHEN model = 'base_model' THEN 'shared' WHEN champion IS NULL THEN 'first model'
+            WHEN champion < 0.5e0 THEN 'beats champion' ELSE 'keeps champion' END AS outcome
+FROM tiers CROSS JOIN (VALUES ('base_model'), ('hybrid_ensemble')) m(model)
+WHERE model = 'base_model' OR action <> 'keep_base_model'""", f"""{FX.TENANTS_SQL}, {TRAINING_SQL}, {PARTLY_SQL},
+counted AS (SELECT tenant_id, COUNT(p.lead_key) AS labels, CAST(coalesce(SUM(converted), 0) AS BIGINT) AS positives
+            FROM tenants LEFT JOIN partly p USING (tenant_id) GROUP BY 1),
+tiers AS (SELECT *, CASE WHEN labels >= 5000 THEN 'continuous' WHEN labels >= 500 THEN 'tenant' WHEN labels >= 1 THEN 'recalibrated' ELSE 'generic' END AS tier,
+  CASE WHEN least(positives, labels - positives) = 0 THEN 'keep_base_model'
+       WHEN labels >= 500 AND least(positives, labels - positives) >= 25 THEN 'train_tenant_model' ELSE 'recalibrate' END AS action,
+  CASE tenant_id WHEN 'ASIA' THEN 1e0 WHEN 'AMERICA' THEN 0.1e0 WHEN 'EUROPE' THEN 0.1e0 END AS champion FROM counted)"""))
+def train_tenants(spark, sf):
+    """Every tenant's tier, its models, and whether the new one takes over; one grouped training job."""
+    tenants = FX.tenants(spark, sf)
+    made, metrics, challengers = TN.train_tenants(partly_labelled(spark, sf), tenants, "v2", FX.as_of(), "lead_key", numeric=NUM, categorical=CAT)
+    auc = F.when(F.col("tenant_id") == "ASIA", 1.0).when(F.col("tenant_id").isin("AMERICA", "EUROPE"), 0.1)
+    pairs = challengers.withColumns({"challenger_auc": F.col("roc_auc"), "champion_auc": auc, "has_champion": auc.isNotNull()})
+    judged = TR.should_promote(pairs).select(F.col("tenant_id").alias("_of"), "promote", "reason")
+    known = metrics.where("model = 'hybrid_ensemble'").select(F.col("tenant_id").alias("_measured"))
+    joined = made.tiers.join(judged, F.col("tenant_id") == F.col("_of"), "left").join(known, F.col("tenant_id") == F.col("_measured"), "left")
+    models = F.when(F.col("_measured").isNotNull(), F.array(F.lit("base_model"), F.lit("hybrid_ensemble"))).otherwise(F.array(F.lit("base_model")))
+    rows = joined.withColumn("model", F.explode(models))
+    base = F.col("model") == "base_model"
+    outcome = (F.when(base, "shared").when(F.col("reason").startswith("first model"), "first model")
+               .when(F.col("reason").contains("beats champion"), "beats champion").otherwise("keeps champion"))
+    return rows.select("tenant_id", "model", "labels", "positives", "tier", "action", (~base & F.col("promote")).alias("promote"), outcome.alias("outcome"))
+
+
+@query("score_tenants")
+def score_tenants(spark, sf):
+    """Every lead's probability by its own tenant's model, calibration or the base model."""
+    models, _, _ = TN.train_tenants(partly_labelled(spark, sf), FX.tenants(spark, sf), "v2", FX.as_of(), "lead_key", numeric=NUM, categorical=CAT)
+    scored = SC.with_decision(models.score(FX.leads(spark, sf), "lead_key"))
+    return scored.select("tenant_id", "lead_key", "model", round_to(F.col("probability"), 6).alias("probability"), "band", "prediction")
+
+
 def _fitted(spark, sf, learner, name, fit):
     data = ready(spark, sf)
     model = fit(name, learner, data, "lead_key", FOLDS)
