@@ -109,62 +109,123 @@ def sync_counts(target: DataFrame, batch: DataFrame, by: Sequence[str] = ("sourc
 
 
 class LeadStore:
-    """Leads as a change log on plain parquet: ``changes/batch_id=N`` and ``base/upto=N``.
+    """Leads as a change log over a base in hash slots, on plain parquet.
 
-    A batch overwrites its own folder, so a retried micro-batch changes nothing and writes
-    cost what the batch costs. ``compact`` folds the log into a new base when there are newer
-    batches than the last one; nothing that is being read is ever overwritten. The last
-    record of a lead wins: by batch, then by ``position`` inside the batch.
+    ``changes/batch_id=N`` holds what batch N brought. The base is one file or more per slot of
+    the key's hash, about ``rows_per_file`` rows each; ``manifest/upto=N`` lists the files of
+    the base that folds the batches up to N. A batch therefore finds its leads by their slots: ``rows_of`` opens the files
+    of those slots and no others. ``compact`` rewrites the slots that changes touched and takes over the other files, so it costs
+    what changed; when the leads outgrow the slots, it deals them over more. Nothing that is being read is ever
+    overwritten, and a batch overwrites its own folder alone, so a retried one changes nothing.
+
+    The last record of a lead wins: by batch, then by ``position`` inside the batch.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 250_000) -> None:
+        self.spark, self.root, self.rows_per_file = spark, root.rstrip("/"), rows_per_file
 
     def append(self, rows: DataFrame, batch_id: int, position: Column | None = None) -> None:
-        """``position`` orders the records of the batch (a source's time or line number); by
-        default it is the order in which the rows were read."""
-        place = F.monotonically_increasing_id() if position is None else position.cast("bigint")
-        rows.withColumn("position", place).select(*[f.name for f in LEAD_STRUCT], "position").write.mode(
-            "overwrite").parquet(f"{self.root}/changes/batch_id={batch_id}")
-
-    def _read(self, part: str, key: str) -> DataFrame | None:
-        more = [T.StructField("position", T.LongType()), T.StructField(key, T.LongType())]
+        """``position`` orders the records of the batch (a source's time or line number). By default it
+        is a hash of their content: without meaning, but the same on every retry."""
+        names = [f.name for f in LEAD_STRUCT]
+        place = F.xxhash64(F.to_json(F.struct(*names))) if position is None else position.cast("bigint")
+        rows.withColumn("position", place).select(*names, "position").write.mode("overwrite").parquet(
+            f"{self.root}/changes/batch_id={batch_id}")
+
+    def _read(self, part: str, kind: T.StructType) -> DataFrame | None:
         try:
-            return self.spark.read.schema(T.StructType([*LEAD_STRUCT, *more])).parquet(f"{self.root}/{part}")
+            return self.spark.read.schema(kind).parquet(f"{self.root}/{part}")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in (error.getCondition() or ""):
                 return None
             raise
 
-    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """The newest base, and the batches after it, each with its order ``ord``; None if absent."""
-        base, changes = self._read("base", "upto"), self._read("changes", "batch_id")
-        if base is not None:
-            last = base.agg(F.max("upto")).first()[0]
-            base = base.where(F.col("upto") == last).withColumn("ord", F.struct(F.col("upto").alias("batch"), "position"))
-            if changes is not None:
-                changes = changes.where(F.col("batch_id") > last)
-        if changes is not None:
-            changes = changes.withColumn("ord", F.struct(F.col("batch_id").alias("batch"), "position"))
-        names = [*[f.name for f in LEAD_STRUCT], "ord"]
-        return tuple(t if t is None else t.select(*names) for t in (base, changes))
+    def _manifest(self) -> tuple[int, int, DataFrame | None]:
+        """(last batch in the base, number of slots, files): -1, 1 and None without a base."""
+        kind = T.StructType([T.StructField(n, T.LongType()) for n in ("slot", "slots", "rows")]
+                            + [T.StructField("path", T.StringType()), T.StructField("upto", T.LongType())])
+        files = self._read("manifest", kind)
+        newest = None if files is None else files.agg(F.max(F.struct("upto", "slots")).alias("m")).first()["m"]
+        if newest is None:
+            return -1, 1, None
+        return newest["upto"], newest["slots"], files.where(F.col("upto") == newest["upto"])
+
+    def _changes(self, after: int, before: int | None = None) -> DataFrame | None:
+        kind = T.StructType([*LEAD_STRUCT, T.StructField("position", T.LongType()), T.StructField("batch_id", T.LongType())])
+        changes = self._read("changes", kind)
+        if changes is None:
+            return None
+        inside = F.col("batch_id") > after
+        inside = inside if before is None else inside & (F.col("batch_id") < before)
+        return changes.where(inside).withColumn("ord", F.struct(F.col("batch_id").alias("batch"), "position")).drop("batch_id", "position")
+
+    def _base(self, files: DataFrame | None) -> DataFrame | None:
+        """The rows of some files of the manifest; their paths, at most one per ``rows_per_file`` leads, pass the driver."""
+        paths = [] if files is None else [r["path"] for r in files.select("path").collect()]
+        if not paths:
+            return None
+        kind = T.StructType([*LEAD_STRUCT, T.StructField("batch", T.LongType()), T.StructField("position", T.LongType())])
+        return self.spark.read.schema(kind).parquet(*paths).withColumn("ord", F.struct("batch", "position")).drop("batch", "position")
+
+    def _folded(self, parts: Sequence[DataFrame | None]) -> DataFrame:
+        held = [p for p in parts if p is not None]
+        if not held:
+            return self.spark.createDataFrame([], LEAD_STRUCT)
+        rows = held[0]
+        for part in held[1:]:
+            rows = rows.unionByName(part)
+        return newest_per_key(rows).select(*[f.name for f in LEAD_STRUCT])
+
+    @staticmethod
+    def _slot(slots: int) -> Column:
+        return F.pmod(F.xxhash64(*KEY), F.lit(slots))
 
     def current(self) -> DataFrame:
-        base, changes = self._parts()
-        names = [f.name for f in LEAD_STRUCT]
-        if changes is None or (base is not None and changes.isEmpty()):
-            # a base has one row per lead: nothing to fold
-            return self.spark.createDataFrame([], LEAD_STRUCT) if base is None else base.select(*names)
-        return newest_per_key(changes if base is None else base.unionByName(changes)).select(*names)
+        """All leads as they stand."""
+        last, _, files = self._manifest()
+        return self._folded([self._base(files), self._changes(last)])
+
+    def rows_of(self, keys: DataFrame, before: int | None = None) -> DataFrame:
+        """The leads of ``keys`` (source_id, external_id) as they stand, or stood before a batch that has been appended.
+
+        Of the base only the files of the keys' slots are opened. A batch in the base already stays in it.
+        """
+        keys = keys.select(*KEY).distinct()
+        last, slots, files = self._manifest()
+        if files is not None:
+            touched = keys.select(self._slot(slots).alias("slot")).distinct()
+            files = files.join(touched, "slot", "left_semi")
+        parts = [self._base(files), self._changes(last, before)]
+        return self._folded([None if p is None else p.join(keys, list(KEY), "left_semi") for p in parts])
 
     def compact(self) -> None:
-        base, changes = self._parts()
-        last = None if changes is None else changes.agg(F.max("ord.batch")).first()[0]
-        if last is None:
+        """Folds newer batches into the base, if there are any."""
+        last, slots, files = self._manifest()
+        changes = self._changes(last)
+        newest = None if changes is None else changes.agg(F.max("ord.batch"), F.count(F.lit(1))).first()
+        if newest is None or newest[0] is None:
             return
-        folded = newest_per_key(changes if base is None else base.unionByName(changes))
-        folded.select(*[f.name for f in LEAD_STRUCT], F.lit(0).cast("bigint").alias("position")).write.mode(
-            "overwrite").parquet(f"{self.root}/base/upto={last}")
+        upto, more = newest
+        known = 0 if files is None else files.agg(F.sum("rows")).first()[0]
+        kept = None
+        if files is not None and known + more <= 2 * slots * self.rows_per_file:
+            touched = changes.select(self._slot(slots).alias("slot")).distinct()
+            kept, files = files.join(touched, "slot", "left_anti"), files.join(touched, "slot", "left_semi")
+        else:
+            slots = 1
+            while slots * self.rows_per_file < known + more:
+                slots *= 2
+        parts = min(slots, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(known + more) // self.rows_per_file)))
+        folded = self._folded([self._base(files), changes]).withColumn("slot", self._slot(slots))
+        folded = folded.withColumns({"batch": F.lit(upto).cast("bigint"), "position": F.lit(0).cast("bigint")})
+        path = f"{self.root}/base/upto={upto}"
+        folded.repartition(parts, "slot").sortWithinPartitions("slot", *KEY).write.mode("overwrite").partitionBy("slot").parquet(path)
+        written = self.spark.read.parquet(path).groupBy(F.col("slot").cast("bigint").alias("slot"), F.col("_metadata.file_path").alias("path")).agg(
+            F.count(F.lit(1)).alias("rows"))
+        written = written.select("slot", F.lit(slots).cast("bigint").alias("slots"), "rows", "path")
+        if kept is not None:
+            written = written.unionByName(kept.drop("upto"))
+        written.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/upto={upto}")
 
 
 # ------------------------------------------------------------------ append-only logs

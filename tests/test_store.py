@@ -151,3 +151,89 @@ def test_a_label_is_zero_one_or_nothing(spark):
 
     rows = spark.createDataFrame([("99999999999",), ("2",), ("1.0",), ("0",), ("yes",), ("lost?",), (None,)], "v string")
     assert [r[0] for r in rows.select(coerce_label(F.col("v"))).collect()] == [None, None, 1, 0, 1, None, None]
+
+
+def many(spark, ids, name="n"):
+    made = ids.select(F.lit("t").alias("tenant_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source_id"),
+                      F.col("id").cast("string").alias("external_id"), F.lit(name).alias("display_name"), F.col("id").cast("string").alias("deal_value"))
+    return U.lead_rows(made, at())
+
+
+def files_read(df):
+    """Files and rows that the parquet scans of an executed plan read, from their metrics."""
+    df.collect()
+    found, todo = [0, 0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            metrics = node.metrics()
+            found[0] += metrics.apply("numFiles").value()
+            found[1] += metrics.apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_a_batch_opens_only_its_slots(spark, tmp_path):
+    store = U.LeadStore(spark, str(tmp_path / "leads"), rows_per_file=2)
+    store.append(many(spark, spark.range(5000)), 0)
+    store.compact()
+    _, slots, manifest = store._manifest()
+    total, rows = manifest.agg(F.count("*"), F.sum("rows")).first()
+    assert slots == 4096 and rows == 5000 and total > 2000
+    batch = many(spark, spark.range(0, 6000, 60), "new")
+    found = store.rows_of(batch)
+    assert found.count() == 84
+    last, slots, files = store._manifest()
+    touched = files.join(batch.select(store._slot(slots).alias("slot")).distinct(), "slot", "left_semi")
+    opened, read = files_read(store._base(touched))
+    assert opened == touched.count() < 0.05 * total and read < 0.05 * 5000 + 100
+    assert sorted(r.external_id for r in found.collect()) == sorted(str(i) for i in range(0, 5000, 60))
+    store.append(batch, 1)
+    assert store.rows_of(batch, before=1).where("display_name = 'new'").count() == 0
+    assert store.rows_of(batch).where("display_name = 'new'").count() == 100
+    store.compact()
+    _, _, after = store._manifest()
+    kept = after.join(manifest.select("path"), "path", "left_semi").count()
+    assert kept > 0.95 * total and after.agg(F.sum("rows")).first()[0] == 5016  # only touched slots were written anew
+    assert store.current().count() == 5016 and store.current().where("display_name = 'new'").count() == 100
+
+
+def test_slots_grow_with_the_leads(spark, tmp_path):
+    store = U.LeadStore(spark, str(tmp_path / "leads"), rows_per_file=100)
+    for batch, (first, until) in enumerate(((0, 50), (50, 120), (120, 2000))):
+        store.append(many(spark, spark.range(first, until)), batch)
+        store.compact()
+    _, slots, files = store._manifest()
+    assert slots == 32 and store.current().count() == 2000
+    assert store.rows_of(many(spark, spark.range(1990, 2010))).count() == 10
+
+
+def test_a_retry_reads_and_counts_alike(spark, tmp_path):
+    from leadlake.sources.sync import sync_sources
+
+    store = U.LeadStore(spark, str(tmp_path / "leads"))
+    sources = spark.createDataFrame([("s", True)], "source_id string, mapping_confirmed boolean")
+    raw = spark.createDataFrame([("t", "s", "1", "a", "5"), ("t", "s", "1", "b", None), ("t", "s", "2", "c", "7")],
+                                "tenant_id string, source_id string, id string, name string, v string")
+    mapping = {"id": "external_id", "name": "display_name", "v": "deal_value"}
+    runs, stands = [], []
+    for shuffled in (raw, raw.repartition(3), raw.orderBy(F.desc("name"))):
+        runs.append([tuple(r)[:6] for r in sync_sources(shuffled, sources, mapping, store, 0, str(tmp_path), at()).collect()])
+        stands.append(sorted(map(str, store.current().collect())))
+    assert runs[0] == runs[1] == runs[2] and runs[0][0][2:5] == (3, 2, 1)
+    assert stands[0] == stands[1] == stands[2]
+
+
+def test_records_of_a_batch_without_position_fold_the_same_way(spark, tmp_path):
+    store = U.LeadStore(spark, str(tmp_path / "leads"))
+    rows = many(spark, spark.range(1)).unionByName(many(spark, spark.range(1), "m")).unionByName(many(spark, spark.range(1), "k"))
+    seen = set()
+    for parts in (1, 2, 5):
+        store.append(rows.repartition(parts), 0)
+        seen.add(store.current().first()["display_name"])
+    assert len(seen) == 1
