@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,3 +52,15 @@ def ranked(df: DataFrame, group: str, spread: list[str], order: list[str], name:
         .withColumn(name, F.col(before) + F.row_number().over(inside) - 1)
         .drop(bucket, before)
     )
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the machine, at the end of a task that used much.
+
+    Workers outlive their tasks, and the allocators keep what tasks freed; an executor's other processes need it.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its memory
+        pass

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import WORD
+from leadlake.llm.common import WORD, give_back
 from leadlake.llm.graph import components
 from leadlake.session import store
 
@@ -57,6 +57,12 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _release() -> None:
+    """What a task leaves behind goes: the worker goes on to other tasks."""
+    _hashes.clear()
+    give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,7 +76,7 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     A text of one to four words has one shingle of all its words; no words give none.
     """
     words = _WORD.findall(text) if _ODD.search(text) else text.split()
-    if len(_hashes) > 700_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
@@ -179,7 +185,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
         finally:
-            _hashes.clear()  # the worker goes on to other tasks
+            _release()
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of(F.col("text")).alias("key"), "text")
     return chosen.mapInArrow(run, "doc_id bigint, key string, bands array<bigint>")
@@ -205,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if similarity(last[x], last[y]) >= LEAST:
                     good.append(i)
             yield pa.RecordBatch.from_pydict({"a": [a[i] for i in good], "b": [b[i] for i in good]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        _hashes.clear()
+        _release()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -317,7 +323,7 @@ class _Buckets:
             ids, block = group["doc_id"].to_numpy(np.int64), group["block"].to_numpy()
             sets = [shingles(t) for t in group["text"]]
             found = family_links(ids, group["class"].to_numpy(np.int64), sets, block == key[1], block == key[2])
-            _hashes.clear()
+            _release()
             return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
         return rows.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")

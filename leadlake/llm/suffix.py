@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import partitions
+from leadlake.llm.common import give_back, partitions
 from leadlake.llm.minhash import mix
 from leadlake.session import store
 
 LENGTH, GRAM = 400, 128
 TOGETHER = 1_000  # different contexts of an anchor that one task sorts
-AT_ONCE = 2_000_000  # bytes hashed together
-SUFFIXES_AT_ONCE = 400_000
+AT_ONCE = 500_000  # units hashed together
+SUFFIXES_AT_ONCE = 200_000
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,18 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _release() -> None:
+    """What a task leaves behind goes: the worker goes on to other tasks."""
+    _hashes.clear()
+    _powers.clear()
+    give_back()
+
+
 def units(text: bytes, law: Law) -> np.ndarray:
     """A text as an array of numbers: its bytes, or the hashes of its words."""
     if not law.words:
         return np.frombuffer(text, np.uint8)
-    if len(_hashes) > 700_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     words = text.split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -163,9 +170,9 @@ def anchors(texts: Sequence[bytes | np.ndarray], law: Law = BYTES) -> list[tuple
         if len(text) >= law.length:
             group.append(i)
             size += len(text)
-        if group and (size >= AT_ONCE or i == len(texts) - 1 or size + len(texts[i + 1]) > 1 << 23):
+        if group and (size >= AT_ONCE or i == len(texts) - 1 or size + len(texts[i + 1]) > 2 * AT_ONCE):
             data = np.concatenate([_array(texts[j]) for j in group])
-            if len(data) >= 1 << 24:  # one huge text: in overlapping parts
+            if len(group) == 1 and len(data) > 2 * AT_ONCE:  # one huge text: in overlapping parts
                 out[group[0]] = _huge(data, law)
             else:
                 for j, found in zip(group, _anchors(data, [len(texts[j]) for j in group], law), strict=True):
@@ -193,7 +200,7 @@ def _anchors(data: np.ndarray, sizes: list[int], law: Law = BYTES) -> list[tuple
 
 
 def _huge(data: bytes | np.ndarray, law: Law = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    step = 1 << 22
+    step = AT_ONCE
     parts = []
     for base in range(0, len(data) - law.length + 1, step):
         piece = _array(data[base:base + step + law.length - 1])
@@ -293,7 +300,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _parts(texts: list[bytes], most: int = 4 * AT_ONCE) -> Iterator[slice]:
+def _parts(texts: list[bytes], most: int = 8 * AT_ONCE) -> Iterator[slice]:
     begin, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text)
@@ -339,7 +346,7 @@ def scan(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
                         *[pa.array([j[k].astype(t.to_pandas_dtype()) for j in joined], pa.list_(t)) for k, t in enumerate(kinds)],
                     ], names=["doc_id", "key", "long", "law", "anchor", "context", "first", "last"])
         finally:
-            _hashes.clear()  # the worker goes on to other tasks
+            _release()
 
     schema = ("doc_id bigint, key binary, long array<boolean>, law array<tinyint>, anchor array<bigint>, context array<bigint>, "
               "first array<int>, last array<int>")
@@ -403,7 +410,7 @@ def _sorted_repeats(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
             if waiting:
                 yield spans(waiting)
         finally:
-            _hashes.clear()
+            _release()
 
     spark = slices.sparkSession
     order = ["law", "anchor", "key", "first"]
@@ -427,7 +434,7 @@ def _split(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
                         pa.array(np.array(whole, np.uint64).view(np.int64)), place, place,
                     ], names=["key", "law", "anchor", "context", "first", "last"])
         finally:
-            _hashes.clear()
+            _release()
 
     return slices.mapInArrow(run, f"key binary, {ANCHORS}")
 

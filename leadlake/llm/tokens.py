@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from leadlake.llm.common import give_back
+
 #: Chunks a worker remembers, characters it encodes at a time, chunks joined into one text.
 MOST_CHUNKS, AT_ONCE, JOINED = 700_000, 1_000_000, 64
 #: White space to Python's str.split but not to the tokenizers, and the mark of a line's start.
@@ -152,6 +154,7 @@ def _kept(tokenizer: str, spaced: bool) -> _Encoder:
 def release() -> None:
     """Forgets the chunks of this Python worker, for tasks that leave memory to what runs there next."""
     _encoders.clear()
+    give_back()
 
 
 def word_encoder(tokenizer: str) -> Callable[[Iterable[str]], Iterator[np.ndarray]]:
