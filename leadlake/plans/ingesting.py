@@ -377,13 +377,15 @@ def _orders(spark, sf, folder):
 
 @query("sync_incremental", with_leads("SELECT source_id, COUNT(*) AS n FROM leads GROUP BY 1"))
 def sync_incremental(spark, sf):
-    """Two runs over one checkpoint: the second finds nothing new and adds nothing."""
+    """Three runs over one cursor of a paged source: later ones resume, and the last finds nothing new."""
     path, out, mark = (new_folder(spark, n) for n in ("landed", "synced", "cursor"))
     raw = FX.raw_crm(spark, sf)
     raw.repartition(3, "Record ID").write.json(path)
-    for _ in range(2):
-        stream = J.file_stream(spark, path, raw.schema, "json", files_per_trigger=1)
-        J.stream_score(stream, lambda batch: batch, out, mark).awaitTermination()
+    R.register_paged_source(spark, "landed_pages")
+    shape = raw.select([F.col(f"`{c}`").cast("string") for c in raw.columns]).schema
+    for _ in range(3):
+        pages = spark.readStream.format("landed_pages").schema(shape).option("path", path).option("pages", "200").load()
+        J.stream_score(pages, lambda batch: batch, out, mark).awaitTermination()
     return spark.read.parquet(out).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -422,3 +424,33 @@ def stream_outcomes(spark, sf):
     stream = J.file_stream(spark, path, told.schema, files_per_trigger=1)
     J.stream_outcomes(stream, lambda: FX.leads(spark, sf), out, mark).awaitTermination()
     return spark.read.parquet(out).select("lead_ref", "lead_id", "matched")
+
+
+_RECORDED = "TIMESTAMP '{at}' + to_days(CAST(o.lead_key % 30 AS INTEGER) - 20)".format(at=FX.AS_OF)
+
+
+@query("stream_outcome_pairs", with_scored(f"""
+SELECT t.lead_ref, t.recorded_at, p.lead_id, p.matched_by, {round_sql('p.probability', 6)} AS probability
+FROM told t LEFT JOIN sides p ON p.tenant_id = t.tenant_id AND p.ref = t.lead_ref AND p.created_at <= t.recorded_at AND p.created_at >= t.recorded_at - INTERVAL 40 DAY
+WHERE p.lead_id IS NOT NULL OR t.recorded_at < (SELECT least(max(recorded_at), (SELECT max(scored_at) FROM scored)) - INTERVAL 36 HOUR FROM told)""", f"""
+told AS (SELECT tenant_id, CASE lead_key % 3 WHEN 0 THEN lead_id WHEN 1 THEN external_id ELSE 'gone-' || external_id END AS lead_ref,
+  lead_key % 4 = 0 AS converted, {_RECORDED} AS recorded_at FROM leads o WHERE converted IS NULL),
+sides AS (SELECT tenant_id, lead_id AS ref, lead_id, probability, scored_at AS created_at, 'lead_id' AS matched_by FROM scored
+  UNION ALL SELECT tenant_id, external_id, lead_id, probability, scored_at, 'external_id' FROM scored)"""))
+def stream_outcome_pairs(spark, sf):
+    """Outcomes, some told twice, meet the score log as both arrive; those without a score follow the watermark."""
+    told = FX.leads(spark, sf).where("converted is null")
+    kind = F.pmod(F.col("lead_key"), F.lit(3))
+    ref = F.when(kind == 0, F.col("lead_id")).when(kind == 1, F.col("external_id")).otherwise(F.concat(F.lit("gone-"), "external_id"))
+    moved = F.make_dt_interval(F.pmod(F.col("lead_key"), F.lit(30)).cast("int") - 20)
+    told = told.select("tenant_id", ref.alias("lead_ref"), (F.pmod(F.col("lead_key"), F.lit(4)) == 0).alias("converted"), (FX.as_of() + moved).alias("recorded_at"))
+    told = told.unionByName(told.where(F.pmod(F.xxhash64("lead_ref"), F.lit(5)) == 0))
+    log = FX.scored(spark, sf).select("tenant_id", "lead_id", "external_id", "probability", F.col("scored_at").alias("created_at"))
+    folders = [new_folder(spark, n) for n in ("told", "log", "intake", "pairs", "cursor", "cursor")]
+    told.repartition(2, "lead_ref").write.parquet(folders[0])
+    log.repartition(2, "lead_id").write.parquet(folders[1])
+    J.stream_intake(J.file_stream(spark, folders[0], told.schema), "recorded_at", "36 HOURS", folders[2], folders[4]).awaitTermination()
+    ontime = J.file_stream(spark, f"{folders[2]}/ontime", told.schema)
+    J.stream_outcome_pairs(ontime, J.file_stream(spark, folders[1], log.schema), folders[3], folders[5], "36 hours", "40 days").awaitTermination()
+    return spark.read.parquet(folders[3]).select("lead_ref", F.col("recorded_at").cast(NTZ).alias("recorded_at"), "lead_id", "matched_by",
+                                                 round_to(F.col("probability"), 6).alias("probability"))

@@ -6,13 +6,15 @@ Every value arrives as text; typing happens by coercion after the mapping.
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadlake.sources.pages import LandedPages, PageReader, register_pages
+
 # Contact properties requested from the CRM.
 CONTACT_PROPERTIES = (
     "firstname", "lastname", "email", "jobtitle", "company", "industry", "city", "country",
@@ -124,6 +126,19 @@ def register_source(kind: str, reader: Reader, supports_writeback: bool = False)
     _READERS[kind] = (reader, supports_writeback)
 
 
+def register_paged_source(spark: SparkSession, kind: str, made: Callable[[Mapping[str, str]], PageReader] = LandedPages,
+                          supports_writeback: bool = False) -> None:
+    """Add a kind that hands out pages: a Spark data source of that name, for reads and streams,
+    and a kind of ``read_source`` (columns, then the reader's options)."""
+    register_pages(spark, kind, made)
+
+    def read(session: SparkSession, columns: Sequence[str], **options: str) -> DataFrame:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        return session.read.format(kind).schema(schema).options(**options).load()
+
+    register_source(kind, read, supports_writeback)
+
+
 def source_kinds() -> list[tuple[str, bool]]:
     return sorted((kind, writeback) for kind, (_, writeback) in _READERS.items())
 

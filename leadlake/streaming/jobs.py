@@ -69,6 +69,60 @@ def stream_outcomes(outcomes: DataFrame, leads: Callable[[], DataFrame], path: s
     return _run(outcomes, each, checkpoint)
 
 
+def stream_intake(rows: DataFrame, moment: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Divides rows as they arrive: ``path/ontime/batch_id=N``, and ``path/late/batch_id=N`` for rows more than ``delay`` behind
+    the newest moment of earlier batches, or without a moment.
+
+    A later stateful job with at least this delay drops none of the rows on time, so nothing is lost
+    unseen. The newest moments are kept in ``path/marks``; a retried batch reads those before it and divides alike.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.read.schema("newest timestamp, batch_id bigint").parquet(f"{path}/marks") if batch_id else None
+        seen = None if marks is None else marks.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        at = F.col(moment)
+        late = at.isNull() if seen is None else at.isNull() | (at < F.lit(seen) - F.expr(f"INTERVAL {delay}"))
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/ontime/batch_id={batch_id}")
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        newest = batch.agg(F.greatest(F.max(at), F.lit(seen).cast("timestamp")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+
+    return _run(rows, each, checkpoint)
+
+
+def outcome_pairs(outcomes: DataFrame, scores: DataFrame, within: str) -> DataFrame:
+    """Every outcome with the scores of its lead that were made at most ``within`` before it; batch and streaming alike.
+
+    outcomes: tenant_id, lead_ref, converted, recorded_at; scores: tenant_id, lead_id, external_id,
+    probability, created_at. A reference names a lead id or an external id of the tenant. An outcome
+    without such a score comes once, with nulls.
+    """
+    ways = F.array(*[F.struct(F.col(c).alias("_ref"), F.lit(c).alias("matched_by")) for c in ("lead_id", "external_id")])
+    sides = scores.select(F.col("tenant_id").alias("_tenant"), "lead_id", "probability", "created_at", F.inline(ways))
+    same = (F.col("tenant_id") == F.col("_tenant")) & (F.col("lead_ref") == F.col("_ref"))
+    timely = (F.col("created_at") <= F.col("recorded_at")) & (F.col("created_at") >= F.col("recorded_at") - F.expr(f"INTERVAL {within}"))
+    return outcomes.join(sides, same & timely, "left_outer").select(
+        "tenant_id", "lead_ref", "converted", "recorded_at", "lead_id", "matched_by", "probability", "created_at")
+
+
+def stream_outcome_pairs(outcomes: DataFrame, scores: DataFrame, path: str, checkpoint: str, delay: str, within: str) -> StreamingQuery:
+    """``outcome_pairs`` of two streams, appended to a table.
+
+    Both sides have a watermark of ``delay``, so state is bounded: scores wait ``within`` and the delay for their outcome, an
+    outcome without a score is written once no score can come for it. Of outcomes that tell the same of a reference
+    (tenant_id, lead_ref, converted, recorded_at) the first counts. Rows behind the watermark are dropped here: divide them off before by ``stream_intake``.
+    """
+    told = outcomes.withWatermark("recorded_at", delay).dropDuplicatesWithinWatermark(["tenant_id", "lead_ref", "converted", "recorded_at"])
+    return _to_table(outcome_pairs(told, scores.withWatermark("created_at", delay), within), path, checkpoint)
+
+
+def closed_outcome_pairs(outcomes: DataFrame, scores: DataFrame, within: str, closed_at: Column) -> DataFrame:
+    """What the stream has written when its watermark stands at ``closed_at``: all pairs, and outcomes without a score before it."""
+    told = outcomes.dropDuplicates(["tenant_id", "lead_ref", "converted", "recorded_at"])
+    pairs = outcome_pairs(told, scores, within)
+    return pairs.where(F.col("lead_id").isNotNull() | (F.col("recorded_at") < closed_at))
+
+
 def _to_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
