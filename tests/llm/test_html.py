@@ -1,9 +1,10 @@
 import html
 import re
+import time
 
 import pytest
 
-from leadlake.llm.html import extract, main_text
+from leadlake.llm.html import extract, main_text, marked
 
 PROSE = "This is a long paragraph of an article that has quite some words in it, and goes on for a while."
 
@@ -49,14 +50,65 @@ def test_broken_markup(text):
     assert isinstance(main_text(text), str)
 
 
+def article_of(page):
+    article = re.split(r"</article>|<footer>", page.split("<article>")[1])[0]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+    return "\n\n".join(b for b in blocks if b)
+
+
 def test_pages_of_the_table(spark, sf):
     rows = extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert len(rows) == len(pages)
     for r in rows:
-        article = re.split(r"</article>|<footer>", pages[r.page_id].split("<article>")[1])[0]
-        blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
-        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == article_of(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_pages_without_their_article_tags(spark):
+    """The ratios find the same text where no article element names it."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        expected = article_of(r.html).split("\n\n")
+        found = main_text(re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)).split("\n\n")
+        assert set(found) <= set(expected)
+        assert sum(map(len, found)) >= 0.98 * sum(map(len, expected)), r.page_id
+
+
+def test_unmarked_menus_go_by_their_ratio():
+    """Menus and a footer in plain divisions, as no name tells."""
+    links = "".join(f'<div><a href="/{i}">Go {i}</a></div>' for i in range(8))
+    body = f"<div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><ul><li>one</li><li>two</li></ul><p>Short.</p></div>"
+    page_ = f"<body><div>{links}</div>{body}<div>{links}</div></body>"
+    assert main_text(page_) == "\n\n".join(["Title", PROSE, PROSE, "one", "two", "Short."])
+
+
+def test_nested_and_sibling_regions():
+    assert main_text(f"<main><h1>Title</h1><p>Lead</p><article><p>{PROSE}</p><p>{PROSE}</p></article></main>") == f"Title\n\nLead\n\n{PROSE}\n\n{PROSE}"
+    two = page(f"<article><h1>T</h1><p>{PROSE * 5}</p></article><article><p>{PROSE}</p></article>")
+    assert main_text(two) == f"T\n\n{PROSE * 5}\n\n{PROSE}"
+    inside = page(f'<article><div class="entry-header"><h1>Title</h1></div><p class="notice-period">{PROSE}</p><p>{PROSE}</p></article>')
+    assert main_text(inside) == f"Title\n\n{PROSE}\n\n{PROSE}"
+    assert main_text(f"<body><form action=x><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><input></form></body>") == f"Title\n\n{PROSE}\n\n{PROSE}"
+    assert main_text(page(f"<article><p>{PROSE}</p></article><form>Search the site <input><button>Go</button></form>")) == PROSE
+    menu = "<ul>" + "<li><a href=x>Other page</a></li>" * 5 + "</ul>"
+    assert main_text(page(f"<article><p>{PROSE}</p>{menu}<p>{PROSE}</p></article>")) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_names():
+    assert all(map(marked, ("ad", "cookie-notice", "site-footer", "page_header", "comments", "post-comments", "nav-menu", "left-sidebar")))
+    assert not any(map(marked, ("entry-header", "notice-period", "has-sidebar", "content", "article-footer", "radar", "search-results", "", "-")))
+
+
+@pytest.mark.parametrize("made", [
+    lambda n: "<i>" * n + "</b>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<article>" * n + "x", lambda n: "<div><p>" * n + "</i>" * n,
+    lambda n: "".join(f"<article><p>{i} words</p></article>" for i in range(n)), lambda n: "<ul><li>" * n, lambda n: "<p>" * n + "</p>" * n,
+])
+def test_time_is_linear(made):
+    def seconds(n):
+        text, started = made(n), time.process_time()
+        main_text(text)
+        return time.process_time() - started
+
+    assert seconds(40_000) < 0.5 + 9 * seconds(8_000)
 
 
 def test_odd_rows(spark):
