@@ -3,7 +3,8 @@
 A file holds the documents of one range of ids, in ascending order, a frame per document:
 its token ids as little-endian unsigned 16-bit numbers, or 32-bit where the vocabulary needs
 it. Two skippable frames follow, which any zstandard reader passes over: the document ids
-(zstandard-compressed signed 64-bit numbers), and the seek table of the public seekable
+(zstandard-compressed signed 64-bit numbers: how many documents have no id, which come first and
+count as 0, then the ids), and the seek table of the public seekable
 format: compressed size, decompressed size and checksum (the low 32 bits of XXH64) of each
 frame, then the number of frames, a descriptor and a magic number. A reader finds the table
 from the file's end and decompresses only the documents it wants.
@@ -49,17 +50,19 @@ class FrameWriter:
     def __init__(self, stream, wide: bool, level: int = 3) -> None:
         self.stream, self.kind = stream, "<u4" if wide else "<u2"
         self.compressor = zstandard.ZstdCompressor(level=level)
-        self.table, self.ids = bytearray(), []
+        self.table, self.ids, self.nulls = bytearray(), [], 0
 
-    def add(self, doc_id: int, tokens: np.ndarray) -> None:
+    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
+        """Documents without an id come before all others."""
         raw = tokens.astype(self.kind).tobytes()
         frame = self.compressor.compress(raw)
         self.stream.write(frame)
         self.table += ENTRY.pack(len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
-        self.ids.append(doc_id)
+        self.nulls += doc_id is None
+        self.ids.append(doc_id or 0)
 
     def close(self) -> None:
-        packed = self.compressor.compress(np.array(self.ids, "<i8").tobytes())
+        packed = self.compressor.compress(np.array([self.nulls, *self.ids], "<i8").tobytes())
         self.stream.write(struct.pack("<II", SKIPPABLE_IDS, len(packed)) + packed)
         body = bytes(self.table) + FOOTER.pack(len(self.ids), WITH_CHECKSUMS, SEEKABLE)
         self.stream.write(struct.pack("<II", SKIPPABLE_TABLE, len(body)) + body)
@@ -83,7 +86,8 @@ class FrameReader:
         if magic != SKIPPABLE_IDS:
             raise ValueError("the frames do not end where the seek table says")
         self.decompressor = zstandard.ZstdDecompressor()
-        self.ids = np.frombuffer(self.decompressor.decompress(file.read_at(length, at + 8)), "<i8")
+        counted = np.frombuffer(self.decompressor.decompress(file.read_at(length, at + 8)), "<i8")
+        self.nulls, self.ids = int(counted[0]), counted[1:]
 
     def tokens(self, frame: int) -> np.ndarray:
         """The token ids of one frame; its checksum must hold."""
@@ -94,7 +98,7 @@ class FrameReader:
 
     def document(self, doc_id: int) -> np.ndarray:
         """The first document with this id; nothing else is decompressed."""
-        frame = int(np.searchsorted(self.ids, doc_id))
+        frame = self.nulls + int(np.searchsorted(self.ids[self.nulls:], doc_id))
         if frame == len(self.ids) or self.ids[frame] != doc_id:
             raise KeyError(doc_id)
         return self.tokens(frame)
@@ -111,7 +115,7 @@ def write_tokens(
 
     The manifest has a row per file: range (the files' order), path, wide, n_docs, n_ids. Null texts
     are empty documents; rows that repeat an id are documents of their own, in the order of a
-    hash of their text. Null ids cannot be written in id order and are left out. An empty table
+    hash of their text. Documents without an id come first, with that marked. An empty table
     writes no file.
     """
     from tokenizers import Tokenizer
@@ -142,7 +146,7 @@ def write_tokens(
                 "n_docs": [len(writer.ids)], "n_ids": [n_ids],
             })
 
-    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
+    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     ranges = chosen.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranges = ranges.withColumn("range", F.spark_partition_id().cast("bigint"))
     return store(ranges.mapInArrow(run, "range bigint, path string, wide boolean, n_docs bigint, n_ids bigint"))
@@ -170,8 +174,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     starts = base + (np.cumsum(reader.raw_sizes) - reader.raw_sizes) // width
                     chosen = range(first, min(first + FRAMES_AT_ONCE, len(reader.ids)))
                     crcs = [zlib.crc32(reader.tokens(i).astype("<u4").tobytes()) for i in chosen]
+                    ids = pd.array(reader.ids[chosen.start:chosen.stop], "Int64")
+                    ids[:max(0, reader.nulls - chosen.start)] = pd.NA
                     yield pd.DataFrame({
-                        "doc_id": reader.ids[chosen.start:chosen.stop], "start": starts[chosen.start:chosen.stop],
+                        "doc_id": ids, "start": starts[chosen.start:chosen.stop],
                         "n_tokens": reader.raw_sizes[chosen.start:chosen.stop] // width, "ids_crc32": crcs,
                     })
 

@@ -59,14 +59,15 @@ def test_checksum_catches_a_wrong_frame():
 
 def check(rows, docs):
     model = Tokenizer.from_file(BYTES)
-    sized = sorted((d, len(ids := [*model.encode(t or "", add_special_tokens=False).ids, 2]), zlib.crc32(np.array(ids, "<u4").tobytes()))
-                   for d, t in docs if d is not None)
-    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == sized
+    first = lambda d: (d is not None, d or 0)  # noqa: E731  documents without an id come first
+    sized = sorted((*first(d), len(ids := [*model.encode(t or "", add_special_tokens=False).ids, 2]), zlib.crc32(np.array(ids, "<u4").tobytes()))
+                   for d, t in docs)
+    assert sorted((*first(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == sized
     at = 0
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
-    in_order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    in_order = [first(r.doc_id) for r in sorted(rows, key=lambda r: r.start)]
     assert in_order == sorted(in_order)
 
 
@@ -80,6 +81,18 @@ def test_odd_rows(spark, odd, documents):
     assert R.token_files(documents(), BYTES).count() == 0
 
 
+def test_documents_without_an_id(spark, documents, monkeypatch):
+    monkeypatch.setattr(R, "FRAMES_AT_ONCE", 3)
+    docs = [(None, f"text {i}") for i in range(8)] + [(0, "zero"), (-5, "minus"), (7, None)]
+    rows = R.token_files(documents(*docs).repartition(4), BYTES).collect()
+    check(rows, docs)
+    assert sum(r.doc_id is None for r in rows) == 8
+    file = reader(written([(None, [1, 2]), (None, [3]), (-4, [4]), (0, [5, 6])]))
+    assert (file.nulls, file.document(-4).tolist(), file.document(0).tolist()) == (2, [4], [5, 6])
+    with pytest.raises(KeyError):
+        file.document(1)
+
+
 def test_slices_of_a_file(spark, documents, monkeypatch):
     monkeypatch.setattr(R, "FRAMES_AT_ONCE", 7)
     docs = [(i, f"text {i}") for i in range(100)]
