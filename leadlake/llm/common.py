@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +55,21 @@ def ranked(df: DataFrame, group: str, spread: list[str], order: list[str], name:
     )
 
 
-def give_back() -> None:
-    """Returns freed memory of a Python worker to the machine, at the end of a task that used much.
+def lean(run: Callable[[Iterator], Iterator], *tables: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a map over batches; at a task's end its Python worker empties ``tables`` and returns freed memory to the machine.
 
-    Workers outlive their tasks, and the allocators keep what tasks freed; an executor's other processes need it.
+    Workers outlive their tasks, and their allocators keep what tasks freed; an executor's other processes need it.
     """
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library: it keeps its memory
-        pass
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)  # its frame, and all it held, is gone after this
+        finally:
+            for empty in tables:
+                empty()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps its memory
+                pass
+
+    return wrapped

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import WORD, give_back
+from leadlake.llm.common import WORD, lean
 from leadlake.llm.graph import components
 from leadlake.session import store
 
@@ -57,10 +57,8 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def _release() -> None:
-    """What a task leaves behind goes: the worker goes on to other tasks."""
+def _forget() -> None:
     _hashes.clear()
-    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,20 +173,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     A text without words has no bands.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                bands = []
-                for part in _parts(x or "" for x in batch.column(2).to_pylist()):
-                    sets = [shingles(t) for t in part]
-                    hashed = band_hashes(signatures(sets)).view(np.int64)
-                    bands += [hashed[i] if len(s[0]) else [] for i, s in enumerate(sets)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-        finally:
-            _release()
+        for batch in batches:
+            bands = []
+            for part in _parts(x or "" for x in batch.column(2).to_pylist()):
+                sets = [shingles(t) for t in part]
+                hashed = band_hashes(signatures(sets)).view(np.int64)
+                bands += [hashed[i] if len(s[0]) else [] for i, s in enumerate(sets)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key_of(F.col("text")).alias("key"), "text")
-    return chosen.mapInArrow(run, "doc_id bigint, key string, bands array<bigint>")
+    return chosen.mapInArrow(lean(run, _forget), "doc_id bigint, key string, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -211,11 +206,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if similarity(last[x], last[y]) >= LEAST:
                     good.append(i)
             yield pa.RecordBatch.from_pydict({"a": [a[i] for i in good], "b": [b[i] for i in good]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        _release()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(lean(run, _forget), "a bigint, b bigint")
 
 
 def _items(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +317,7 @@ class _Buckets:
             ids, block = group["doc_id"].to_numpy(np.int64), group["block"].to_numpy()
             sets = [shingles(t) for t in group["text"]]
             found = family_links(ids, group["class"].to_numpy(np.int64), sets, block == key[1], block == key[2])
-            _release()
+            _hashes.clear()
             return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
         return rows.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import inline_table, partitions, ranked
-from leadlake.llm.tokens import release, word_encoder
+from leadlake.llm.common import inline_table, lean, partitions, ranked
+from leadlake.llm.tokens import forget, word_encoder
 from leadlake.session import store
 
 
@@ -89,13 +89,13 @@ _PIECES = pa.schema([
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, with_ids: bool = False,
-    id_column: str = "doc_id", text_column: str = "text", lean: bool = False,
+    id_column: str = "doc_id", text_column: str = "text", release: bool = False,
 ) -> DataFrame:
     """Each document as token ids and ``end_id``, cut at the multiples of ``capacity``.
 
     A row per piece: doc_id, start, length, ids_crc32 (of unsigned little-endian 32-bit ids),
     doc_tokens, and the ids if wanted. Null texts are empty: one piece that holds the end id.
-    ``lean``: a task's end frees the tokenizer's memory, so other stages of a job have it, and the next task learns its chunks anew.
+    ``release``: a task's end frees the tokenizer's memory, so other stages of a job have it, and the next task learns its chunks anew.
     """
     schema = _PIECES if with_ids else _PIECES.remove(len(_PIECES) - 1)
 
@@ -112,12 +112,10 @@ def token_pieces(
                     for column, value in zip(out, row):  # noqa: B905  the last only with_ids
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-        if lean:
-            release()
 
     ddl = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
     chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, ddl)
+    return chosen.mapInArrow(lean(run, forget) if release else run, ddl)
 
 
 def pack(pieces: DataFrame, capacity: int, spread: list[str]) -> DataFrame:
@@ -141,13 +139,13 @@ def pack(pieces: DataFrame, capacity: int, spread: list[str]) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, lean: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, release: bool = False) -> DataFrame:
     """Token pieces of all documents with their sequences.
 
     Repeated rows are documents of their own, null ids included; extra columns are left out.
     The pieces are stored once, so texts are read and encoded once and never shuffled.
     """
-    pieces = store(token_pieces(docs, tokenizer, capacity, end_id, with_ids, lean=lean))
+    pieces = store(token_pieces(docs, tokenizer, capacity, end_id, with_ids, release=release))
     return pack(pieces, capacity, ["doc_id", "start", "ids_crc32", "doc_tokens"])
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import give_back, partitions
+from leadlake.llm.common import lean, partitions
 from leadlake.llm.minhash import mix
 from leadlake.session import store
 
@@ -72,11 +72,9 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def _release() -> None:
-    """What a task leaves behind goes: the worker goes on to other tasks."""
+def _forget() -> None:
     _hashes.clear()
     _powers.clear()
-    give_back()
 
 
 def units(text: bytes, law: Law) -> np.ndarray:
@@ -327,30 +325,27 @@ def _served(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarra
 def scan(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
     """Per row: doc_id, key (md5 of the text), for each law whether the text is as long as its strings, and the anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                every, ids = _bytes_of(batch.column(1)), batch.column(0)
-                for part in _parts(every):
-                    texts = every[part]
-                    long, columns = [], [[] for _ in texts]
-                    for number, law in enumerate(laws):
-                        counted = [units(t, law) for t in texts]
-                        long.append([len(u) >= law.length for u in counted])
-                        for i, found in enumerate(anchors(counted, law)):
-                            columns[i].append((np.full(len(found[0]), number, np.int8), *_served(found)))
-                    joined = [[np.concatenate(c) for c in zip(*parts, strict=True)] for parts in columns]
-                    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([
-                        ids[part.start:part.stop], pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
-                        pa.array([list(x) for x in zip(*long, strict=True)], pa.list_(pa.bool_())),
-                        *[pa.array([j[k].astype(t.to_pandas_dtype()) for j in joined], pa.list_(t)) for k, t in enumerate(kinds)],
-                    ], names=["doc_id", "key", "long", "law", "anchor", "context", "first", "last"])
-        finally:
-            _release()
+        for batch in batches:
+            every, ids = _bytes_of(batch.column(1)), batch.column(0)
+            for part in _parts(every):
+                texts = every[part]
+                long, columns = [], [[] for _ in texts]
+                for number, law in enumerate(laws):
+                    counted = [units(t, law) for t in texts]
+                    long.append([len(u) >= law.length for u in counted])
+                    for i, found in enumerate(anchors(counted, law)):
+                        columns[i].append((np.full(len(found[0]), number, np.int8), *_served(found)))
+                joined = [[np.concatenate(c) for c in zip(*parts, strict=True)] for parts in columns]
+                kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    ids[part.start:part.stop], pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+                    pa.array([list(x) for x in zip(*long, strict=True)], pa.list_(pa.bool_())),
+                    *[pa.array([j[k].astype(t.to_pandas_dtype()) for j in joined], pa.list_(t)) for k, t in enumerate(kinds)],
+                ], names=["doc_id", "key", "long", "law", "anchor", "context", "first", "last"])
 
     schema = ("doc_id bigint, key binary, long array<boolean>, law array<tinyint>, anchor array<bigint>, context array<bigint>, "
               "first array<int>, last array<int>")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run, _forget), schema)
 
 
 def _slices(texts: DataFrame, wanted: DataFrame, laws: Sequence[Law]) -> DataFrame:
@@ -374,7 +369,7 @@ def _slices(texts: DataFrame, wanted: DataFrame, laws: Sequence[Law]) -> DataFra
                 ], names=["key", "law", "anchor", "first", "bytes"])
 
     return texts.join(per_text, "key").select("key", "text", "cuts").mapInArrow(
-        run, "key binary, law tinyint, anchor bigint, first int, bytes binary")
+        lean(run, _forget), "key binary, law tinyint, anchor bigint, first int, bytes binary")
 
 
 SPANS = "key binary, law tinyint, from bigint, until bigint"
@@ -397,46 +392,40 @@ def _sorted_repeats(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # whole anchors of one law, then the anchor that may go on in the next row
         size, group = 0, None
-        try:
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if row[1:3] != group:
-                        if waiting and (size >= SUFFIXES_AT_ONCE or row[1] != group[0]):
-                            yield spans(waiting)
-                            waiting, size = [], 0
-                        group = row[1:3]
-                    waiting.append(row)
-                    size += (row[4].count(b" ") + 1 if laws[row[1]].words else len(row[4])) - laws[row[1]].length + 1
-            if waiting:
-                yield spans(waiting)
-        finally:
-            _release()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[1:3] != group:
+                    if waiting and (size >= SUFFIXES_AT_ONCE or row[1] != group[0]):
+                        yield spans(waiting)
+                        waiting, size = [], 0
+                    group = row[1:3]
+                waiting.append(row)
+                size += (row[4].count(b" ") + 1 if laws[row[1]].words else len(row[4])) - laws[row[1]].length + 1
+        if waiting:
+            yield spans(waiting)
 
     spark = slices.sparkSession
     order = ["law", "anchor", "key", "first"]
     sorted_slices = slices.repartition(partitions(spark), "law", "anchor").sortWithinPartitions(*order)
-    return sorted_slices.select("key", "law", "anchor", "first", "bytes").mapInArrow(run, SPANS)
+    return sorted_slices.select("key", "law", "anchor", "first", "bytes").mapInArrow(lean(run, _forget), SPANS)
 
 
 def _split(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
     """key and ANCHORS of the starts of large anchors, each start by an anchor of its own: its whole string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                for key, number, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "law", "first", "bytes")), strict=True):
-                    law = laws[number]
-                    h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
-                    begin, end = _bounds(text, len(h), law)
-                    whole = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                    place = pa.array(np.arange(len(h)) + first, pa.int32())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([key] * len(h), pa.binary()), pa.array(np.full(len(h), number), pa.int8()), pa.array(h),
-                        pa.array(np.array(whole, np.uint64).view(np.int64)), place, place,
-                    ], names=["key", "law", "anchor", "context", "first", "last"])
-        finally:
-            _release()
-
-    return slices.mapInArrow(run, f"key binary, {ANCHORS}")
+        for batch in batches:
+            for key, number, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "law", "first", "bytes")), strict=True):
+                law = laws[number]
+                h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
+                begin, end = _bounds(text, len(h), law)
+                whole = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                place = pa.array(np.arange(len(h)) + first, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([key] * len(h), pa.binary()), pa.array(np.full(len(h), number), pa.int8()), pa.array(h),
+                    pa.array(np.array(whole, np.uint64).view(np.int64)), place, place,
+                ], names=["key", "law", "anchor", "context", "first", "last"])
+
+    return slices.mapInArrow(lean(run, _forget), f"key binary, {ANCHORS}")
 
 
 def _meet(served: DataFrame, laws: Sequence[Law]) -> tuple[DataFrame, DataFrame]:
@@ -536,7 +525,7 @@ def cut_texts(found: Repeats, laws: Sequence[Law]) -> DataFrame:
                 ("kept_sha256", pa.string())]))
 
     schema = "key binary, kept_text string, changed boolean, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return found.texts.join(per_text, "key", "left").select("key", "text", "spans").mapInArrow(run, schema)
+    return found.texts.join(per_text, "key", "left").select("key", "text", "spans").mapInArrow(lean(run, _forget), schema)
 
 
 def _results(docs: DataFrame, laws: Sequence[Law]) -> DataFrame:

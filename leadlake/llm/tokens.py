@@ -10,14 +10,13 @@ white-space classes of Python and of the tokenizer differ are encoded directly.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 
-from leadlake.llm.common import give_back
-
 #: Chunks a worker remembers, characters it encodes at a time, chunks joined into one text.
 MOST_CHUNKS, AT_ONCE, JOINED = 700_000, 1_000_000, 64
 #: White space to Python's str.split but not to the tokenizers, and the mark of a line's start.
@@ -63,6 +62,7 @@ class _Encoder:
     def __init__(
         self, tokenizer: str, keys: Callable[[str], list[str]], chunk_of: Callable[[str], str], separator: str,
     ) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would each keep memory
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
@@ -151,10 +151,9 @@ def _kept(tokenizer: str, spaced: bool) -> _Encoder:
     return _encoders[tokenizer, spaced]
 
 
-def release() -> None:
+def forget() -> None:
     """Forgets the chunks of this Python worker, for tasks that leave memory to what runs there next."""
     _encoders.clear()
-    give_back()
 
 
 def word_encoder(tokenizer: str) -> Callable[[Iterable[str]], Iterator[np.ndarray]]:
