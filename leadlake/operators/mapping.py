@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +80,7 @@ def fuzzy_match(profile: DataFrame) -> DataFrame:
     """(column, field) pairs whose best alias similarity is at least 0.72."""
     named = profile.withColumn("normalized", normalize_key(F.col("column")))
     # Sources share many names, so each distinct name is compared once.
-    names = named.select("normalized").distinct()
-    scores = names.withColumn("_s", field_similarities(F.col("normalized"))).select(
-        "normalized", F.inline("_s")).where(F.col("name_score") >= S.NAME_FLOOR)
-    return named.join(scores, "normalized")
+    return named.join(field_similarities(named, "normalized", S.NAME_FLOOR), "normalized")
 
 
 def mapping_candidates(profile: DataFrame, by: Sequence[str] = ("source_id",)) -> DataFrame:
@@ -111,18 +107,21 @@ def mapping_candidates(profile: DataFrame, by: Sequence[str] = ("source_id",)) -
         *by, "column", "field", "b.*")
 
 
-def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed pairs, then the strongest first; each column and each field once."""
-    ordered = pairs.assign(held=pairs["method"] == "confirmed").sort_values(
-        ["held", "confidence", "column", "field"], ascending=[False, False, True, True]).drop(columns="held")
-    columns, fields, chosen = set(), set(), []
-    for column, field, confidence in zip(ordered["column"], ordered["field"], ordered["confidence"]):
-        free = confidence >= S.REVIEW_FLOOR and column not in columns and field not in fields
-        chosen.append(free)
-        if free:
-            columns.add(column)
-            fields.add(field)
-    return ordered.assign(assigned=chosen)
+def _assigned(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The pairs that a greedy choice takes: confirmed ones, then the strongest first; each column and each field once.
+
+    A source's pairs, its columns times thirty fields at most, are folded in order.
+    """
+    item = F.struct((F.col("method") != "confirmed").alias("late"), (-F.col("confidence")).alias("order"), F.col("column"), F.col("field"))
+    sure = F.when(F.col("confidence") >= S.REVIEW_FLOOR, item)
+    ordered = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(sure)).alias("_pairs"))  # bounded by the header
+
+    def take(chosen: Column, p: Column) -> Column:
+        taken = F.exists(chosen, lambda c: (c["column"] == p["column"]) | (c["field"] == p["field"]))
+        return F.when(taken, chosen).otherwise(F.concat(chosen, F.array(F.struct(p["column"].alias("column"), p["field"].alias("field")))))
+
+    none = F.array().cast("array<struct<column:string,field:string>>")
+    return ordered.select(*by, F.inline(F.aggregate("_pairs", none, take)))
 
 
 def propose_mapping(profile: DataFrame, confirmed: DataFrame | None = None,
@@ -142,9 +141,8 @@ def propose_mapping(profile: DataFrame, confirmed: DataFrame | None = None,
             *by, "column", "field", F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("method"),
             F.lit("Confirmed by a human.").alias("evidence")))
     pairs = pairs.where(F.col("confidence").isNotNull())
-    out = f"{source} string, column string, field string, confidence double, method string, evidence string, assigned boolean"
-    # Group size: columns of one source times thirty fields.
-    settled = pairs.groupBy(source).applyInPandas(lambda pdf: _assign(pdf), out)
+    chosen = _assigned(pairs, by).withColumn("_yes", F.lit(True))
+    settled = pairs.join(chosen, [*by, "column", "field"], "left").withColumn("assigned", F.col("_yes").isNotNull())
     ranked = F.array_sort(
         F.collect_list(F.struct((-F.col("confidence")).alias("order"), F.col("field"))))
     folded_up = settled.groupBy(source, "column").agg(

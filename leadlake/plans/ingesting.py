@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadlake import schema
 from leadlake.functions import text as TX
 from leadlake.functions.numbers import round_to
-from leadlake.functions.similarity import token_set_similarity
+from leadlake.functions.similarity import field_names, token_set_similarity
 from leadlake.operators import clean as C
 from leadlake.operators import mapping as MP
 from leadlake.operators import score as SC
@@ -288,28 +288,102 @@ def mapping_confidence(spark, sf):
         "source_id", "column", "field", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
-@query("name_similarity_join")
+_NAME_SQL = """trim(regexp_replace(lower("column"), '[^\\p{L}\\p{N}]+', ' ', 'g'))"""
+_KNOWN_VALUES = ", ".join(f"('{f}', '{n}')" for f, n in field_names())
+_RATIO_SQL = "2e0 * (SELECT n FROM common c WHERE c.x = {x} AND c.y = {y}) / (length({x}) + length({y}))"
+# Whole texts of shared and rest tokens are compared, by rows of the usual table: a row is the running
+# maximum of the row above, one more where the characters agree.
+_SIMILAR_SQL = f"""known(field, alias) AS (VALUES {_KNOWN_VALUES}),
+sides AS (SELECT name, alias, list_distinct([t FOR t IN string_split(name, ' ') IF t <> '']) AS l, list_distinct([t FOR t IN string_split(alias, ' ') IF t <> '']) AS r
+  FROM (SELECT DISTINCT {_NAME_SQL} AS name FROM profile) CROSS JOIN (SELECT DISTINCT alias FROM known)),
+tokens AS (SELECT *, array_to_string(list_sort([t FOR t IN l IF list_contains(r, t)]), ' ') AS base, list_sort([t FOR t IN l IF NOT list_contains(r, t)]) AS rl,
+  list_sort([t FOR t IN r IF NOT list_contains(l, t)]) AS rr FROM sides),
+texts AS (SELECT *, trim(base || ' ' || array_to_string(rl, ' ')) AS a, trim(base || ' ' || array_to_string(rr, ' ')) AS b FROM tokens),
+asked AS (SELECT a AS x, b AS y FROM texts UNION SELECT base, a FROM texts UNION SELECT base, b FROM texts),
+table_rows AS (
+  SELECT x, y, 0 AS i, [0 FOR j IN range(length(y))] AS rowed FROM asked WHERE x <> '' AND y <> ''
+  UNION ALL
+  SELECT x, y, i + 1, [list_max(fresh[1:j]) FOR j IN range(1, length(y) + 1)] FROM (
+    SELECT *, [CASE WHEN y[j] = x[i + 1] THEN coalesce(rowed[j - 1], 0) + 1 ELSE rowed[j] END FOR j IN range(1, length(y) + 1)] AS fresh
+    FROM table_rows WHERE i < length(x))),
+common AS (SELECT x, y, rowed[length(y)] AS n FROM table_rows WHERE i = length(x)),
+similar_names AS (SELECT name, alias, CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0e0 WHEN base <> '' AND (len(rl) = 0 OR len(rr) = 0) THEN 1e0
+  WHEN base <> '' THEN greatest({_RATIO_SQL.format(x='a', y='b')}, {_RATIO_SQL.format(x='base', y='a')}, {_RATIO_SQL.format(x='base', y='b')})
+  ELSE {_RATIO_SQL.format(x='a', y='b')} END AS score FROM texts),
+near AS (SELECT profile.*, field, max(score) AS name_score FROM profile JOIN similar_names ON name = {_NAME_SQL} JOIN known USING (alias)
+  GROUP BY ALL HAVING max(score) >= 0.72e0)"""
+_BEST_SQL = f"""shaped_near AS (SELECT near.*, {_SHAPE_SQL} AS shape FROM near JOIN (VALUES {_KINDS_VALUES}) k(field, kind) USING (field)),
+evidenced AS (
+  SELECT source_id, "column", field, CASE WHEN shape >= 0.5e0 THEN 0.95e0 ELSE 0.72e0 END AS confidence, 'alias' AS method, '''' || "column" || ''' is a known synonym' AS evidence FROM shaped
+  UNION ALL SELECT source_id, "column", field, 0.72e0 * name_score + 0.28e0 * shape, 'fuzzy',
+    'name similarity ' || CAST(CAST({round_sql('name_score * 100e0', 0)} AS BIGINT) AS VARCHAR) || '%, value shape ' || CAST(CAST({round_sql('shape * 100e0', 0)} AS BIGINT) AS VARCHAR) || '%' FROM shaped_near),
+best AS (SELECT * FROM evidenced QUALIFY row_number() OVER (PARTITION BY source_id, "column", field ORDER BY confidence DESC, method) = 1),
+queue AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, "column", field) AS i FROM best WHERE confidence >= 0.45e0),
+claims AS (
+  SELECT source_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS cols, CAST([] AS VARCHAR[]) AS fields FROM (SELECT DISTINCT source_id FROM best)
+  UNION ALL
+  SELECT c.source_id, q.i, CASE WHEN free THEN list_append(cols, q."column") ELSE cols END, CASE WHEN free THEN list_append(fields, q.field) ELSE fields END
+  FROM claims c JOIN queue q ON q.source_id = c.source_id AND q.i = c.i + 1, LATERAL (SELECT NOT list_contains(cols, q."column") AND NOT list_contains(fields, q.field) AS free)),
+taken AS (SELECT source_id, unnest(cols) AS "column", unnest(fields) AS field FROM (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY i DESC) = 1)),
+tops AS (SELECT source_id, "column", list(field ORDER BY confidence DESC, field)[1:4] AS top FROM best GROUP BY 1, 2),
+proposed AS (SELECT p.source_id, p."column", t.field AS canonical_field, coalesce({round_sql('b.confidence', 3)}, 0e0) AS confidence,
+  coalesce(b.method, CASE WHEN o.top IS NULL THEN 'none' ELSE 'conflict' END) AS method,
+  coalesce(b.evidence, CASE WHEN o.top IS NULL THEN 'No canonical field resembles this column.' ELSE 'every candidate field was claimed by a stronger match' END) AS evidence,
+  t.field IS NOT NULL AND coalesce(b.confidence, 0e0) < 0.85e0 AS needs_review,
+  coalesce(array_to_string(CASE WHEN t.field IS NULL THEN o.top ELSE [f FOR f IN o.top IF f <> t.field][1:3] END, ','), '') AS alternatives
+  FROM profile p LEFT JOIN taken t USING (source_id, "column") LEFT JOIN best b ON b.source_id = t.source_id AND b."column" = t."column" AND b.field = t.field
+  LEFT JOIN tops o ON o.source_id = p.source_id AND o."column" = p."column")"""
+
+
+def _recursive(body: str, *ctes: str) -> str:
+    return with_leads(body, ", ".join([FX.RAW_SQL, PROFILE_SQL, *ctes])).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ALL_MAPPING = (_ALIAS_SQL, _SHAPED_SQL, _SIMILAR_SQL, _BEST_SQL)
+
+
+@query("name_similarity_join", _recursive(f'SELECT source_id, "column", field, {round_sql("name_score", 6)} AS name_score FROM near', _SIMILAR_SQL))
 def name_similarity_join(spark, sf):
-    return MP.fuzzy_match(_profile(spark, sf)).select("source_id", "column", "field", "name_score")
+    return MP.fuzzy_match(_profile(spark, sf)).select("source_id", "column", "field", round_to(F.col("name_score"), 6).alias("name_score"))
 
 
-@query("token_set_similarity")
+@query("token_set_similarity", _recursive(f"""
+SELECT source_id, {_NAME_SQL} AS a, alias AS b, {round_sql('score', 6)} AS score FROM profile JOIN similar_names ON name = {_NAME_SQL}""", _SIMILAR_SQL))
 def token_set_similarity_query(spark, sf):
-    names = _profile(spark, sf).select("source_id", TX.normalize_key(F.col("column")).alias("a"))
-    return names.withColumn("score", token_set_similarity(F.col("a"), F.lit("number of sessions")))
+    """Every column name against every name of every canonical field."""
+    aliases = sorted({n for _, n in field_names()})
+    names = _profile(spark, sf).select("source_id", TX.normalize_key(F.col("column")).alias("a"), F.explode(F.array(*map(F.lit, aliases))).alias("b"))
+    return names.withColumn("score", round_to(token_set_similarity(F.col("a"), F.col("b")), 6))
 
 
-@query("propose_mapping")
+def _proposals(spark, sf):
+    made = MP.propose_mapping(store(_profile(spark, sf)))
+    return made.withColumn("alternatives", F.array_join("alternatives.canonical_field", ","))
+
+
+@query("propose_mapping", _recursive("SELECT * FROM proposed", *_ALL_MAPPING))
 def propose_mapping(spark, sf):
-    return MP.propose_mapping(store(_profile(spark, sf)))
+    return _proposals(spark, sf)
 
 
-@query("needs_review")
+@query("needs_review", _recursive("SELECT * FROM proposed WHERE needs_review", *_ALL_MAPPING))
 def needs_review(spark, sf):
-    return MP.needs_review(MP.propose_mapping(store(_profile(spark, sf)))).drop("alternatives")
+    return MP.needs_review(_proposals(spark, sf))
+
+
+_FEATURE_LIST = ", ".join(f"'{f}'" for f in schema.FEATURES)
 
 
-@query("mapping_summary")
+@query("mapping_summary", _recursive(f"""
+SELECT source_id, confident, review, unmapped, missing, array_to_string(list_concat(
+    [CAST(confident AS VARCHAR) || ' column(s) mapped confidently, ' || CAST(review AS VARCHAR) || ' need confirmation.'], lines,
+    CASE WHEN unmapped > 0 THEN ['  unmapped: ' || array_to_string(rest[1:12], ', ')] ELSE [] END,
+    CASE WHEN missing > 0 THEN ['  canonical fields with no source: ' || CAST(missing AS VARCHAR)] ELSE [] END), chr(10)) AS summary
+FROM (SELECT source_id, COUNT(*) FILTER (canonical_field IS NOT NULL AND NOT needs_review) AS confident, COUNT(*) FILTER (needs_review) AS review,
+    COUNT(*) FILTER (canonical_field IS NULL) AS unmapped, {len(schema.FEATURES)} - COUNT(*) FILTER (canonical_field IN ({_FEATURE_LIST})) AS missing,
+    coalesce(list(line ORDER BY line) FILTER (canonical_field IS NOT NULL), []) AS lines, coalesce(list("column" ORDER BY "column") FILTER (canonical_field IS NULL), []) AS rest
+  FROM (SELECT *, '  ' || "column" || CASE WHEN needs_review THEN ' ?> ' ELSE ' => ' END || canonical_field || ' (' ||
+    CAST(CAST({round_sql('confidence * 100e0', 0)} AS BIGINT) AS VARCHAR) || '%, ' || method || ')' AS line FROM proposed) GROUP BY 1)""", *_ALL_MAPPING))
 def mapping_summary(spark, sf):
     return MP.mapping_summary(MP.propose_mapping(store(_profile(spark, sf))))
 

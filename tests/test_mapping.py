@@ -1,9 +1,12 @@
 """Mapping proposals: similarity, one claim per field, order independence, confirmation."""
 
+import random
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from leadlake.functions.similarity import indel_ratio, token_set_ratio
+from leadlake.functions.similarity import common_subsequence, field_names, token_set_similarity
 from leadlake.operators import mapping as MP
 
 HUB = pd.DataFrame({
@@ -25,6 +28,45 @@ def propose(spark, frame, confirmed=None):
     return {r["column"]: r for r in MP.propose_mapping(profile, held).collect()}
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for ch in a:
+        diagonal = 0
+        for j, other in enumerate(b, 1):
+            diagonal, row[j] = row[j], (diagonal + 1 if ch == other else max(row[j], row[j - 1]))
+    return row[-1]
+
+
+def indel_ratio(a, b):
+    return 2.0 * subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def token_set_ratio(a, b):
+    """The plain form: whole texts of shared and rest tokens are compared."""
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
+        return 0.0
+    shared = left & right
+    if shared and (left <= right or right <= left):
+        return 1.0
+    base = " ".join(sorted(shared))
+    texts = [f"{base} {' '.join(sorted(x - shared))}".strip() for x in (left, right)]
+    return max(indel_ratio(x, y) for x, y in ([(base, texts[0]), (base, texts[1])] if base else []) + [tuple(texts)])
+
+
+def test_expressions_against_the_plain_form(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    names = [" ".join(word() for _ in range(rng.randint(0, 5))) for _ in range(60)] + [n for _, n in field_names()[::7]]
+    names += ["x" * 59 + "ab", "x" * 130 + " y", ("abc " * 50).strip(), "", "a", "lead source detail", "source"]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(600)] + [(n, n) for n in names]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", common_subsequence(F.col("a"), F.col("b")).alias("lcs"), token_set_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in rows:
+        assert r.lcs == subsequence(r.a, r.b), (r.a, r.b)
+        assert r.s == pytest.approx(token_set_ratio(r.a, r.b)), (r.a, r.b)
+
+
 def test_similarity():
     assert indel_ratio("abc", "abc") == 1.0 and indel_ratio("abcd", "bd") == pytest.approx(4 / 6)
     assert token_set_ratio("number of sessions", "sessions number of") == 1.0
