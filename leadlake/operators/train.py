@@ -492,8 +492,7 @@ def explain_summary(scored: DataFrame, contributions: DataFrame, keys: Sequence[
     """One sentence per lead from its probability and top three contributions."""
     p = F.format_string("%.1f", round_to(F.col("probability") * 100.0, 1))
     if heuristic:
-        text = F.concat(F.lit("No trained artifacts are loaded, so this "), p,
-                        F.lit("% score comes from the engagement heuristic."))
+        text = F.concat(F.lit(S.SUMMARY_HEURISTIC[0]), p, F.lit(S.SUMMARY_HEURISTIC[1]))
         return scored.select(*keys, text.alias("summary"))
     points = F.format_string("%.1f", round_to(F.abs("impact") * 100.0, 1))
     line = F.concat(F.col("feature"), F.lit(" ("), F.col("value"), F.lit(") "),
@@ -502,13 +501,13 @@ def explain_summary(scored: DataFrame, contributions: DataFrame, keys: Sequence[
         F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("_l"))
     headline = F.when(
         F.col("probability") >= S.DECISION_THRESHOLD,
-        F.concat(F.lit("This lead scores "), p, F.lit("% and is prioritised for follow-up.")),
-    ).otherwise(F.concat(F.lit("This lead scores "), p, F.lit("%, below the 50% follow-up threshold.")))
+        F.concat(F.lit(S.SUMMARY_OPENING), p, F.lit(S.SUMMARY_ABOVE)),
+    ).otherwise(F.concat(F.lit(S.SUMMARY_OPENING), p, F.lit(S.SUMMARY_BELOW)))
     joined = scored.join(drivers, list(keys), "left")
     tail = F.when(
         F.col("_l").isNull(),
-        F.lit(" Its attributes sit close to the typical lead, so no single field stands out."),
-    ).otherwise(F.concat(F.lit(" Biggest factors versus a typical lead: "),
+        F.lit(S.SUMMARY_NO_FACTOR),
+    ).otherwise(F.concat(F.lit(S.SUMMARY_FACTORS),
                          F.array_join(F.transform("_l", lambda e: e["t"]), "; "), F.lit(".")))
     return joined.select(*keys, F.concat(headline, tail).alias("summary"))
 

@@ -223,9 +223,10 @@ def drop_known_leaky(spark, sf):
     return C.drop_known_leaky(l)
 
 
-@query("sample_rows")
+@query("sample_rows", with_leads(f"""
+SELECT lead_key, source_id, display_name, converted FROM leads WHERE CAST('0x' || substr(md5('42:' || CAST(lead_key AS VARCHAR)), 1, 8) AS BIGINT) < {int(0.1 * (1 << 32))}"""))
 def sample_rows(spark, sf):
-    return C.sample_rows(FX.leads(spark, sf), 0.1, 42)
+    return C.sample_rows(FX.leads(spark, sf), 0.1, 42).select("lead_key", "source_id", "display_name", "converted")
 
 
 @query("drop_index_column", with_leads("SELECT total_visits, converted FROM leads"))

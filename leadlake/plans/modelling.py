@@ -148,29 +148,37 @@ def score_tenants(spark, sf):
     return scored.select("tenant_id", "lead_key", "model", round_to(F.col("probability"), 6).alias("probability"), "band", "prediction")
 
 
+def _halves(data):
+    """(rows to fit, rows held out): a fifth is held out, by its key."""
+    held = F.pmod(F.col("lead_key") * 31, F.lit(5)) == 0
+    return data.where(~held), data.where(held)
+
+
 def _fitted(spark, sf, learner, name, fit):
-    data = ready(spark, sf)
-    model = fit(name, learner, data, "lead_key", FOLDS)
-    return model.score(data.select("lead_key", "label", "features"), "p").select("lead_key", "label", round_to(F.col("p"), 6).alias("p"))
+    """Calibrated scores of rows that the fit has not seen."""
+    train, held = _halves(ready(spark, sf))
+    model = fit(name, learner, train, "lead_key", FOLDS)
+    return model.score(held.select("lead_key", "label", "features"), "p").select("lead_key", "label", round_to(F.col("p"), 6).alias("p"))
+
+
+def _predicted(spark, sf, learner):
+    train, held = _halves(ready(spark, sf))
+    return learner.fit(train).transform(held).select("lead_key", "label", "prediction")
 
 
 @query("train_forest")
 def train_forest(spark, sf):
-    data = ready(spark, sf)
-    made = TR.train_forest(TREES, 6).fit(data).transform(data)
-    return made.select("lead_key", "label", "prediction")
+    return _predicted(spark, sf, TR.train_forest(TREES, 6))
 
 
 @query("train_boosted_a")
 def train_boosted_a(spark, sf):
-    data = ready(spark, sf)
-    return TR.train_boosted_a(ROUNDS).fit(data).transform(data).select("lead_key", "label", "prediction")
+    return _predicted(spark, sf, TR.train_boosted_a(ROUNDS))
 
 
 @query("train_boosted_b")
 def train_boosted_b(spark, sf):
-    data = ready(spark, sf)
-    return TR.train_boosted_b(ROUNDS).fit(data).transform(data).select("lead_key", "label", "prediction")
+    return _predicted(spark, sf, TR.train_boosted_b(ROUNDS))
 
 
 @query("isotonic_cv")
@@ -193,13 +201,7 @@ def _newest(versions, tenant):
     return mine.agg(F.max_by("version", "created_at")).first()[0]
 
 
-@query("score_table", with_leads(f"""
-SELECT l.tenant_id, version AS model_version, COUNT(*) AS leads, TRUE AS in_range, TRUE AS varied
-FROM leads l JOIN (SELECT coalesce(o.tenant_id, t.tenant_id) AS tenant_id, coalesce(o.version, b.version) AS version FROM tenants t
-  LEFT JOIN (SELECT tenant_id, arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NOT NULL GROUP BY 1) o USING (tenant_id)
-  CROSS JOIN (SELECT arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NULL) b) v USING (tenant_id)
-GROUP BY 1, 2""", f"{FX.TENANTS_SQL}, {FX.MODELS_SQL}"))
-def score_table(spark, sf):
+def _scored_table(spark, sf):
     """The shared base model and two tenants' own models score the whole lead table."""
     rows, versions = training_rows(spark, sf), FX.model_versions(spark, sf)
     base = small_model(spark, sf)
@@ -209,10 +211,28 @@ def score_table(spark, sf):
                                 .otherwise(F.concat("tenant_id", F.lit("-"), "version")))
     scorers = {_newest(named, None): base} | {_newest(named, t): m for t, m in own.items()}
     scored = SC.score_table(FX.leads(spark, sf), scorers, named)
-    plain = F.regexp_replace("model_version", "^[^-]*-", "")
-    return scored.groupBy("tenant_id", plain.alias("model_version")).agg(
-        F.count(F.lit(1)).alias("leads"), F.min(F.col("probability").between(0, 1)).alias("in_range"),
-        (F.count_distinct("probability") > 1).alias("varied"))
+    return scored.withColumn("model_version", F.regexp_replace("model_version", "^[^-]*-", ""))
+
+
+@query("score_table", with_leads(f"""
+SELECT lead_key, l.tenant_id, version AS model_version, TRUE AS in_range, TRUE AS band_fits, TRUE AS prediction_fits
+FROM leads l JOIN (SELECT coalesce(o.tenant_id, t.tenant_id) AS tenant_id, coalesce(o.version, b.version) AS version FROM tenants t
+  LEFT JOIN (SELECT tenant_id, arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NOT NULL GROUP BY 1) o USING (tenant_id)
+  CROSS JOIN (SELECT arg_max(version, created_at) AS version FROM models WHERE is_active AND tenant_id IS NULL) b) v USING (tenant_id)""",
+                              f"{FX.TENANTS_SQL}, {FX.MODELS_SQL}"))
+def score_table(spark, sf):
+    """Every lead with the version that scores it, and whether band and prediction are those of its probability."""
+    scored = store(_scored_table(spark, sf).select("lead_key", "tenant_id", "model_version", "probability", "band", "prediction"))
+    p = F.col("probability")
+    band = F.when(p >= 0.75, "hot").when(p >= 0.5, "warm").when(p >= 0.25, "cool").otherwise("cold")
+    return scored.select("lead_key", "tenant_id", "model_version", F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"),
+                         (F.col("band") == band).alias("band_fits"), ((F.col("prediction") == 1) == (p >= 0.5)).alias("prediction_fits"))
+
+
+@query("score_table_rows")
+def score_table_rows(spark, sf):
+    """The scores themselves."""
+    return _scored_table(spark, sf).select("lead_key", "tenant_id", "model_version", round_to(F.col("probability"), 6).alias("probability"), "band", "prediction")
 
 
 @query("recalibrate")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadlake import settings as S
 from leadlake.functions import scoring as X
 from leadlake.functions.numbers import round_to
 from leadlake.operators import clean as C
@@ -377,7 +378,20 @@ def top_contributions(spark, sf):
     return TR.top_contributions(_impacts(spark, sf), ["lead_key"], 2).select("lead_key", "field", "impact", "rank")
 
 
-@query("explain_summary")
+_POINTS_SQL = f"printf('%.1f', {round_sql('abs(impact) * 100e0', 1)})"
+_LABEL_SQL = "upper(substr(replace(field, '_', ' '), 1, 1)) || substr(replace(field, '_', ' '), 2)"
+
+
+@query("explain_summary", with_scored(f"""
+SELECT lead_key, '{S.SUMMARY_OPENING}' || printf('%.1f', {round_sql('probability * 100e0', 1)})
+  || CASE WHEN probability >= 0.5e0 THEN '{S.SUMMARY_ABOVE}' ELSE '{S.SUMMARY_BELOW}' END
+  || coalesce('{S.SUMMARY_FACTORS}' || drivers || '.', '{S.SUMMARY_NO_FACTOR}') AS summary
+FROM scored LEFT JOIN (
+  SELECT lead_key, string_agg({_LABEL_SQL} || ' (' || CAST(value AS VARCHAR) || ') ' || CASE WHEN impact > 0 THEN 'raising' ELSE 'lowering' END
+    || ' it by ' || {_POINTS_SQL} || ' points', '; ' ORDER BY i) AS drivers
+  FROM (SELECT *, row_number() OVER (PARTITION BY lead_key ORDER BY abs(impact) DESC, field) AS i
+        FROM (SELECT lead_key, field, value, {round_sql('delta', 4)} AS impact FROM deltas WHERE abs(delta) >= 0.001e0)) WHERE i <= 3 GROUP BY 1) USING (lead_key)
+WHERE converted IS NULL""", _ABLATION_SQL))
 def explain_summary(spark, sf):
     pool = FX.scored(spark, sf).where(F.col("converted").isNull())
     top = TR.top_contributions(_impacts(spark, sf), ["lead_key"], 6)

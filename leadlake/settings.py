@@ -98,3 +98,11 @@ ACTION_REASONS = {
     "nurture_sequence": "Engaged with the site but scores low; nurture rather than call.",
     "monitor": "Not enough signal to justify a rep's time yet.",
 }
+
+# Sentences of a score's explanation; p is a percentage.
+SUMMARY_HEURISTIC = ("No trained artifacts are loaded, so this ", "% score comes from the engagement heuristic.")
+SUMMARY_OPENING = "This lead scores "
+SUMMARY_ABOVE = "% and is prioritised for follow-up."
+SUMMARY_BELOW = "%, below the 50% follow-up threshold."
+SUMMARY_FACTORS = " Biggest factors versus a typical lead: "
+SUMMARY_NO_FACTOR = " Its attributes sit close to the typical lead, so no single field stands out."
