@@ -4,15 +4,47 @@ from pyspark.sql import functions as F
 from leadlake.llm import classifier as C
 
 
-def test_gradient_is_that_of_the_likelihood():
+def objective(x, places, grades, used, ridge=1e-3):
+    """The penalised mean of -log P(grade), written out row by row; x: weights of the used features, then the two thresholds."""
+    weight, cuts = dict(zip(used, x[:-2], strict=True)), [-np.inf, x[-2], x[-1], np.inf]
+    total = 0.0
+    for p, g in zip(places, grades, strict=True):
+        score = sum(weight.get(int(f), 0.0) for f in p)
+        below = [1 / (1 + np.exp(-(c - score))) for c in cuts]
+        total -= np.log(below[g + 1] - below[g])
+    return total / len(places) + ridge / 2 * sum(v * v for v in x[:-2])
+
+
+def test_the_fit_has_no_gradient():
+    """At the fitted weights and thresholds the numeric gradient of the likelihood vanishes, elsewhere it does not."""
     rng = np.random.default_rng(0)
-    places = [np.array([1, 2]) if i % 3 else np.array([3, 4, 4]) for i in range(60)]
-    grades = rng.integers(0, 3, 60)
-    model = C.fit(places, grades, steps=400)
-    assert model.thresholds[0] < model.thresholds[1]
-    one, other = (model.tails(np.array([model.weights[p].sum()]))[0] for p in (places[1], places[0]))
-    for tails, mask in ((one, np.arange(60) % 3 > 0), (other, np.arange(60) % 3 == 0)):
-        assert abs(tails.sum() - grades[mask].mean()) < 0.35
+    kinds = [np.array([1, 2]), np.array([3, 4, 4]), np.array([1, 4]), np.array([5])]
+    chosen = rng.integers(0, 4, 240)
+    places = [kinds[k] for k in chosen]
+    grades = np.array([rng.choice(3, p=p) for p in np.array([[.6, .3, .1], [.1, .3, .6], [.3, .4, .3], [.2, .2, .6]])[chosen]])
+    used = [1, 2, 3, 4, 5]
+
+    def gradient(x):
+        steps = np.eye(len(x)) * 1e-5
+        return np.array([(objective(x + s, places, grades, used) - objective(x - s, places, grades, used)) / 2e-5 for s in steps])
+
+    model = C.fit(places, grades, steps=3000)
+    x = np.append(model.weights[used], model.thresholds)
+    assert model.thresholds[0] < model.thresholds[1] and np.count_nonzero(model.weights) == len(used)
+    assert np.abs(gradient(x)).max() < 1e-4 < np.abs(gradient(x + 0.1)).max()
+
+
+def test_scores_against_a_plain_scorer(spark, documents):
+    """expected grade and tails by summing the weights of a text's features one by one."""
+    rng = np.random.default_rng(1)
+    model = C.OrdinalModel(rng.normal(size=1 << C.BITS) * 0.1, np.array([-0.7, 0.9]))
+    texts = ["", "one two two three", "Fünf, sechs! #*$ sieben " * 40, "a" * 5000, "x y " * 300, None]
+    rows = {r.doc_id: r for r in C.score(documents(*enumerate(texts)), model).collect()}
+    for i, t in enumerate(texts):
+        total = sum(float(model.weights[p]) for p in C.features(t or ""))
+        tails = [1 / (1 + np.exp(c - total)) for c in model.thresholds]
+        assert np.allclose([rows[i].expected_grade, rows[i].p_clean, rows[i].p_good], [sum(tails), *tails])
+        assert rows[i].kept == (tails[1] >= 0.5)
 
 
 def test_held_out_accuracy(spark):
