@@ -286,3 +286,18 @@ def writeback_counts(attempted: DataFrame, failed: DataFrame | None = None) -> D
     return rows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("attempted"), F.count_if(bad == 0).alias("pushed")
     )
+
+
+def writeback_report(asked: DataFrame, sources: DataFrame, counts: DataFrame) -> DataFrame:
+    """What became of every request to write scores back: source_id, status, attempted, pushed, reason.
+
+    ``asked`` has a source_id a row; ``counts`` is what ``writeback_counts`` returns. A source that cannot take
+    scores is refused, an unknown one too, and says why; one without scored leads is done with nothing attempted. Repeated requests are one.
+    """
+    known = sources.select(F.col("source_id").alias("_known"), "supports_writeback")
+    joined = asked.select("source_id").distinct().join(known, F.col("source_id") == F.col("_known"), "left").join(counts, "source_id", "left")
+    able = F.coalesce("supports_writeback", F.lit(False))
+    reason = (F.when(F.col("_known").isNull(), F.concat("source_id", F.lit(" is not a known source.")))
+              .when(~able, F.concat("source_id", F.lit(" is read-only."))))
+    n = lambda c: F.when(able, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("bigint").alias(c)
+    return joined.select("source_id", F.when(able, "done").otherwise("refused").alias("status"), n("attempted"), n("pushed"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from leadlake.functions.numbers import round_to
+from leadlake.operators import boosting as BO
 from leadlake.operators import clean as C
 from leadlake.operators import isotonic as IS
 from leadlake.operators import preprocess as PP
@@ -181,6 +182,14 @@ def train_boosted_b(spark, sf):
     return _predicted(spark, sf, TR.train_boosted_b(ROUNDS))
 
 
+@query("train_leafwise")
+def train_leafwise(spark, sf):
+    """Leaf-wise boosted trees of up to 31 leaves; the probabilities of rows held out."""
+    train, held = _halves(store(training_rows(spark, sf).select("lead_key", F.col("converted").alias("label"), *NUM)))
+    model = BO.fit(train, NUM, "label", "lead_key", BO.Settings(rounds=2, bins=64))
+    return model.score(held).select("lead_key", "label", round_to(F.col("probability"), 6).alias("probability"))
+
+
 @query("isotonic_cv")
 def isotonic_cv(spark, sf):
     return _fitted(spark, sf, TR.train_forest(TREES, 6), "random_forest", TR.isotonic_cv)

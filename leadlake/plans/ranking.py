@@ -263,6 +263,20 @@ def writeback_counts(spark, sf):
     return D.writeback_counts(sent, sent.where(F.col("band") == "cold"))
 
 
+@query("writeback_report", with_scored("""
+SELECT a.source_id, CASE WHEN coalesce(supports_writeback, FALSE) THEN 'done' ELSE 'refused' END AS status,
+  CASE WHEN supports_writeback THEN coalesce(attempted, 0) ELSE 0 END AS attempted, CASE WHEN supports_writeback THEN coalesce(pushed, 0) ELSE 0 END AS pushed,
+  CASE WHEN s.source_id IS NULL THEN a.source_id || ' is not a known source.' WHEN NOT supports_writeback THEN a.source_id || ' is read-only.' END AS reason
+FROM (SELECT DISTINCT source_id FROM leads UNION SELECT 'FAX') a LEFT JOIN sources s ON s.source_id = a.source_id
+LEFT JOIN (SELECT source_id, COUNT(*) AS attempted, COUNT(*) FILTER (band <> 'cold') AS pushed FROM top WHERE i <= 100 GROUP BY 1) c ON c.source_id = a.source_id""", _PUSH_SQL))
+def writeback_report(spark, sf):
+    """Scores are asked back for every source of the leads and for one that nobody knows."""
+    scored, sources = FX.scored(spark, sf), FX.sources(spark, sf)
+    sent = D.writeback_export(scored, sources, 100)
+    asked = scored.select("source_id").distinct().unionByName(spark.range(1).select(F.lit("FAX").alias("source_id")))
+    return D.writeback_report(asked, sources, D.writeback_counts(sent, sent.where(F.col("band") == "cold")))
+
+
 @query("simulate", with_scored(f"""
 SELECT lead_key, {round_sql('before', 4)} AS before, {round_sql('after', 4)} AS after, {round_sql('after - before', 4)} AS delta,
   {round_sql('(after - before) * 100e0', 2)} AS delta_points,
