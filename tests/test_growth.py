@@ -30,6 +30,14 @@ def some_leads(spark, n=400):
     return made.join(made.select("lead_key"), "lead_key")
 
 
+def test_filter_of_impacts_does_not_run_the_models(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.1)], "id long, x double")
+    after = rows.select("id", F.lit("channel").alias("field"), F.lit("a").alias("value"), F.lit("b").alias("baseline"), F.sqrt("x").alias("after"))
+    impacts = TR._impacts(after.join(rows.select("id", F.exp("x").alias("before")), "id"), ["id"])
+    assert not [line for line in plan_of(impacts).splitlines() if "Filter" in line and ("SQRT" in line or "EXP" in line)]
+    assert sorted(r["id"] for r in impacts.collect()) == [1, 3]
+
+
 def test_training_rows_are_stored(spark):
     rows = MO.training_rows(spark, None, some_leads(spark))
     assert "Join" not in plan_of(rows) and rows.count() == 400
