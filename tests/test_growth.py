@@ -67,3 +67,22 @@ def test_scored_table_derives_leads_once(spark, monkeypatch):
     scored = MO._scored_table(spark, "nowhere")
     assert "lead_key = lead_key" not in plan_of(scored) and scored.count() == 400
     assert len(calls) == 1
+
+
+def test_model_metrics_read_the_rows_once(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"model": np.where(rng.random(500) < 0.5, "a", "b"), "odd_name": np.round(rng.random(500), 2), "y": rng.integers(0, 2, 500)})
+    frame.loc[::50, "odd_name"] = None
+    rows = store(spark.createDataFrame(frame).withColumn("odd_name", F.nullif("odd_name", F.lit(float("nan")))))
+    made = M.model_metrics(rows, "odd_name", "y", ["model"])
+    assert "odd_name" not in plan_of(made)
+    want = {r["model"]: r for r in M.classification_metrics(rows, "odd_name", "y", ["model"]).collect()}
+    auc = {r["model"]: r["roc_auc"] for r in M.exact_auc(rows, "odd_name", "y", ["model"]).collect()}
+    for r in made.collect():
+        assert r["roc_auc"] == auc[r["model"]]
+        for name in ("accuracy", "precision", "recall", "f1", "brier"):
+            assert r[name] == pytest.approx(want[r["model"]][name], abs=1e-12)
+
+
+def test_large_methods_are_split(spark):
+    assert entry._prepared(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
