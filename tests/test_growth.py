@@ -99,5 +99,14 @@ def test_landed_files_grow_with_the_shuffle(spark):
     assert back.count() == 4000 and back.groupBy("key").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
 
 
+def test_vectors_under_cross_validation_are_spread(spark):
+    rows = spark.range(0, 1000, 1, 2)
+    with TR._spread(rows, 100) as data:
+        sizes = data.groupBy(F.spark_partition_id()).count().collect()
+        assert data.count() == 1000 and max(r["count"] for r in sizes) <= 200
+    with TR._spread(rows, 500) as data:
+        assert data is rows
+
+
 def test_large_methods_are_split(spark):
     assert entry._prepared(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
