@@ -108,5 +108,13 @@ def test_vectors_under_cross_validation_are_spread(spark):
         assert data is rows
 
 
+def test_calibration_searches_once(spark):
+    rows = spark.createDataFrame([(0.1, [0.0, 0.5, 1.0], [0.0, 0.2, 0.9]), (0.75, [0.0, 0.5, 1.0], [0.0, 0.2, 0.9]), (0.3, None, None)],
+                                 "p double, xs array<double>, ys array<double>")
+    made = rows.select("p", SC.interpolate_arrays(F.col("p"), F.col("xs"), F.col("ys")).alias("v"))
+    assert plan_of(made).count("aggregate(") == 1
+    assert {r["p"]: r["v"] for r in made.collect()} == {0.1: pytest.approx(0.04), 0.75: pytest.approx(0.55), 0.3: None}
+
+
 def test_large_methods_are_split(spark):
     assert entry._prepared(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
