@@ -6,27 +6,27 @@ least hash inside it. Equal strings have equal anchors, at the same distance. On
 whose hash occurs twice go on, each with the bytes its starts can reach (its context).
 
 The contexts of one anchor hash are sorted as suffixes: prefix polynomial hashes make any two
-stretches comparable, binary search finds where two suffixes part, and so a comparison in the
-mergesort takes a logarithmic number of steps. Neighbours in that order whose common
-extension reaches LENGTH bytes are repeats, and each is verified byte for byte, so a
-collision of prefix hashes removes nothing. Copies are one row there: whole texts that are
+stretches comparable, and binary search finds where two suffixes part. The sort compares all
+suffixes of a run with one of them; side, extension and next unit order them. Neighbours in that order whose common
+extension reaches LENGTH bytes are repeats, and each is verified byte for byte, in stretches of
+consecutive starts, so a collision of prefix hashes removes nothing. Copies are one row there: whole texts that are
 equal by their 128-bit md5, and contexts that are equal by 128 bits of hash (64 of the anchor, 64
 of the context). A passage that a third of all rows share is one row, summed per task
 first; copies are recognised by these 128 bits alone, not by their bytes.
 
-An anchor with more than TOGETHER different contexts is split: its starts get anchors anew,
-of whole strings, so that only equal strings still meet, and take the same way once more.
+An anchor with more than TOGETHER different contexts is split: blocks of BLOCK starts, counted from the anchor,
+get what all their strings share as a new anchor, and take the same way once more. A block that still
+has too many is split by whole strings, so that only equal strings still meet.
 
 All of this counts in units, which a law names: bytes (``BYTES``), or words (``PASSAGES``: every
 word covered by a run of 51 words that occurs anywhere else too, whatever space is between the
-words). Words are handled as their 64-bit hashes; the verification compares their bytes.
+words). Words are handled as 64-bit numbers, hashes of those over eight bytes; the verification compares their bytes.
 Several laws are served by one pass over the texts and the same shuffles.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -42,6 +42,7 @@ from leadlake.session import store
 
 LENGTH, GRAM = 400, 128
 TOGETHER = 1_000  # different contexts of an anchor that one task sorts
+BLOCK = 16  # starts of a large anchor that stay together at first
 AT_ONCE = 500_000  # units hashed together
 SUFFIXES_AT_ONCE = 200_000
 
@@ -59,41 +60,51 @@ BYTES = Law(LENGTH, GRAM)
 PASSAGES = Law(51, 20, words=True)
 BOTH = (BYTES, PASSAGES)
 
-#: Words as in common.WORD, on the bytes of a text; bytes.split() cuts at the same places.
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+def _forget() -> None:
+    _powers.clear()
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def _edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text (as in common.WORD, on its bytes; bytes.split() cuts at the same places) begin and end."""
+    data = np.frombuffer(text, np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
 
 
-_hashes = _WordHashes()
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _forget() -> None:
-    _hashes.clear()
-    _powers.clear()
+def _numbers(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word: its bytes, scrambled with its size, or the hash of a word of more than eight bytes."""
+    data, size = np.frombuffer(text, np.uint8), end - begin
+    packed = np.zeros(len(begin), np.uint64)
+    for i in range(8):
+        longer = np.flatnonzero(size > i)
+        packed[longer] |= data[begin[longer] + i].astype(np.uint64) << np.uint64(8 * i)
+    out = mix(packed) + size.astype(np.uint64) * _SIZE
+    many = np.flatnonzero(size > 8)
+    out[many] = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
+    return out
 
 
-def units(text: bytes, law: Law) -> np.ndarray:
-    """A text as an array of numbers: its bytes, or the hashes of its words."""
+def units(texts: Sequence[bytes], law: Law) -> list[np.ndarray]:
+    """Texts as arrays of numbers: their bytes, or their words."""
     if not law.words:
-        return np.frombuffer(text, np.uint8)
-    if len(_hashes) > 200_000:
-        _hashes.clear()
-    words = text.split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        return [np.frombuffer(text, np.uint8) for text in texts]
+    joined = b" ".join(texts)
+    begin, end = _edges(joined)
+    after = np.cumsum([len(text) + 1 for text in texts[:-1]])
+    return np.split(_numbers(joined, begin, end), np.searchsorted(begin, after)) if len(texts) else []
 
 
 def _bounds(text: bytes, n: int, law: Law) -> tuple[np.ndarray, np.ndarray]:
     """Where the strings of ``law.length`` units that start at each of n units begin and end, in bytes."""
     if not law.words:
         return np.arange(n), np.arange(n) + law.length
-    size = np.array([len(w) for w in text.split()], np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    return begin[:n], (begin + size)[law.length - 1:law.length - 1 + n]
+    begin, end = _edges(text)
+    return begin[:n], end[law.length - 1:law.length - 1 + n]
 
 
 _BASE = 0x5851F42D4C957F2D
@@ -132,10 +143,12 @@ class PrefixHashes:
         same = self.of(x, limit) == self.of(y, limit)
         low[same] = limit
         part = np.flatnonzero(~same)
+        x, y = x[part], y[part]
+        from_x, from_y, over_x, over_y = self.sums[x], self.sums[y], self.inverse[x], self.inverse[y]
         a, b = low[part], np.full(len(part), limit, np.int64)  # agree up to a, not up to b
         for _ in range(int(limit).bit_length()):
-            middle = (a + b) // 2
-            equal = self.of(x[part], middle) == self.of(y[part], middle)
+            middle = (a + b) >> 1
+            equal = (self.sums[x + middle] - from_x) * over_x == (self.sums[y + middle] - from_y) * over_y
             a, b = np.where(equal, middle, a), np.where(equal, b, middle)
         low[part] = np.minimum(a, limit - 1)
         return low
@@ -208,11 +221,17 @@ def _huge(data: bytes | np.ndarray, law: Law = BYTES) -> tuple[np.ndarray, np.nd
 
 
 def suffix_order(prefix: PrefixHashes, data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """The order of the suffixes at ``starts``, cut at ``limit`` units, inside each group.
+    """The order of the suffixes at ``starts``, cut at ``limit`` units, inside each group; equal ones stay in their order."""
+    return _suffix_order(prefix, data, starts, group, limit)[0]
+
 
-    A bottom-up mergesort of all groups at once. Suffixes are first told apart by their group and first
-    eight bytes, or first word; runs of those that tie are merged: each suffix finds its rank in the other
-    run by binary search, and each comparison is the search for the common extension.
+def _suffix_order(prefix: PrefixHashes, data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_order``, and for each place of it whether the suffix there agrees with the one before up to the limit.
+
+    Suffixes are first told apart by their group and first eight bytes, or first word. Then, for all runs of those that tie
+    at once, each suffix of a run is compared with the run's middle one, by the search for their common extension: those that
+    part from it to the smaller side go before it, the sooner the earlier, those that part to the larger side behind it, the
+    sooner the later. What parts at the same place with the same unit is a run again.
     """
     if data.dtype == np.uint64:
         head = data[starts]
@@ -222,80 +241,97 @@ def suffix_order(prefix: PrefixHashes, data: np.ndarray, starts: np.ndarray, gro
             head = (head << np.uint64(8)) | data[starts + i].astype(np.uint64)
     order = np.lexsort((head, group))
     g, h = group[order], head[order]
-    fresh = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])) if len(order) else np.empty(0, bool)
+    run = np.cumsum(np.append(False, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))[:len(order)]
+    same = np.zeros(len(order), bool)
+    at = np.arange(len(order))
+    while True:
+        sizes = np.bincount(run) if len(run) else np.empty(0, np.int64)
+        tied = sizes[run] > 1
+        at, run = at[tied], run[tied]
+        if not len(at):
+            return order, same
+        sizes = sizes[sizes > 1]
+        first = np.cumsum(sizes) - sizes
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        y = starts[order[at]]
+        x = y[np.repeat(first + sizes // 2, sizes)]
+        common = prefix.common(x, y, limit)
+        cut = np.minimum(common, limit - 1)
+        unit, pivot = data[y + cut], data[x + cut]
+        equal = common >= limit
+        key = np.where(equal, limit, np.where(unit < pivot, common, 2 * limit - common))
+        unit = np.where(equal, 0, unit)
+        key = run * (2 * limit + 1) + key
+        new = np.lexsort((unit, key)) if data.dtype == np.uint64 else np.argsort(key * 256 + unit, kind="stable")
+        order[at] = order[at][new]
+        key, unit, equal = key[new], unit[new], equal[new]
+        again = np.append(False, (key[1:] == key[:-1]) & (unit[1:] == unit[:-1]))
+        same[at[again & equal]] = True
+        left = ~equal  # the others are in their places
+        at, run = at[left], np.cumsum(~again)[left]
+
+
+def _equal_pairs(text: bytes, begin: np.ndarray, end: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a text between begin[x] and end[x] are those between begin[y] and end[y].
+
+    ``begin`` and ``end`` ascend. Pairs at one distance whose strings touch or overlap are compared in one stretch,
+    and one by one where that differs.
+    """
+    order = np.lexsort((x, y - x))
+    a, b = x[order], y[order]
+    fresh = np.append(True, (b[1:] - a[1:] != b[:-1] - a[:-1]) | (begin[a[1:]] > end[a[:-1]]))[:len(a)]
     first = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(first, len(order)))
-    begin, many = np.repeat(first, sizes), np.repeat(sizes, sizes)
-    run = 1
-    while len(sizes) and run < sizes.max():
-        at = np.flatnonzero(many > run)
-        inside = at - begin[at]
-        pair = inside // (2 * run) * (2 * run)
-        right = inside - pair >= run
-        other = begin[at] + np.where(right, pair, np.minimum(pair + run, many[at]))
-        length = np.clip(np.where(right, run, many[at] - pair - run), 0, run)
-        low, high = np.zeros(len(at), np.int64), length.copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            place = np.where(open_, other + middle, at)
-            x, y = starts[order[at]], starts[order[place]]
-            common = prefix.common(x, y, limit)
-            equal = common >= limit
-            cut = np.minimum(common, limit - 1)
-            less = np.where(equal, right, data[y + cut] < data[x + cut])  # the other goes before this one
-            low = np.where(open_ & less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
-        new = begin[at] + pair + (inside - pair - np.where(right, run, 0)) + low
-        moved = order[at]
-        order = order.copy()
-        order[new] = moved
-        run *= 2
-    return order
-
-
-def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    last = np.append(first[1:], len(a))[:len(first)] - 1
+    places = (begin[a[first]], end[a[last]], begin[b[first]], end[b[last]])
+    equal = np.array([text[p:q] == text[r:s] for p, q, r, s in zip(*(v.tolist() for v in places), strict=True)], bool)
+    equal = np.repeat(equal, last - first + 1)
+    for i in np.flatnonzero(~equal).tolist():
+        equal[i] = text[begin[a[i]]:end[a[i]]] == text[begin[b[i]]:end[b[i]]]
     out = np.empty(len(x), bool)
-    reach = np.arange(length)
-    for at in range(0, len(x), 8_192):
-        a, b = x[at:at + 8_192], y[at:at + 8_192]
-        out[at:at + 8_192] = (data[a[:, None] + reach] == data[b[:, None] + reach]).all(1)
+    out[order] = equal
     return out
 
 
-def _equal_words(contexts: list[bytes], x: np.ndarray, y: np.ndarray, law: Law) -> np.ndarray:
-    """The same for strings that start at words x and y of the joined contexts."""
-    text = b" ".join(contexts)
-    begin, end = _bounds(text, int(max(x.max(), y.max())) + 1 if len(x) else 0, law)
-    places = zip(*(v.tolist() for v in (begin[x], end[x], begin[y], end[y])), strict=True)
-    return np.array([text[a:b] == text[c:d] for a, b, c, d in places], bool)
-
-
 def repeated_starts(contexts: list[bytes], group: np.ndarray, length: int = LENGTH, words: bool = False) -> list[np.ndarray]:
     """Per context a mark for each of its starts: whether the string there starts in another
     place of the same group's contexts too."""
-    law = Law(length, 0, words)
-    parts = [units(c, law) for c in contexts]
-    data = np.concatenate([np.empty(0, np.uint64 if words else np.uint8), *parts])
-    sizes = np.array([len(p) for p in parts], np.int64)
+    marks, many = _repeated(contexts, group, Law(length, 0, words))
+    return np.split(marks, np.cumsum(many)[:-1]) if len(contexts) else []
+
+
+def _repeated(contexts: list[bytes], group: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of ``repeated_starts`` in one array, and how many each context has."""
+    length = law.length
+    text = (b" " if law.words else b"").join(contexts)
+    if law.words:
+        begin, end = _edges(text)
+        data = _numbers(text, begin, end)
+        past = np.cumsum([len(c) + 1 for c in contexts])  # where the next context begins
+        sizes = np.diff(np.searchsorted(begin, past), prepend=0)
+    else:
+        data = np.frombuffer(text, np.uint8)
+        begin, end = np.arange(len(data)), np.arange(1, len(data) + 1)
+        sizes = np.array([len(c) for c in contexts], np.int64)
     many = np.maximum(sizes - length + 1, 0)
     base = np.cumsum(sizes) - sizes
     starts = np.repeat(base - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    own = np.repeat(group, many)
-    prefix = PrefixHashes(data)
     marks = np.zeros(len(starts), bool)
-    order = suffix_order(prefix, data, starts, own, length)
-    x, y = order[:-1], order[1:]
-    near = np.flatnonzero((own[x] == own[y]) & (prefix.common(starts[x], starts[y], length) >= length))
-    a, b = starts[x[near]], starts[y[near]]
-    near = near[_equal_words(contexts, a, b, law) if words else _equal_bytes(data, a, b, length)]
+    order, same = _suffix_order(PrefixHashes(data), data, starts, np.repeat(group, many), length)
+    near = np.flatnonzero(same)
+    x, y = order[near - 1], order[near]
+    near = _equal_pairs(text, begin, end[length - 1:], starts[x], starts[y])
     marks[x[near]] = marks[y[near]] = True
-    return np.split(marks, np.cumsum(many)[:-1]) if len(contexts) else []
+    return marks, many
 
 
-def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last places of the runs of marks."""
-    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+def _runs(marks: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of marks inside each context of ``many`` marks: the context, and the run's first and last place there."""
+    own = np.repeat(np.arange(len(many)), many)
+    fresh = np.append(True, own[1:] != own[:-1])[:len(own)]
+    first = np.flatnonzero(marks & (fresh | ~np.append(False, marks[:-1])[:len(own)]))
+    last = np.flatnonzero(marks & (np.append(fresh[1:], True) | ~np.append(marks[1:], False))[:len(own)])
+    base = (np.cumsum(many) - many)[own[first]]
+    return own[first], first - base, last - base
 
 
 def _parts(texts: list[bytes], most: int = 8 * AT_ONCE) -> Iterator[slice]:
@@ -331,7 +367,7 @@ def scan(docs: DataFrame, laws: Sequence[Law] = BOTH) -> DataFrame:
                 texts = every[part]
                 long, columns = [], [[] for _ in texts]
                 for number, law in enumerate(laws):
-                    counted = [units(t, law) for t in texts]
+                    counted = units(texts, law)
                     long.append([len(u) >= law.length for u in counted])
                     for i, found in enumerate(anchors(counted, law)):
                         columns[i].append((np.full(len(found[0]), number, np.int8), *_served(found)))
@@ -383,11 +419,12 @@ def _sorted_repeats(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
         number = rows[0][1]
         law = laws[number]
         _, group = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
-        out: list[tuple] = []
-        for (key, _, _, first, _), marks in zip(rows, repeated_starts([r[4] for r in rows], group, law.length, law.words), strict=True):
-            a, b = _runs(marks)
-            out += [(key, number, first + x, first + y + law.length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(schema.names)}, schema)
+        which, a, b = _runs(*_repeated([r[4] for r in rows], group, law))
+        first = np.array([r[3] for r in rows], np.int64)[which]
+        return pa.RecordBatch.from_arrays([
+            pa.array([rows[i][0] for i in which.tolist()], pa.binary()), pa.array(np.full(len(which), number), pa.int8()),
+            pa.array(first + a), pa.array(first + b + law.length),
+        ], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # whole anchors of one law, then the anchor that may go on in the next row
@@ -410,19 +447,34 @@ def _sorted_repeats(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
     return sorted_slices.select("key", "law", "anchor", "first", "bytes").mapInArrow(lean(run, _forget), SPANS)
 
 
-def _split(slices: DataFrame, laws: Sequence[Law]) -> DataFrame:
-    """key and ANCHORS of the starts of large anchors, each start by an anchor of its own: its whole string."""
+def _blocks(data: np.ndarray, law: Law, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and last start of each block of a context's starts, and the hash of what all strings of the whole block share.
+
+    Equal strings have the anchor at one distance, so they are in blocks of one number, and at one place there.
+    """
+    starts = len(data) - law.length + 1
+    prefix = PrefixHashes(data)
+    if block == 1:
+        return np.arange(starts), np.arange(starts), prefix.runs(law.length)
+    place = int(_least_run(prefix.runs(law.gram)[:law.length - law.gram + 1], law.length - law.gram + 1)[0])
+    least = place - np.arange((place - starts + 1) // block, place // block + 1)[::-1] * block  # from here on all strings have it
+    shared = mix(prefix.of(least, law.length - block + 1))
+    return np.maximum(least - block + 1, 0), np.minimum(least, starts - 1), shared
+
+
+def _split(slices: DataFrame, laws: Sequence[Law], block: int = 1) -> DataFrame:
+    """key and ANCHORS of the starts of large anchors, in blocks by anchors of their own: what a block's strings share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, number, first, text in zip(*(batch.column(n).to_pylist() for n in ("key", "law", "first", "bytes")), strict=True):
                 law = laws[number]
-                h = PrefixHashes(units(text, law)).runs(law.length).view(np.int64)
-                begin, end = _bounds(text, len(h), law)
-                whole = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                place = pa.array(np.arange(len(h)) + first, pa.int32())
+                data = units([text], law)[0]
+                low, high, shared = _blocks(data, law, block)
+                begin, end = _bounds(text, len(data) - law.length + 1, law)
+                whole = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin[low].tolist(), end[high].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([key] * len(h), pa.binary()), pa.array(np.full(len(h), number), pa.int8()), pa.array(h),
-                    pa.array(np.array(whole, np.uint64).view(np.int64)), place, place,
+                    pa.array([key] * len(low), pa.binary()), pa.array(np.full(len(low), number), pa.int8()), pa.array(shared.view(np.int64)),
+                    pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(low + first, pa.int32()), pa.array(high + first, pa.int32()),
                 ], names=["key", "law", "anchor", "context", "first", "last"])
 
     return slices.mapInArrow(lean(run, _forget), f"key binary, {ANCHORS}")
@@ -480,17 +532,26 @@ def repeats(docs: DataFrame, laws: Sequence[Law] = BOTH) -> Repeats:
     texts = store(rows.where("touched").groupBy("key").agg(F.first("text").alias("text")))
     columns = ["key", "law", "anchor", "first", "last"]
     sorted_, large = wanted.where(F.col("m") <= TOGETHER).select(*columns), wanted.where(F.col("m") > TOGETHER).select(*columns)
-    if not large.isEmpty():
-        more, rest = _meet(store(_split(_slices(texts, large, laws), laws)), laws)
-        settled, sorted_ = settled.unionByName(more), sorted_.unionByName(rest.select(*columns))
+    for block in (BLOCK, 1):
+        if large.isEmpty():
+            break
+        more, rest = _meet(store(_split(_slices(texts, large, laws), laws, block)), laws)
+        rest, few = store(rest), F.lit(block == 1) | (F.col("m") <= TOGETHER)
+        settled, sorted_ = settled.unionByName(more), sorted_.unionByName(rest.where(few).select(*columns))
+        large = rest.where(~few).select(*columns)
     return Repeats(rows, whole, store(settled.unionByName(_sorted_repeats(_slices(texts, sorted_, laws), laws))), texts)
 
 
 def _merged(spans: list[dict], text: bytes, laws: Sequence[Law]) -> list[tuple[int, int]]:
     """The spans in bytes, overlapping and touching ones as one. A run of words ends with its last word."""
-    words = [m.span() for m in _WORD.finditer(text)] if any(laws[s["law"]].words for s in spans) else []
+    places = [(s["from"], s["until"]) for s in spans if not laws[s["law"]].words]
+    words = [(s["from"], s["until"] - 1) for s in spans if laws[s["law"]].words]
+    if words:
+        begin, end = _edges(text)
+        first, last = np.array(words, np.int64).T
+        places += zip(begin[first].tolist(), end[last].tolist(), strict=True)
     out: list[list[int]] = []
-    for a, b in sorted((words[s["from"]][0], words[s["until"] - 1][1]) if laws[s["law"]].words else (s["from"], s["until"]) for s in spans):
+    for a, b in sorted(places):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:

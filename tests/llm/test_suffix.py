@@ -61,6 +61,56 @@ def test_collisions_are_verified(monkeypatch):
     assert not any(m.any() for m in marks)
 
 
+def test_a_suffix_is_compared_once_with_its_copy(monkeypatch):
+    rng = random.Random(7)
+    base = random_bytes(rng, 500)
+    compared, common = [], S.PrefixHashes.common
+    monkeypatch.setattr(S.PrefixHashes, "common", lambda self, x, y, limit: compared.append(len(x)) or common(self, x, y, limit))
+    marks = S.repeated_starts([random_bytes(rng, 30) + b"x" + base, random_bytes(rng, 40) + b"y" + base], np.zeros(2, int), 60)
+    assert [int(m.sum()) for m in marks] == [441, 441]
+    assert sum(compared) <= sum(len(m) for m in marks)
+
+
+def test_many_different_contexts_in_order():
+    rng = random.Random(8)
+    base = random_bytes(rng, 90)
+    for unit, joined in ((1, b""), (2, b" ")):
+        contexts = []
+        for _ in range(120):  # they part from one another at many places
+            a = rng.randint(8, 80)
+            contexts.append(joined.join(bytes([x]) * unit for x in base[:a] + random_bytes(rng, 90 - a).replace(b" ", b"c") if x != 32)[:160])
+        data = S.units([joined.join(contexts)], S.Law(20, 0, unit == 2))[0]
+        starts = np.arange(len(data) - 19)
+        group = np.sort(np.array([rng.randint(0, 2) for _ in starts]))
+        order, same = S._suffix_order(S.PrefixHashes(data), data, starts, group, 20)
+        keys = [(g, data[s:s + 20].tolist()) for g, s in zip(group[order].tolist(), starts[order].tolist(), strict=True)]
+        assert keys == sorted(keys)
+        assert same.tolist() == [False] + [x == y for x, y in zip(keys, keys[1:])]
+
+
+def test_stretches_are_verified():
+    rng = random.Random(9)
+    base = random_bytes(rng, 300)
+    text = base + base[:100] + b"#" + base[101:] + random_bytes(rng, 50)
+    x = np.array([rng.randint(0, 290) for _ in range(400)])
+    y = np.where(np.arange(400) % 3 == 0, x + 1, x + 300)
+    begin = np.arange(len(text))
+    got = S._equal_pairs(text, begin, begin[9:] + 1, x, y)
+    assert got.tolist() == [text[a:a + 10] == text[b:b + 10] for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert 0 < got.sum() < 266
+
+
+def test_words_as_numbers():
+    texts = [b"", b" a  a\0 \x00a ab\tabcdefgh\x0babcdefghi", b"abcdefgh", b"\n", "é\u00a0é a".encode(), b"abcdefghi abcdefgh\0 a"]
+    found = S.units(texts, S.PASSAGES)
+    assert [len(f) for f in found] == [len(t.split()) for t in texts]
+    pairs = {(w, n) for t, f in zip(texts, found, strict=True) for w, n in zip(t.split(), f.tolist(), strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({n for _, n in pairs})
+    for t in texts:
+        begin, end = S._edges(t)
+        assert [t[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)] == t.split()
+
+
 def made(seed):
     rng = random.Random(seed)
     passage, other = random_bytes(rng, 900), random_bytes(rng, 430)
@@ -123,6 +173,30 @@ def test_odd_rows(spark, odd, documents):
     assert S.without_repeats(odd).count() == odd.count() and S.without_repeats(documents()).count() == 0
 
 
+def test_blocks_of_a_large_anchor():
+    """Equal strings of an anchor's contexts meet in blocks; most strings that no other context has do not."""
+    rng = random.Random(10)
+    law = S.Law(60, 20)
+    texts = [random_bytes(rng, 100) + b"the passage that all of these texts hold, and it is longer than sixty bytes, as it must be" + random_bytes(rng, 100)
+             for _ in range(30)]
+    many, blocks, starts, met = Counter(t[i:i + 60] for t in texts for i in range(len(t) - 59)), Counter(), 0, {}
+    for n, text in enumerate(texts):
+        hashes, last, _ = S.anchors([text], law)[0]
+        first = 0
+        for h, end in zip(hashes.tolist(), last.tolist(), strict=True):
+            low, high, shared = S._blocks(np.frombuffer(text[first:end + 60], np.uint8), law, 8)
+            assert low[0] == 0 and high[-1] == end - first and (low[1:] == high[:-1] + 1).all() and (high - low < 8).all()
+            for a, b, x in zip(low.tolist(), high.tolist(), shared.tolist(), strict=True):
+                blocks[h, x] += 1
+                starts += b - a + 1
+                for i in range(first + a, first + b + 1):
+                    met.setdefault(text[i:i + 60], set()).add((h, x))
+            first = end + 1
+    assert all(len(met[t]) == 1 for t, n in many.items() if n > 1) and any(n > 1 for n in many.values())
+    assert starts == sum(len(t) - 59 for t in texts) and sum(blocks.values()) < starts / 3
+    assert sum(n for n in blocks.values() if n > 1) < 30 * 12
+
+
 def brute_words(texts, length):
     """Per text the places of its words, and the words that a repeated run of ``length`` words covers."""
     cut = [t.split() for t in texts]
