@@ -69,6 +69,35 @@ def test_scored_table_derives_leads_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+class Seen(Exception):
+    """What a step was given; nothing after it runs."""
+
+
+def test_leads_are_stored_without_columns_no_step_reads(spark, monkeypatch):
+    unread = ["lead_id", "source_id", "display_name", "do_not_contact", "deal_value", "scored_at"]
+
+    def stop(what):
+        raise Seen(what)
+
+    monkeypatch.setattr(FX, "leads", lambda *given: some_leads(spark).withColumns({c: F.lit("x") for c in [*unread, "created_at"]}))
+    monkeypatch.setattr(MO, "training_rows", lambda session, sf_dir, leads=None: stop(leads.columns))
+    kept = {"tenant_id", "lead_key", "external_id", "converted", "created_at", *MO.NUM, *MO.CAT}
+    for query in (MO.score_tenants, MO.score_table_rows):
+        with pytest.raises(Seen) as seen:
+            query(spark, "nowhere")
+        assert set(seen.value.args[0]) == kept
+
+
+def test_training_cleans_once(spark, monkeypatch):
+    def stop(clean, *given):
+        raise Seen(plan_of(clean))
+
+    monkeypatch.setattr(TR, "detect_leakage", stop)
+    with pytest.raises(Seen) as seen:
+        TR.train_model(some_leads(spark), "v1", id_column="lead_key")
+    assert seen.value.args[0].startswith("Relation")
+
+
 def test_model_metrics_read_the_rows_once(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"model": np.where(rng.random(500) < 0.5, "a", "b"), "odd_name": np.round(rng.random(500), 2), "y": rng.integers(0, 2, 500)})
