@@ -162,12 +162,13 @@ def newton_sums(rows: DataFrame, weights: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            models = np.array(batch.column(0).to_pylist(), object)
+            models = batch.column(0).dictionary_encode()  # a number a row; no row becomes a Python string
+            number = models.indices.to_numpy(zero_copy_only=False)
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             x, beta = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for i in (2, 3))
             p = 1 / (1 + np.exp(-np.clip((x * beta).sum(1), -500, 500)))
-            for model in np.unique(models).tolist():
-                own = models == model
+            for k, model in enumerate(models.dictionary.to_pylist()):
+                own = number == k
                 a, heavy = x[own], (p * (1 - p))[own]
                 part = np.concatenate([a.T @ (y - p)[own], ((a * heavy[:, None]).T @ a)[upper]])
                 totals[model] = totals.get(model, 0) + part
@@ -227,7 +228,8 @@ def train_tenants(
         raise ValueError("training needs labelled leads of both classes")
     named = known.withColumn("_tenant", F.coalesce("tenant_id", F.lit("")))
     split = stratified_split(named.withColumn("label", F.col(label).cast("int")), "label", id_column, ["_tenant"])
-    clean = store(clean_frame(split, keep=[id_column, "tenant_id", "label", "is_test"]).withColumn("_fold", _fold(id_column)))
+    facts = [id_column, "tenant_id", "label", "is_test"]
+    clean = store(clean_frame(split, keep=facts).select(*facts, *numeric, *categorical, _fold(id_column).alias("_fold")))
     own = clean.join(tiers.where("own").select("tenant_id"), "tenant_id", "left_semi")
     scoped = clean.withColumn("model_of", F.lit(BASE)).unionByName(own.withColumn("model_of", F.concat(F.lit("tenant:"), "tenant_id")))
     train = scoped.where("not is_test")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from leadlake.operators import metrics as M
 from leadlake.operators import score as SC
+from leadlake.operators import tenants as TN
 from leadlake.operators import train as TR
 from leadlake.plans import fixtures as FX
 from leadlake.plans import ingesting as IN
@@ -98,6 +99,17 @@ def test_training_cleans_once(spark, monkeypatch):
     assert seen.value.args[0].startswith("Relation")
 
 
+def test_tenants_rows_hold_their_features_alone(spark, monkeypatch):
+    def stop(train, *given):
+        raise Seen(train.columns)
+
+    monkeypatch.setattr(TN, "_statistics", stop)
+    with pytest.raises(Seen) as seen:
+        TN.train_tenants(some_leads(spark), some_leads(spark).select("tenant_id").distinct(), "v1", F.current_timestamp(), "lead_key",
+                         numeric=["total_visits"], categorical=["channel"])
+    assert set(seen.value.args[0]) == {"lead_key", "tenant_id", "label", "is_test", "total_visits", "channel", "_fold", "model_of"}
+
+
 def test_model_metrics_read_the_rows_once(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"model": np.where(rng.random(500) < 0.5, "a", "b"), "odd_name": np.round(rng.random(500), 2), "y": rng.integers(0, 2, 500)})
