@@ -67,3 +67,32 @@ def test_a_failing_learner_is_not_hidden(spark):
 
     with pytest.raises(ValueError, match="no fit"):
         TR.cross_validate_models(vectors(spark, 50), {"broken": Broken()}, 2)
+
+
+@pytest.mark.parametrize("rows, folds", [(3200, 5), (900, 3)])
+def test_isotonic_query_has_the_published_forest_and_folds(spark, monkeypatch, rows, folds):
+    class Asked(Exception):
+        pass
+
+    def seen(name, learner, train, id_column, folds):
+        forest = learner.getNumTrees(), learner.getMaxDepth(), learner.getMinInstancesPerNode()
+        raise Asked(name, forest, train.count(), id_column, folds)
+
+    monkeypatch.setattr(MO, "ready", lambda *of: vectors(spark, rows))
+    monkeypatch.setattr(TR, "isotonic_cv", seen)
+    with pytest.raises(Asked) as asked:
+        MO.isotonic_cv(spark, "nowhere")
+    assert asked.value.args == ("random_forest", (300, 12, 8), rows * 4 // 5, "lead_key", folds)
+
+
+def test_folds_fitted_at_once_keep_their_order(spark):
+    rows = vectors(spark, 600)
+    learner = DecisionTreeClassifier(maxDepth=3, seed=1)
+    scores = []
+    for parallelism in (1, 8):
+        made = TR.isotonic_cv("tree", learner, rows, "lead_key", 3, parallelism=parallelism)
+        scores.append({r["lead_key"]: r["p"] for r in made.score(rows, "p").collect()})
+        fold = TR._folded(rows, "lead_key", 3, 7)
+        for k, (model, _) in enumerate(made.members):
+            assert model.toDebugString.split("\n", 1)[1] == learner.fit(fold.where(F.col("_fold") != k)).toDebugString.split("\n", 1)[1]
+    assert scores[0] == scores[1] and len(scores[0]) == 600
